@@ -32,6 +32,14 @@ def _named(df):
     return df.withColumnsRenamed({"start": "start_pos", "end": "end_pos"})
 
 
+def _walked(pairs):
+    off = pairs.withColumn("o", C.block_offsets(F.col("cigar"), F.col("lo"), F.col("hi")))
+    at = C.orient(F.col("o.lo"), F.col("o.hi"), F.col("strand"), F.col("asm_start"), F.col("asm_end"))
+    return off.withColumn("q", at).select(
+        "region_id", "block_id", F.col("q.start").alias("q_start"), F.col("q.end").alias("q_end")
+    )
+
+
 # --- overlap, clipping, filters -------------------------------------------------
 
 @check("p1_window_overlap", f"""{ctes('blocks', 'windows')}
@@ -89,10 +97,7 @@ SELECT region_id, block_id, CASE WHEN strand = '+' THEN asm_start + lo ELSE asm_
 def p4(spark, d):
     plain = V.blocks(spark, d).withColumn("cigar", F.lit(""))
     pairs = M.clipped_blocks(V.windows(spark, d), plain, BIN)
-    args = [F.col(c) for c in ("cigar", "lo", "hi", "strand", "asm_start", "asm_end")]
-    return pairs.withColumn("q", C.project(*args)).select(
-        "region_id", "block_id", F.col("q.start").alias("q_start"), F.col("q.end").alias("q_end")
-    )
+    return _walked(pairs)
 
 
 @check("p5_solid_alignments", f"""{ctes('blocks', 'windows')}, {S.kept(0)}, {S.PAIRS}, {S.PROJECTED}
@@ -153,10 +158,7 @@ FROM pairs p JOIN starts s USING (region_id, block_id) JOIN ends e USING (region
 @check("f6_project_inline", _PROJECTION)
 def f6(spark, d):
     pairs = M.clipped_blocks(V.windows(spark, d), V.blocks(spark, d), BIN)
-    args = [F.col(c) for c in ("cigar", "lo", "hi", "strand", "asm_start", "asm_end")]
-    return pairs.withColumn("q", C.project(*args)).select(
-        "region_id", "block_id", F.col("q.start").alias("q_start"), F.col("q.end").alias("q_end")
-    )
+    return _walked(pairs)
 
 
 @check("j6_project_indexed", _PROJECTION)

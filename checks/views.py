@@ -98,7 +98,14 @@ def ctes(*names: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the driver's tables.
+
+    Each is one file of one row group, which a single core reads; the session
+    setting lets the benchmark deal the rows out before anything is computed.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    spread = int(spark.conf.get("spark.strandweave.spread", "0"))
+    return df.repartition(spread) if spread else df
 
 
 def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -59,14 +59,12 @@ def orient(lo: Column, hi: Column, strand: Column, asm_start: Column, asm_end: C
     )
 
 
-def project(
-    cigar: Column, lo: Column, hi: Column, strand: Column, asm_start: Column, asm_end: Column
-) -> Column:
-    """Reference offsets ``[lo, hi)`` of one block to assembly coordinates.
+def block_offsets(cigar: Column, lo: Column, hi: Column) -> Column:
+    """Reference offsets ``[lo, hi)`` of one block as assembly offsets, ``struct<lo, hi>``.
 
     One left fold over the operations. Deletions clamp to the assembly position
     beside them; an insertion counts only when the interval straddles it. A
-    block without operations is projected linearly.
+    block without operations keeps the offsets as they are.
     """
     zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("bigint")
 
@@ -93,7 +91,6 @@ def project(
         ),
     )
     has_ops = F.coalesce(cigar.rlike(CIGAR_TOKEN), F.lit(False))
-    off = F.when(has_ops, offsets).otherwise(
+    return F.when(has_ops, offsets).otherwise(
         F.struct(lo.cast("bigint").alias("lo"), hi.cast("bigint").alias("hi"))
     )
-    return orient(off["lo"], off["hi"], strand, asm_start, asm_end)

@@ -57,9 +57,10 @@ def running(
         w = Window.partitionBy(*parts).orderBy(*order)
         return fn("__val").over(w.rowsBetween(Window.unboundedPreceding, upto))
 
-    calm = carried if tie is None else carried.filter(F.col("__n") <= split_rows)
+    split = tie is not None and _has_crowded_bin(binned, keys, split_rows)
+    calm = carried.filter(F.col("__n") <= split_rows) if split else carried
     calm = calm.withColumn(out, pick("__carry", inside(*keys, "__bin"))).drop(*extra)
-    if tie is None:
+    if not split:
         return calm
 
     leaf = [*keys, "__bin", pos, "__slice"]
@@ -81,3 +82,8 @@ def running(
         .drop(*extra, "__slice", "__leaf_carry")
     )
     return calm.unionByName(crowded)
+
+
+def _has_crowded_bin(binned: DataFrame, keys: Sequence[str], split_rows: int) -> bool:
+    sizes = binned.groupBy(*keys, "__bin").count()
+    return not sizes.filter(F.col("count") > split_rows).isEmpty()

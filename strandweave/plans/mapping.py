@@ -134,13 +134,14 @@ def map_alignments(
         ),
         bin_width,
     )
-    strand = (F.col("strand"), F.col("asm_start"), F.col("asm_end"))
+    placed = lambda lo, hi: C.orient(lo, hi, F.col("strand"), F.col("asm_start"), F.col("asm_end"))
+    # The fold gets a column of its own, so that it runs once per pair.
     short = pairs.filter(~F.col("long_cigar")).withColumn(
-        "asm", C.project(F.col("cigar"), F.col("lo"), F.col("hi"), *strand)
-    )
+        "off", C.block_offsets(F.col("cigar"), F.col("lo"), F.col("hi"))
+    ).withColumn("asm", placed(F.col("off.lo"), F.col("off.hi"))).drop("off")
     index = explode_cigars(blocks.filter(size > inline_limit), key) if ops is None else ops
     long = lookup_offsets(pairs.filter("long_cigar"), index, key).withColumn(
-        "asm", C.orient(F.col("q_lo"), F.col("q_hi"), *strand)
+        "asm", placed(F.col("q_lo"), F.col("q_hi"))
     )
     none = F.lit(None).cast("bigint")
     hits = short.unionByName(long.drop("q_lo", "q_hi"))

@@ -191,7 +191,8 @@ def test_projection_against_base_by_base_expansion(spark):
         expect.append((i, 1000 + a, 1000 + b) if strand == "+" else (i, 1000 + total - b, 1000 + total - a))
     df = spark.createDataFrame(rows, "id long, cigar string, lo long, hi long, strand string, s long, e long")
     args = [F.col(c) for c in ("strand", "s", "e")]
-    walked = df.select("id", C.project(F.col("cigar"), F.col("lo"), F.col("hi"), *args).alias("p"))
+    walked = df.withColumn("o", C.block_offsets(F.col("cigar"), F.col("lo"), F.col("hi")))
+    walked = walked.select("id", C.orient(F.col("o.lo"), F.col("o.hi"), *args).alias("p"))
     assert rows_of(walked, "id", "p.start", "p.end") == expect
     ops = explode_cigars(df, ["id"])
     found = lookup_offsets(df, ops, ["id"], bin_width=4)
