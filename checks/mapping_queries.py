@@ -250,8 +250,10 @@ def q2(spark, d):
 SELECT {HITS_TEXT} FROM aligned UNION ALL SELECT {HITS_TEXT} FROM seen""")
 def q2_mapq(spark, d):
     """With every CIGAR looked up in the index instead of walked."""
+    blocks = V.blocks(spark, d)
     hits = M.map_regions(
-        V.windows(spark, d), V.blocks(spark, d), 30, bin_width=BIN, block_key=["block_id"], inline_limit=0
+        V.windows(spark, d), blocks, 30, bin_width=BIN,
+        ops=explode_cigars(blocks, ["block_id"]), block_key=["block_id"], inline_limit=0,
     )
     return _text(hits, "ref_gap_size", "asm_gap_size")
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandweave.session import scratch_folder
+
 # Alignment blocks, 0-based half-open.
 BLOCKS = """
 SELECT 's0' AS sample_id,
@@ -137,5 +139,14 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, "seqs")
+    """The sequences as a written table, as genomes are kept; made once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = scratch_folder(spark, "seqs")
+        _view(spark, sf_dir, "seqs").write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandweave.operators.scan import DEFAULT_BIN, running
@@ -19,14 +19,16 @@ def islands(
     start: str = "start",
     end: str = "end",
     max_gap: int = 0,
-    bin_width: int = DEFAULT_BIN,
+    bin_width: int | None = DEFAULT_BIN,
 ) -> DataFrame:
     """Groups of intervals no more than ``max_gap`` apart; touching counts as overlap.
 
     Returns ``keys, start, end, covered, pieces``: the envelope, the bases
     covered by the union, and the number of disjoint pieces inside. Intervals
     are first reduced to the longest per start, which bounds every later group
-    by the bin width whatever the number of copies.
+    by the bin width whatever the number of copies. With ``bin_width=None`` a
+    key is one window partition: right where a key is one query window on one
+    contig, for it then has at most one row per position of that contig.
     """
     keys = list(keys)
     longest = (
@@ -34,12 +36,15 @@ def islands(
         .groupBy(*keys, F.col(start).alias("start"))
         .agg(F.max(end).alias("end"))
     )
-    seen = running(longest, keys, ["start"], F.col("end"), "reach", bin_width=bin_width)
     new_island = F.col("reach").isNull() | (F.col("start") > F.col("reach") + max_gap)
-    marked = running(
-        seen, keys, ["start"], F.when(new_island, F.col("start")), "island",
-        inclusive=True, bin_width=bin_width,
-    )
+    opened = F.when(new_island, F.col("start"))
+    if bin_width is None:
+        along = Window.partitionBy(*keys).orderBy("start")
+        seen = longest.withColumn("reach", F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1)))
+        marked = seen.withColumn("island", F.max(opened).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        seen = running(longest, keys, ["start"], F.col("end"), "reach", bin_width=bin_width)
+        marked = running(seen, keys, ["start"], opened, "island", inclusive=True, bin_width=bin_width)
     new_piece = F.col("reach").isNull() | (F.col("start") > F.col("reach"))
     fresh = F.col("end") - F.greatest("start", F.coalesce("reach", "start"))
     return (
@@ -58,7 +63,7 @@ def merge_intervals(
     keys: Sequence[str],
     start: str = "start",
     end: str = "end",
-    bin_width: int = DEFAULT_BIN,
+    bin_width: int | None = DEFAULT_BIN,
 ) -> DataFrame:
     """Union of overlapping or touching intervals per key."""
     return islands(df, keys, start, end, 0, bin_width).select(*keys, "start", "end")
@@ -70,7 +75,7 @@ def cluster_intervals(
     start: str = "start",
     end: str = "end",
     max_gap: int = CLUSTER_GAP,
-    bin_width: int = DEFAULT_BIN,
+    bin_width: int | None = DEFAULT_BIN,
 ) -> DataFrame:
     """Proximity clusters with their covered bases and piece count."""
     solid = df.filter(F.col(end) > F.col(start))

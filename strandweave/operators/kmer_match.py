@@ -19,16 +19,17 @@ def shingle(seqs: DataFrame, k: int, seq: str, pos: str) -> DataFrame:
     """``pair_id, pos, kmer``; k-mers holding an uppercase N are left out."""
     if k < 1:
         raise ValueError("k must be >= 1")
-    starts = F.sequence(F.lit(0), F.length(seq) - k, F.lit(PIECE))
-    pieces = (
-        seqs.filter(F.length(seq) >= k)
-        .select("pair_id", seq, F.explode(starts).alias("__at"))
-        .select("pair_id", "__at", F.substring(seq, F.col("__at") + 1, F.lit(PIECE + k - 1)).alias("__piece"))
+    cut = F.transform(
+        F.sequence(F.lit(0), F.length(seq) - k, F.lit(PIECE)),
+        lambda at: F.struct(
+            at.alias("at"), F.substring(F.col(seq), at + 1, F.lit(PIECE + k - 1)).alias("piece")
+        ),
     )
+    pieces = seqs.filter(F.length(seq) >= k).select("pair_id", F.explode(cut).alias("c"))
     return (
-        pieces.select("pair_id", "__at", F.posexplode(dna.kmers(F.col("__piece"), k)).alias("__p", "kmer"))
+        pieces.select("pair_id", "c.at", F.posexplode(dna.kmers(F.col("c.piece"), k)).alias("p", "kmer"))
         .filter(~F.col("kmer").contains("N"))
-        .select("pair_id", (F.col("__at") + F.col("__p")).alias(pos), "kmer")
+        .select("pair_id", (F.col("at") + F.col("p")).alias(pos), "kmer")
     )
 
 

@@ -35,7 +35,7 @@ def running(
 ) -> DataFrame:
     """Adds ``out``: min or max of ``value`` over the earlier rows of the same keys.
 
-    ``order[0]`` is the position and ``order`` must be total up to identical
+    Rows without a key or a position are dropped. ``order[0]`` is the position and ``order`` must be total up to identical
     rows. ``tie`` is the numeric column that orders rows of one position; leave
     it out when a position occurs once per key, for then a bin holds at most
     ``bin_width`` rows and needs no second cut.
@@ -43,7 +43,11 @@ def running(
     pick = F.greatest if fn is F.max else F.least
     keys, pos = list(keys), order[0]
     upto = 0 if inclusive else -1
+    # Both uses of ``binned`` carry the same null checks, so that Spark sees one
+    # plan below them and shuffles it once.
     binned = df.withColumn("__bin", position_bin(F.col(pos), bin_width)).withColumn("__val", value)
+    for c in [*keys, "__bin"]:
+        binned = binned.filter(F.col(c).isNotNull())
 
     per_bin = binned.groupBy(*keys, "__bin").agg(
         fn("__val").alias("__top"), F.count(F.lit(1)).alias("__n")

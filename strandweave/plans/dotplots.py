@@ -16,8 +16,14 @@ COMPARISONS = (("ref", "hap1"), ("ref", "hap2"), ("hap1", "hap2"))
 
 
 def buffered_regions(regions: DataFrame, buffer: float = 1.0) -> DataFrame:
+    """The padded windows.
+
+    Exploding the one window keeps its arithmetic in one place; otherwise every
+    later filter on its bounds would be rewritten to hold all of it.
+    """
     window = buffered_window(F.col("start"), F.col("end"), F.lit(float(buffer)))
-    return regions.withColumn("w", window).select(
+    padded = regions.select("region_id", "sample_id", "chrom", F.explode(F.array(window)).alias("w"))
+    return padded.select(
         "region_id", "sample_id", "chrom", F.col("w.start").alias("start"), F.col("w.end").alias("end")
     )
 
@@ -32,7 +38,7 @@ def dotplot_spans(regions: DataFrame, blocks: DataFrame, buffer: float = 1.0, **
     wide = buffered_regions(regions, buffer)
     keys = ["region_id", "sample_id", "hap"]
     pieces = translate(wide, blocks, **options)
-    best = best_cluster(cluster_intervals(pieces, [*keys, "asm_chrom"]), keys)
+    best = best_cluster(cluster_intervals(pieces, [*keys, "asm_chrom"], bin_width=None), keys)
     mapped = best.select(
         "region_id", "sample_id", F.col("hap").alias("side"), F.col("asm_chrom").alias("name"), "start", "end"
     )

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from strandweave.functions import cigar as C
 from strandweave.functions import events as E
 from strandweave.functions.regions import window_status
-from strandweave.operators.cigar_index import explode_cigars, lookup_offsets
+from strandweave.operators.cigar_index import lookup_offsets
 from strandweave.operators.intervals import merge_intervals
 from strandweave.operators.overlap import overlap_join
 from strandweave.operators.scan import DEFAULT_BIN, DEFAULT_SPLIT, running
 from strandweave.sources import paf, writers
 
-# Strings up to this length are walked in place; longer CIGARs go through the index.
+# Where CIGARs are indexed, those up to this length are still walked in place.
 INLINE_CIGAR = 4096
 JOIN_BIN = 65_536
 
@@ -113,38 +113,34 @@ def map_alignments(
     regions: DataFrame,
     blocks: DataFrame,
     bin_width: int = JOIN_BIN,
-    block_key: Sequence[str] = ("sample_id", "hap", "block_seq"),
     ops: DataFrame | None = None,
+    block_key: Sequence[str] = ("sample_id", "hap", "block_seq"),
     inline_limit: int = INLINE_CIGAR,
 ) -> DataFrame:
     """Projected alignments of each window.
 
-    Short CIGARs ride along and are walked in the task that made the pair. Long
-    ones stay behind: their offsets are looked up in the exploded form, ``ops``
-    when it is stored, else built for the long blocks only.
+    CIGARs are walked in the task that made the pair. With ``ops``, the stored
+    result of ``explode_cigars``, those longer than ``inline_limit`` letters
+    stay behind and their offsets are looked up instead.
     """
     key = list(block_key)
-    size = F.length(F.coalesce("cigar", F.lit("")))
-    slim = list(dict.fromkeys([*ASSEMBLY, "block_seq", *FLANK, *key]))
-    pairs = clipped_blocks(
-        regions,
-        blocks.select(
-            *slim, F.when(size <= inline_limit, F.col("cigar")).alias("cigar"),
-            (size > inline_limit).alias("long_cigar"),
-        ),
-        bin_width,
-    )
+    slim = list(dict.fromkeys([*ASSEMBLY, "block_seq", *FLANK, *(key if ops is not None else [])]))
     placed = lambda lo, hi: C.orient(lo, hi, F.col("strand"), F.col("asm_start"), F.col("asm_end"))
-    # The fold gets a column of its own, so that it runs once per pair.
-    short = pairs.filter(~F.col("long_cigar")).withColumn(
-        "off", C.block_offsets(F.col("cigar"), F.col("lo"), F.col("hi"))
-    ).withColumn("asm", placed(F.col("off.lo"), F.col("off.hi"))).drop("off")
-    index = explode_cigars(blocks.filter(size > inline_limit), key) if ops is None else ops
-    long = lookup_offsets(pairs.filter("long_cigar"), index, key).withColumn(
-        "asm", placed(F.col("q_lo"), F.col("q_hi"))
-    )
+
+    def walked(pairs: DataFrame) -> DataFrame:
+        # The fold gets a column of its own, so that it runs once per pair.
+        off = pairs.withColumn("off", C.block_offsets(F.col("cigar"), F.col("lo"), F.col("hi")))
+        return off.withColumn("asm", placed(F.col("off.lo"), F.col("off.hi"))).drop("off", "cigar")
+
+    if ops is None:
+        hits = walked(clipped_blocks(regions, blocks.select(*slim, "cigar"), bin_width))
+    else:
+        long = F.length(F.coalesce("cigar", F.lit(""))) > inline_limit
+        hits = walked(clipped_blocks(regions, blocks.filter(~long).select(*slim, "cigar"), bin_width))
+        pairs = clipped_blocks(regions, blocks.filter(long).select(*slim), bin_width)
+        found = lookup_offsets(pairs, ops, key).withColumn("asm", placed(F.col("q_lo"), F.col("q_hi")))
+        hits = hits.unionByName(found.drop("q_lo", "q_hi"))
     none = F.lit(None).cast("bigint")
-    hits = short.unionByName(long.drop("q_lo", "q_hi"))
     return hits.select(
         "region_id", "sample_id", "hap", F.col("ref_start").alias("block_start"), "block_seq",
         F.lit(1).alias("kind"), "ref_chrom",
@@ -195,7 +191,7 @@ def translate(regions: DataFrame, blocks: DataFrame, min_mapq: int = 0, **option
     found = map_alignments(valid, blocks.filter(F.col("mapq") >= min_mapq), **options)
     solid = found.filter((F.col("asm_chrom") != "") & (F.col("asm_end") > F.col("asm_start")))
     return merge_intervals(
-        solid, ["region_id", "sample_id", "hap", "asm_chrom", "strand"], "asm_start", "asm_end"
+        solid, ["region_id", "sample_id", "hap", "asm_chrom", "strand"], "asm_start", "asm_end", None
     )
 
 
@@ -213,12 +209,14 @@ def sv_annotations(regions: DataFrame, blocks: DataFrame, **options) -> DataFram
 def assembly_regions(hits: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Merged assembly intervals per contig, ignoring strand, as text in contig order.
 
+    ``keys`` name one query window each.
+
     ``keys, regions``: one list per key; it is empty for no key, so left-join it.
     """
     aligned = hits.filter(F.col("event_type") == "alignment")
     lo, hi = F.least("asm_start", "asm_end"), F.greatest("asm_start", "asm_end")
     merged = merge_intervals(
-        aligned.withColumn("lo", lo).withColumn("hi", hi), [*keys, "asm_chrom"], "lo", "hi"
+        aligned.withColumn("lo", lo).withColumn("hi", hi), [*keys, "asm_chrom"], "lo", "hi", None
     )
     text = F.concat("asm_chrom", F.lit(":"), F.col("start"), F.lit("-"), F.col("end"))
     item = F.struct("asm_chrom", "start", "end", text.alias("text"))

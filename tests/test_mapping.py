@@ -41,16 +41,18 @@ def test_cigar_projection(spark):
         ("chr2", 50000, 50200, "asm_chr2", 3000, 3195, "-", 60, "100M5D95M"),
     ]
     windows = [("chr1", 10000, 10200), ("chr1", 10000, 10102), ("chr1", 20050, 20150), ("chr2", 50000, 50100)]
-    for limit in (4096, 0):
-        got = rows_of(hits(spark, blocks, windows, inline_limit=limit), "region_id", "asm_start", "asm_end")
+    ops = explode_cigars(blocks_df(spark, blocks), ["sample_id", "hap", "block_seq"])
+    for how in ({}, {"ops": ops, "inline_limit": 0}):
+        got = rows_of(hits(spark, blocks, windows, **how), "region_id", "asm_start", "asm_end")
         assert got == [(0, 1000, 1195), (1, 1000, 1100), (2, 2050, 2160), (3, 3095, 3195)]
 
 
 def test_insertion_at_window_edge(spark):
     blocks = [("chr13", 100, 115, "ctg_ins", 200, 265, "+", 60, "10=50I5=")]
     windows = [("chr13", 105, 113), ("chr13", 110, 115), ("chr13", 100, 110), ("chr13", 109, 115)]
-    for limit in (4096, 0):
-        got = rows_of(hits(spark, blocks, windows, inline_limit=limit), "region_id", "asm_start", "asm_end")
+    ops = explode_cigars(blocks_df(spark, blocks), ["sample_id", "hap", "block_seq"])
+    for how in ({}, {"ops": ops, "inline_limit": 0}):
+        got = rows_of(hits(spark, blocks, windows, **how), "region_id", "asm_start", "asm_end")
         assert got == [(0, 205, 263), (1, 260, 265), (2, 200, 210), (3, 209, 265)]
 
 
