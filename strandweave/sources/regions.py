@@ -87,16 +87,19 @@ def read_vcf_regions(
     )
 
 
-def read_manifest_variants(spark: SparkSession, path: str) -> DataFrame:
-    """The variants of a manifest as they are written, in list order."""
-    doc = spark.read.schema(MANIFEST_SCHEMA).json(path, multiLine=True)
+def read_manifest_variants(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """The variants of a manifest as they are written, in list order.
+
+    With ``multi_line=False`` each line is a manifest, so many can be split and scanned.
+    """
+    doc = spark.read.schema(MANIFEST_SCHEMA).json(path, multiLine=multi_line)
     v = doc.select(F.posexplode("variants").alias("var_seq", "v"))
     return v.select(F.col("var_seq").cast("bigint").alias("var_seq"), "v.*")
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+def read_manifest(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Manifest variants as regions: ``pos .. pos + size``, else the stored region text."""
-    v = read_manifest_variants(spark, path)
+    v = read_manifest_variants(spark, path, multi_line)
     text_start = F.regexp_extract("ref_region", LAST_COLON, 2).try_cast("bigint")
     text_end = F.regexp_extract("ref_region", LAST_COLON, 3).try_cast("bigint")
     none = F.lit(0).cast("bigint")
