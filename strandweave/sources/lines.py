@@ -2,15 +2,35 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Room for files of up to 16 TiB below the file number.
 FILE_SHIFT = 44
 
 
+# Fixed pattern: scheme of a path, which comes with one slash or three for local files.
+SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):/+"
+
+
+def file_column() -> Column:
+    """Path of the file a row was read from, comparable with ``file_table``."""
+    return F.regexp_replace(F.col("_metadata.file_path"), SCHEME, "$1:/")
+
+
+def file_table(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``file_path, file_ord``: the files behind the paths in argument order.
+
+    Only names travel to and from the driver, which lists them for any scan.
+    """
+    found = [f for p in paths for f in sorted(spark.read.text(p).inputFiles())]
+    names = dict.fromkeys(re.sub(SCHEME, r"\1:/", f) for f in found)
+    return spark.createDataFrame([(f, i) for i, f in enumerate(names)], "file_path string, file_ord long")
+
+
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """``file_path, value``: lines with blanks at both ends removed, empty ones dropped.
 
@@ -18,7 +38,7 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("file_path"),
+        file_column().alias("file_path"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.btrim("value", F.lit(" \t\r\n")).alias("value"),
     )
@@ -30,21 +50,14 @@ def with_line_order(lines: DataFrame, paths: str | Sequence[str], out: str) -> D
 
     Within a file the number is the byte offset of the split plus the row number
     inside the task. A full split fills a task alone and holds fewer rows than
-    bytes, so numbers of one file never cross. Only file names, which the
-    driver lists anyway, are collected.
+    bytes, so numbers of one file never cross.
     """
     spark = lines.sparkSession
     paths = [paths] if isinstance(paths, str) else list(paths)
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     numbered = lines.withColumn("__row", row + F.col("block_start"))
-    files = [f for p in paths for f in sorted(spark.read.text(p).inputFiles())]
-    if len(files) == 1:
-        return numbered.withColumn(out, F.col("__row")).drop("__row", "block_start", "file_path")
-    table = spark.createDataFrame(
-        [(f, i) for i, f in enumerate(dict.fromkeys(files))], "file_path string, file_ord long"
-    )
     return (
-        numbered.join(table, "file_path")
+        numbered.join(file_table(spark, paths), "file_path")
         .withColumn(out, F.shiftleft("file_ord", FILE_SHIFT) + F.col("__row"))
         .drop("__row", "file_ord", "block_start", "file_path")
     )

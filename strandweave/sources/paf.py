@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.sources.lines import read_lines, with_line_order
+from strandweave.sources.lines import file_column, file_table, read_lines, with_line_order
 
 BLOCK_COLUMNS = [
     "sample_id", "hap", "block_seq", "ref_chrom", "ref_start", "ref_end", "asm_chrom", "asm_start",
@@ -64,11 +64,9 @@ def read_mapping_json(
     A folder of documents is read in order of file name.
     """
     docs = spark.read.text(path, wholetext=True).select(
-        "value", F.col("_metadata.file_path").alias("file_path")
+        "value", file_column().alias("file_path")
     )
-    files = sorted(spark.read.text(path).inputFiles())
-    table = spark.createDataFrame(list(zip(files, range(len(files)))), "file_path string, file_ord long")
-    chroms = docs.join(table, "file_path").select(
+    chroms = docs.join(file_table(spark, [path]), "file_path").select(
         "file_ord", F.explode(F.from_json("value", JSON_BLOCKS)).alias("ref_chrom", "list")
     )
     b = chroms.select("file_ord", "ref_chrom", F.posexplode("list").alias("place", "b"))
