@@ -17,7 +17,8 @@ SELECT 's0' AS sample_id,
   CASE WHEN l_linestatus = 'F' THEN 'hap1' ELSE 'hap2' END AS hap,
   CAST(l_orderkey*8 + l_linenumber AS BIGINT) AS block_seq,
   CONCAT(CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(9)), '-',
-         CAST(l_partkey AS VARCHAR(20)), '-', CAST(l_suppkey AS VARCHAR(20))) AS block_id,
+         CAST(l_partkey AS VARCHAR(20)), '-', CAST(l_suppkey AS VARCHAR(20)), '-',
+         CAST(CAST(ROUND(l_extendedprice*100) AS BIGINT) AS VARCHAR(20))) AS block_id,
   CONCAT('chr', CAST(l_suppkey % 5 + 1 AS VARCHAR(9))) AS ref_chrom,
   CAST(l_orderkey*40 + l_partkey % 37 AS BIGINT) AS ref_start,
   CAST(l_orderkey*40 + l_partkey % 37 + 20 + (l_suppkey*7) % 31 AS BIGINT) AS ref_end,
