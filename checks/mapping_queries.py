@@ -13,7 +13,6 @@ from strandweave.functions import events as E
 from strandweave.functions import regions as R
 from strandweave.operators import intervals as I
 from strandweave.operators.cigar_index import explode_cigars, lookup_offsets
-from strandweave.operators.overlap import overlap_join
 from strandweave.plans import mapping as M
 from strandweave.sources import writers
 

@@ -18,19 +18,19 @@ from strandweave.operators.overlap import point_join
 INDEX_BIN = 4096
 
 
-def explode_cigars(blocks: DataFrame, key: Sequence[str]) -> DataFrame:
-    """``key, op_idx, op, len, ref_lo, ref_hi, asm_lo, asm_hi`` relative to the block.
+def explode_cigars(blocks: DataFrame, key: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+    """``key, carry, op_idx, op, len, ref_lo, ref_hi, asm_lo, asm_hi`` relative to the block.
 
-    Rows are hashed by block before they are exploded, so the window finds them
+    ``carry`` names further columns to repeat on every operation. Rows are hashed by block before they are exploded, so the window finds them
     in place and the exploded rows are not shuffled. A window partition is one
     CIGAR string.
     """
-    key = list(key)
+    key, both = list(key), [*key, *carry]
     ops = (
-        blocks.select(*key, "cigar")
+        blocks.select(*both, "cigar")
         .repartition(*key)
-        .select(*key, F.posexplode(C.cigar_ops(F.col("cigar"))).alias("op_idx", "item"))
-        .select(*key, "op_idx", F.col("item.op").alias("op"), F.col("item.len").alias("len"))
+        .select(*both, F.posexplode(C.cigar_ops(F.col("cigar"))).alias("op_idx", "item"))
+        .select(*both, "op_idx", F.col("item.op").alias("op"), F.col("item.len").alias("len"))
         .withColumn("__ref", F.when(C.consumes_ref(F.col("op")), F.col("len")).otherwise(F.lit(0)))
         .withColumn("__asm", F.when(C.consumes_asm(F.col("op")), F.col("len")).otherwise(F.lit(0)))
     )
@@ -40,7 +40,7 @@ def explode_cigars(blocks: DataFrame, key: Sequence[str]) -> DataFrame:
         .withColumn("asm_hi", F.sum("__asm").over(upto))
         .withColumn("ref_lo", F.col("ref_hi") - F.col("__ref"))
         .withColumn("asm_lo", F.col("asm_hi") - F.col("__asm"))
-        .select(*key, "op_idx", "op", "len", "ref_lo", "ref_hi", "asm_lo", "asm_hi")
+        .select(*both, "op_idx", "op", "len", "ref_lo", "ref_hi", "asm_lo", "asm_hi")
     )
 
 
@@ -86,7 +86,7 @@ def cigar_features(reads: DataFrame, key: Sequence[str]) -> DataFrame:
     exploding and regrouping stay inside the task.
     """
     key = list(key)
-    ops = explode_cigars(reads, key).join(reads.select(*key, "start"), key)
+    ops = explode_cigars(reads, key, ["start"])
     body = Window.partitionBy(*key).orderBy("op_idx").rowsBetween(Window.unboundedPreceding, -1)
     ops = ops.withColumn("at", F.col("start") + F.col("ref_lo")).withColumn(
         "leading", F.coalesce(F.max(~F.col("op").isin("H", "P")).over(body), F.lit(False)) == F.lit(False)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandweave.functions.regions import FIRST_COLON, parse_region_greedy
+from strandweave.functions.regions import parse_region_greedy
 
 
 def largest_per_chrom(variants: DataFrame) -> DataFrame:
