@@ -108,23 +108,41 @@ def thresholds(hashed: DataFrame, targets: DataFrame) -> DataFrame:
     return goals.select("_s", "copies", (F.col("cut") + F.when(nearer, 1).otherwise(0)).alias("cut"))
 
 
+def plan(rows: DataFrame, weights: tuple[float, ...], max_epochs: float) -> DataFrame:
+    """Per source of ``rows`` (``source, size, h``): ``_s, source_size, target, copies, cut``."""
+    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = save(set_targets(rank_sources(sources, weights), max_epochs), "targets")
+    cuts = save(thresholds(rows, targets), "thresholds")
+    return save(targets.join(cuts, F.col("source").eqNullSafe(F.col("_s")), "left").select(
+        F.col("source").alias("_s"), "source_size", "target",
+        F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("cut", F.lit(0)).alias("cut")), "mix")
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    rows = docs.select("doc_id", "source", text_size(F.col("text")).alias("size"))
+    return save(rows.withColumn("h", doc_hash(F.col("doc_id"))), "sizes")
+
+
+def _times() -> Column:
+    return F.col("copies") + F.when(F.col("h") < F.col("cut"), 1).otherwise(0)
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_epochs: float = 3.0) -> DataFrame:
     """Per document ``doc_id, source, size, source_size, target, taken``.
 
     ``taken`` is ``size`` times how often the mix holds the document. Null texts
-    have size 0 and are never taken; a null source is a source like any other,
-    the last; null ids share one hash and so one fate within a source, as do
-    repeated rows. A source of size 0 has target 0. An empty table gives no rows.
+    have size 0; a null source is a source like any other, the last; null ids
+    share one hash and so one fate within a source, as do repeated rows. A source
+    of size 0 has target 0. An empty table gives no rows.
     """
-    rows = docs.select("doc_id", "source", text_size(F.col("text")).alias("size"))
-    rows = save(rows.withColumn("h", doc_hash(F.col("doc_id"))), "sizes")
-    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = save(set_targets(rank_sources(sources, weights), max_epochs), "targets")
-    cuts = save(thresholds(rows, targets), "thresholds")
-    per_source = targets.join(cuts, F.col("source").eqNullSafe(F.col("_s")), "left").select(
-        F.col("source").alias("_s"), "source_size", "target",
-        F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("cut", F.lit(0)).alias("cut"))
-    per_source = save(per_source, "mix")
-    times = F.col("copies") + F.when(F.col("h") < F.col("cut"), 1).otherwise(0)
-    return rows.join(per_source, F.col("source").eqNullSafe(F.col("_s"))).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("size") * times).alias("taken"))
+    rows = _sized(docs)
+    return rows.join(plan(rows, weights, max_epochs), F.col("source").eqNullSafe(F.col("_s"))).select(
+        "doc_id", "source", "size", "source_size", "target", (F.col("size") * _times()).alias("taken"))
+
+
+def repeat(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_epochs: float = 3.0) -> DataFrame:
+    """The rows of ``docs`` with all their columns, each as often as ``mix`` takes it."""
+    per_source = plan(_sized(docs), weights, max_epochs)
+    rows = docs.select(F.struct("*").alias("_row"), F.col("source"), doc_hash(F.col("doc_id")).alias("h"))
+    taken = rows.join(per_source, F.col("source").eqNullSafe(F.col("_s"))).where(_times() > 0)
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), _times().cast("int")))).select("_row.*")
