@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm import langid, mixing, packing
+from strandweave.llm import langid, mixing, packing, simhash, suffix_dedup
 from strandweave.llm.common import save, table
 
 
@@ -22,6 +22,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return judged.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: that with the smallest id."""
+    return simhash.keep_first(docs, words=5)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts lose their repeated passages; a document of which nothing is left goes."""
+    left = suffix_dedup.remove_passages(docs)
+    return left.where("text is null or text <> ''")
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     return mixing.repeat(docs).select(*docs.columns)
@@ -34,6 +45,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("language_id", identify_language),
+    ("simhash_dedup", drop_near_duplicates),
+    ("suffix_array_dedup", drop_repeated_passages),
     ("mixing", mix_sources),
     ("packing", pack_sequences),
 ]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandweave.llm import langid, mixing, packing, rans
+from strandweave.llm import langid, mixing, packing, rans, simhash, suffix_dedup
 from strandweave.llm.common import table
 from strandweave.session import scratch_folder
 
@@ -48,6 +48,11 @@ LEFT JOIN f ON d.source IS NOT DISTINCT FROM f.source AND d.h = f.h
 """
 
 
+@query("op1_simhash")
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op3_mixing", MIX_SQL.replace("{docs}", "documents"))
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -58,6 +63,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+@query("op5_suffix_dedup")
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed_passages(table(spark, sf_dir, "documents"))
+
+
 @query("op9_token_files")
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_folder(spark, "ids")
