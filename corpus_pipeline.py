@@ -18,13 +18,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Drops documents in which no language is found: null texts and texts without a letter."""
     labelled = docs.where(~langid.held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
     langs, matrix = langid.fit(labelled.select("doc_id", "text", "lang"))
-    judged = langid.predict(docs, langs, matrix, keep=tuple(docs.columns))
-    return judged.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("_row"), "text")
+    return langid.predict(rows, langs, matrix, keep=("_row",)).where(F.col("lang_pred") != langid.UNKNOWN).select("_row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: that with the smallest id."""
-    return simhash.keep_first(docs, words=5)
+    return simhash.keep_first(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,15 +86,15 @@ def fit(labelled: DataFrame, max_rows: int = 20_000, smoothing: float = 0.5, buc
     return langs, np.log(matrix / matrix.sum(0, keepdims=True)).astype(np.float32)
 
 
-def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Adds ``lang_pred`` and ``score`` to ``doc_id`` (and the columns ``keep``).
+def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and ``lang_pred`` and ``score``.
 
     ``score`` is the posterior probability of the language. Texts that are null
     or have no letter, and all texts if nothing was learnt, are ``und`` with
     score 0. Of languages with equal score the first by code point is told.
     """
     shared = docs.sparkSession.sparkContext.broadcast((langs, matrix))
-    rows = docs.select(*keep, F.col("doc_id"), F.col("text").cast("string").alias("_text"))
+    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches):
