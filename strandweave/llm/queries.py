@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandweave.llm import ann, langid, mixing, packing, rans, simhash, suffix_dedup, topk, url_filter
+from strandweave.llm import ann, html_extract, langid, mixing, packing, rans, simhash, suffix_dedup, topk, url_filter
 from strandweave.llm.common import table
 from strandweave.session import scratch_folder
 
@@ -107,6 +107,11 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
+@query("op8_main_text")
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 @query("op9_token_files")
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_folder(spark, "ids")
