@@ -252,7 +252,7 @@ def q2_mapq(spark, d):
     blocks = V.blocks(spark, d)
     hits = M.map_regions(
         V.windows(spark, d), blocks, 30, bin_width=BIN,
-        ops=explode_cigars(blocks, ["block_id"]), block_key=["block_id"], inline_limit=0,
+        ops=explode_cigars(blocks, ["block_id"]), block_key=["block_id"],
     )
     return _text(hits, "ref_gap_size", "asm_gap_size")
 
@@ -365,7 +365,8 @@ def a10(spark, d):
 @check("q4_translate", f"""{ctes('blocks', 'windows')}, {S.kept(0)}, {S.PAIRS}, {S.PROJECTED},
 solid AS (SELECT * FROM aligned WHERE asm_end > asm_start),
 {S.merged('solid', 'region_id, sample_id, hap, asm_chrom, strand', 'asm_start', 'asm_end')}
-SELECT region_id, sample_id, hap, asm_chrom, strand, start_pos, end_pos FROM isl""")
+SELECT w.region_id, w.sample_id, CASE WHEN asm_chrom IS NULL THEN 'unmapped' ELSE 'ok' END AS status,
+  hap, asm_chrom, strand, start_pos, end_pos FROM windows w LEFT JOIN isl USING (region_id)""")
 def q4(spark, d):
     return _named(M.translate(V.windows(spark, d), V.blocks(spark, d), bin_width=BIN))
 
@@ -381,20 +382,23 @@ def p9(spark, d):
     m = F.col("region_id") % 5
     s = F.col("start") - 4000
     e = F.when(m == 0, s).when(m == 1, F.col("end") + 3000000).when(m == 2, s - 100).otherwise(F.col("end"))
-    return V.windows(spark, d).select("region_id", R.window_status(s, e).alias("status"))
+    return V.windows(spark, d).select("region_id", R.window_status(s, e, 2_000_000).alias("status"))
 
 
 @check("p10_buffered_window", f"""{ctes('windows')}, v AS (SELECT region_id, ws, ws + (we - ws) * (1 + region_id % 3000) AS we,
   CAST(region_id % 8 AS DOUBLE) - 1 + 0.25 AS buf FROM windows),
-b AS (SELECT region_id, GREATEST(0, ws - CAST(TRUNC((we - ws) * LEAST(GREATEST(buf, 0.0), 5.0)) AS BIGINT)) AS lo,
-  we + CAST(TRUNC((we - ws) * LEAST(GREATEST(buf, 0.0), 5.0)) AS BIGINT) AS hi FROM v),
+b AS (SELECT region_id, GREATEST(0, ws - CAST(TRUNC((we - ws) * GREATEST(buf, 0.0)) AS BIGINT)) AS lo,
+  we + CAST(TRUNC((we - ws) * GREATEST(buf, 0.0)) AS BIGINT) AS hi FROM v),
 x AS (SELECT *, GREATEST(hi - lo - 500000, 0) AS excess FROM b)
-SELECT region_id, lo + excess // 2 AS start_pos, hi - (excess - excess // 2) AS end_pos FROM x""")
+SELECT region_id, lo + excess // 2 AS start_pos, hi - (excess - excess // 2) AS end_pos, excess AS trimmed,
+  lo AS whole_start, hi AS whole_end FROM x""")
 def p10(spark, d):
     end = F.col("start") + (F.col("end") - F.col("start")) * (1 + F.col("region_id") % 3000)
     buf = (F.col("region_id") % 8).cast("double") - 1 + 0.25
-    w = V.windows(spark, d).select("region_id", R.buffered_window(F.col("start"), end, buf).alias("w"))
-    return _named(w.select("region_id", "w.*"))
+    w = V.windows(spark, d).select("region_id", R.buffered_window(F.col("start"), end, buf, 500_000).alias("w"),
+        R.buffered_window(F.col("start"), end, buf).alias("whole"))
+    return _named(w.select(
+        "region_id", "w.*", F.col("whole.start").alias("whole_start"), F.col("whole.end").alias("whole_end")))
 
 
 @check("p11_variant_padding", f"""{ctes('variants')}
@@ -403,7 +407,7 @@ SELECT var_seq, GREATEST(0, pos - 100) AS s0, pos + size + 1 + 100 AS e0,
 def p11(spark, d):
     pos, end = F.col("pos"), F.col("end")
     return V.variants(spark, d).select(
-        "var_seq", R.padded_start(pos, 0).alias("s0"), R.padded_end(end, 0).alias("e0"),
+        "var_seq", R.padded_start(pos, 100).alias("s0"), R.padded_end(end, 100).alias("e0"),
         R.padded_start(pos, 50_000).alias("s1"), R.padded_end(end, 50_000).alias("e1"),
     )
 
@@ -497,8 +501,8 @@ def f13(spark, d):
     r = F.col("region_id")
     known = lambda c: F.when(r % 10 != 0, c)
     return V.windows(spark, d).select(
-        "region_id", R.clamp_k(known((r % 200 - 20).cast("int"))).alias("k"),
-        R.clamp_buffer(known((r % 9 - 2).cast("double"))).alias("buffer"),
+        "region_id", R.clamp_k(known((r % 200 - 20).cast("int")), 1, 101).alias("k"),
+        R.clamp_buffer(known((r % 9 - 2).cast("double")), 0, 5).alias("buffer"),
     )
 
 

@@ -191,8 +191,8 @@ names AS (SELECT region_id, name, BOOL_OR(track = 'ref') AS r, BOOL_OR(track = '
   CAST(COUNT(*) FILTER (r AND NOT a AND NOT b) AS BIGINT) AS ref_only, CAST(COUNT(*) FILTER (NOT r AND a AND NOT b) AS BIGINT) AS hap1_only,
   CAST(COUNT(*) FILTER (NOT r AND NOT a AND b) AS BIGINT) AS hap2_only, CAST(COUNT(*) FILTER (r AND a AND NOT b) AS BIGINT) AS ref_and_hap1,
   CAST(COUNT(*) FILTER (r AND NOT a AND b) AS BIGINT) AS ref_and_hap2, CAST(COUNT(*) FILTER (NOT r AND a AND b) AS BIGINT) AS hap1_and_hap2,
-  CAST(COUNT(*) FILTER (r AND a AND b) AS BIGINT) AS all_three, CAST(COUNT(*) AS BIGINT) AS total_unique
-FROM names GROUP BY region_id""")
+  CAST(COUNT(*) FILTER (r AND a AND b) AS BIGINT) AS all_three, CAST(COUNT(name) AS BIGINT) AS total_unique
+FROM spans LEFT JOIN names USING (region_id) GROUP BY region_id""")
 def q8(spark, d):
     return P.compare_reads(V.spans(spark, d), V.reads(spark, d), BIN)
 
@@ -223,17 +223,17 @@ def u4(spark, d):
     return sets.agg(F.sum("all_three").alias("in_all"), F.sum("ref_only").alias("only_ref"))
 
 
-@check("u5_total_unique", f"""{_COMPARE} SELECT region_id, CAST(COUNT(*) AS BIGINT) AS total_unique FROM names GROUP BY region_id""")
+@check("u5_total_unique", f"""{_COMPARE} SELECT region_id, CAST(COUNT(name) AS BIGINT) AS total_unique
+FROM spans LEFT JOIN names USING (region_id) GROUP BY region_id""")
 def u5(spark, d):
     return P.compare_reads(V.spans(spark, d), V.reads(spark, d), BIN).select("region_id", "total_unique")
 
 
-@check("a5_read_stats", f"""{ctes('reads', 'spans')}, {S.OVER} SELECT region_id, CAST(COUNT(*) AS BIGINT) AS n_reads,
+@check("a5_read_stats", f"""{ctes('reads', 'spans')}, {S.OVER} SELECT region_id, CAST(COUNT(read_seq) AS BIGINT) AS n_reads,
   CAST(COUNT(*) FILTER ((flags & 16) <> 0) AS BIGINT) AS n_reverse, CAST(COUNT(*) FILTER ((flags & 256) <> 0) AS BIGINT) AS n_secondary,
-  CAST(CAST(SUM(mapq) // COUNT(mapq) AS BIGINT) AS VARCHAR) AS avg_mapq FROM over_reads GROUP BY region_id""")
+  CAST(CAST(SUM(mapq) // COUNT(mapq) AS BIGINT) AS VARCHAR) AS avg_mapq FROM spans LEFT JOIN over_reads USING (region_id) GROUP BY region_id""")
 def a5(spark, d):
-    seen = P.reads_in_regions(V.spans(spark, d), V.reads(spark, d), BIN)
-    return _text(cov.read_stats(seen), "avg_mapq")
+    return _text(P.region_stats(V.spans(spark, d), V.reads(spark, d), BIN), "avg_mapq")
 
 
 # --- pileups -----------------------------------------------------------------------------------
@@ -309,11 +309,13 @@ def w8(spark, d):
 @check("q13_region_panel", f"""{_PANELS},
 placed AS (SELECT read_seq, start_pos, end_pos, flags, mapq, track AS panel,
   CASE WHEN track = 'ref' THEN chrom ELSE 'ctg' || (read_seq % 3) END AS chrom,
-  'reads_to_' || track AS track FROM reads WHERE track <> 'other')
-SELECT p.region_id, p.panel, r.track, CAST(COUNT(*) AS BIGINT) AS n_reads,
+  'reads_to_' || track AS track FROM reads WHERE track <> 'other' AND (flags & 4) = 0),
+shown AS (SELECT *, UNNEST(CASE panel WHEN 'ref' THEN ['reads_to_ref', 'hap1_to_ref', 'hap2_to_ref']
+  WHEN 'hap1' THEN ['reads_to_hap1', 'ref_to_hap1', 'hap2_to_hap1'] ELSE ['reads_to_hap2', 'ref_to_hap2', 'hap1_to_hap2'] END) AS track FROM panels)
+SELECT p.region_id, p.panel, p.track, CAST(COUNT(read_seq) AS BIGINT) AS n_reads,
   CAST(COUNT(*) FILTER ((flags & 16) <> 0) AS BIGINT) AS n_reverse, CAST(COUNT(*) FILTER ((flags & 256) <> 0) AS BIGINT) AS n_secondary,
   CAST(CAST(SUM(mapq) // COUNT(mapq) AS BIGINT) AS VARCHAR) AS avg_mapq
-FROM panels p JOIN placed r ON p.panel = r.panel AND p.chrom = r.chrom AND r.start_pos <= p.e AND r.end_pos >= p.s GROUP BY ALL""")
+FROM shown p LEFT JOIN placed r ON p.track = r.track AND p.chrom = r.chrom AND r.start_pos <= p.e AND r.end_pos >= p.s GROUP BY ALL""")
 def q13(spark, d):
     w, b = _panel_inputs(spark, d)
     r = V.reads(spark, d).filter(F.col("track") != "other")

@@ -8,7 +8,6 @@ from checks import views as V
 from checks.registry import check
 from checks.views import ctes
 from strandweave.functions import dna
-from strandweave.functions.regions import MAX_DOTPLOT_SPAN
 from strandweave.operators import kmer_match as K
 from strandweave.operators.sequences import chunk_sequences, resolve_names, slice_sequences
 from strandweave.plans import dotplots as D
@@ -92,11 +91,10 @@ def l5(spark, d):
 @check("a9_dotplot_summary", f"""{_PAIRS}, {_match_sql('pairs', 10)}
 SELECT p.pair_id, CAST(LENGTH(seq1) AS INTEGER) AS seq1_len, CAST(LENGTH(seq2) AS INTEGER) AS seq2_len,
   CAST(COUNT(*) FILTER (match_type = 1) AS BIGINT) AS forward, CAST(COUNT(*) FILTER (match_type = -1) AS BIGINT) AS reverse,
-  CAST(COUNT(*) FILTER (match_type = 2) AS BIGINT) AS palindrome, CAST(10 AS INTEGER) AS k, COUNT(n) >= 40 AS truncated
-FROM pairs p LEFT JOIN (SELECT * FROM m WHERE n <= 40) m ON p.pair_id = m.pair_id GROUP BY ALL""")
+  CAST(COUNT(*) FILTER (match_type = 2) AS BIGINT) AS palindrome, CAST(10 AS INTEGER) AS k, FALSE AS truncated
+FROM pairs p LEFT JOIN m ON p.pair_id = m.pair_id GROUP BY ALL""")
 def a9(spark, d):
-    pairs = _pairs(spark, d)
-    return K.dotplot_summary(pairs, K.dotplot_matches(pairs, 10, cap=40), 10, cap=40)
+    return K.dotplot_summary(_pairs(spark, d), 10)
 
 
 # --- names and slices -------------------------------------------------------------------
@@ -208,8 +206,7 @@ def _doc_chunks(spark, d):
 
 _WINDOW_SPANS = f"""{ctes('seqs')}, w AS (SELECT doc_id, LENGTH(seq) AS n, LENGTH(seq) // 4 AS q FROM seqs),
 b AS (SELECT doc_id, n, GREATEST(0, q - CAST(TRUNC(q * 0.5) AS BIGINT)) AS lo0, 2 * q + CAST(TRUNC(q * 0.5) AS BIGINT) AS hi0 FROM w),
-x AS (SELECT *, GREATEST(hi0 - lo0 - {MAX_DOTPLOT_SPAN}, 0) AS ex FROM b),
-c AS (SELECT doc_id, n, lo0 + ex // 2 AS lo, hi0 - (ex - ex // 2) AS hi FROM x),
+c AS (SELECT doc_id, n, lo0 AS lo, hi0 AS hi FROM b),
 spans AS (SELECT doc_id AS region_id, 'ref' AS side, doc_id AS src, GREATEST(1, lo) AS s, GREATEST(GREATEST(1, lo), hi) AS e FROM c
   UNION ALL SELECT doc_id, 'hap' || h, doc_id + h, GREATEST(1, lo), GREATEST(GREATEST(1, lo), LEAST(hi, n)) FROM c, (VALUES (1), (2)) t(h)
   WHERE hi > lo AND LEAST(hi, n) > lo AND n > 0)"""
@@ -232,7 +229,7 @@ pairs AS (SELECT region_id || '|ref/hap1' AS pair_id, a AS seq1, b AS seq2 FROM
 @check("q6_dotplot", f"""{_DOTPLOT}, {_match_sql('pairs', 12)}
 SELECT p.pair_id, CAST(LENGTH(seq1) AS INTEGER) AS seq1_len, CAST(LENGTH(seq2) AS INTEGER) AS seq2_len,
   CAST(COUNT(*) FILTER (match_type = 1) AS BIGINT) AS forward, CAST(COUNT(*) FILTER (match_type = -1) AS BIGINT) AS reverse,
-  CAST(COUNT(*) FILTER (match_type = 2) AS BIGINT) AS palindrome, CAST(12 AS INTEGER) AS k, COUNT(n) >= 2000000 AS truncated
+  CAST(COUNT(*) FILTER (match_type = 2) AS BIGINT) AS palindrome, CAST(12 AS INTEGER) AS k, FALSE AS truncated
 FROM pairs p LEFT JOIN m ON p.pair_id = m.pair_id GROUP BY ALL""")
 def q6(spark, d):
     _, summary = D.dotplot(

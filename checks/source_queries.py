@@ -195,20 +195,21 @@ def s8(spark, d):
 
 @check("s7_manifest", f"""{ctes('variants')} SELECT chrom, CASE WHEN var_seq % 5 = 0 THEN 8 ELSE pos END AS start_pos,
   CASE WHEN var_seq % 5 = 0 THEN 90 ELSE pos + size END AS end_pos,
-  CASE WHEN var_seq % 3 = 0 THEN chrom || ':1-9' WHEN var_seq % 5 = 0 THEN chrom || ':8-90' END AS fasta_region, gt AS genotype FROM variants""")
+  CASE WHEN var_seq % 3 = 0 THEN chrom || ':1-9' WHEN var_seq % 5 = 0 THEN chrom || ':8-90' END AS fasta_region, gt AS genotype,
+  CASE WHEN var_seq % 10 = 0 THEN 82 ELSE size END AS size FROM variants""")
 def s7(spark, d):
     """One manifest per line, each of one variant, some without a position."""
     v = V.variants(spark, d)
     n = F.col("var_seq")
     one = F.struct(
-        "chrom", F.when(n % 5 != 0, F.col("pos")).alias("pos"), "size", "genotype",
+        "chrom", F.when(n % 5 != 0, F.col("pos")).alias("pos"), F.when(n % 10 != 0, F.col("size")).alias("size"), "genotype",
         F.when(n % 5 == 0, F.concat("chrom", F.lit(":8-90"))).alias("ref_region"),
         F.when(n % 3 == 0, F.concat("chrom", F.lit(":1-9"))).alias("fasta_region"),
     )
     path = scratch_folder(spark, "s7")
     v.select(F.lit("x").alias("description"), F.array(one).alias("variants")).write.json(path)
     back = regions.read_manifest(spark, path, multi_line=False)
-    return back.select("chrom", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "fasta_region", "genotype")
+    return back.select("chrom", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "fasta_region", "genotype", "size")
 
 
 @check("k5_manifest", f"""{ctes('variants')}, tops AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY chrom ORDER BY size DESC, var_seq) AS rn FROM variants),
@@ -226,13 +227,24 @@ def k5(spark, d):
 
 # --- sequences and samples ----------------------------------------------------------------
 
-@check("s9_fasta", f"""{ctes('seqs')} SELECT 'd' || doc_id AS name, seq FROM seqs""")
-def s9(spark, d):
+def _fasta(spark, d, label):
+    """Records whose headers hold the mark that starts a record."""
     s = V.seqs(spark, d)
     body = F.regexp_replace(F.lower("seq"), "(.{60})", "$1\n")
-    path = scratch_folder(spark, "s9")
-    s.select(F.concat(F.lit(">d"), F.col("doc_id").cast("string"), F.lit(" made from text\n"), body).alias("value")).write.text(path)
-    return sequences.read_fasta(spark, path).select("name", "seq")
+    path = scratch_folder(spark, label)
+    s.select(F.concat(F.lit(">d"), F.col("doc_id").cast("string"), F.lit(" made from text, A->B\n"), body).alias("value")).write.text(path)
+    return path
+
+
+@check("s9_fasta", f"""{ctes('seqs')} SELECT 'd' || doc_id AS name, seq FROM seqs""")
+def s9(spark, d):
+    return sequences.read_fasta(spark, _fasta(spark, d, "s9")).select("name", "seq")
+
+
+@check("s9_fasta_chunks", f"""{ctes('seqs')}, c AS (SELECT doc_id, seq, UNNEST(RANGE(GREATEST(1, CAST(CEIL(LENGTH(seq) / 700.0) AS BIGINT)))) AS chunk FROM seqs)
+SELECT 'd' || doc_id AS name, CAST(chunk AS INTEGER) AS chunk, SUBSTRING(seq, chunk * 700 + 1, 700) AS bases FROM c""")
+def s9_chunks(spark, d):
+    return sequences.read_fasta_chunks(spark, _fasta(spark, d, "s9c"), size=700).drop("genome")
 
 
 @check("s10_fai", f"""{ctes('seqs')} SELECT 'd' || doc_id AS name, CAST(LENGTH(seq) AS BIGINT) AS length FROM seqs""")

@@ -81,11 +81,11 @@ seen AS (
   FROM windows w JOIN gaps g ON w.sample_id = g.sample_id AND w.chrom = g.ref_chrom
     AND g.ref_start > w.ws AND g.ref_end < w.we)"""
 
-# Reads sharing a base with a view.
+# Aligned reads sharing a base with a view.
 OVER = """
 over_reads AS (
   SELECT s.region_id, s.vs, s.ve, r.* FROM spans s JOIN reads r ON s.sample_id = r.sample_id
-    AND s.chrom = r.chrom AND r.start_pos <= s.ve AND r.end_pos >= s.vs)"""
+    AND s.chrom = r.chrom AND r.start_pos <= s.ve AND r.end_pos >= s.vs AND (r.flags & 4) = 0)"""
 
 
 def kept(min_mapq: int) -> str:

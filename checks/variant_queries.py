@@ -81,7 +81,7 @@ FROM moved v LEFT JOIN lists a ON a.region_id = var_seq AND a.hap = 'hap1' LEFT
 
 @check("q10_compute_regions", _MANIFEST)
 def q10(spark, d):
-    r = P.compute_regions(_on_block_chroms(spark, d), V.blocks(spark, d), "s0", 0, bin_width=1024)
+    r = P.compute_regions(_on_block_chroms(spark, d), V.blocks(spark, d), "s0", 100, bin_width=1024)
     return r.select(
         "var_seq", "chrom", "fasta_region", F.array_join("hap1_regions", " ").alias("hap1_regions"),
         F.array_join("hap2_regions", " ").alias("hap2_regions"),
@@ -151,7 +151,7 @@ def _cut_regions(spark, d):
 _CUT = f"""{ctes('reads')}, regions AS (SELECT o_orderkey AS ord, 'chr' || (o_orderkey % 3 + 1) AS chrom, o_orderkey * 3000 + 1 AS s,
   o_orderkey * 3000 + 4000 AS e FROM orders),
 named AS (SELECT *, chrom || ':' || s || '-' || e AS text FROM regions),
-found AS (SELECT n.ord, n.s, n.text, r.* FROM named n JOIN reads r ON r.chrom = n.chrom AND r.start_pos <= n.e AND r.end_pos >= n.s),
+found AS (SELECT n.ord, n.s, n.text, r.* FROM named n JOIN reads r ON r.chrom = n.chrom AND r.start_pos <= n.e AND r.end_pos >= n.s AND (r.flags & 4) = 0),
 kept AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY name, flags, chrom, start_pos ORDER BY ord, read_seq) AS rn FROM found) WHERE rn = 1)"""
 
 
@@ -168,11 +168,11 @@ won AS (SELECT e.read_seq, k, tail, ARG_MIN(n.text, n.ord) AS t, ARG_MIN(GREATES
 sa AS (SELECT read_seq, 'SA:Z:' || STRING_AGG(t || ',' || q || tail || ';', '' ORDER BY k) AS sa FROM won GROUP BY read_seq)"""
 
 
-@check("j7_supplementary", f"""{_CUT}, {_SA} SELECT k.read_seq, COALESCE(sa.sa, 'SA:Z:*') AS sa
-FROM kept k LEFT JOIN sa USING (read_seq) WHERE k.read_seq % 3 <> 0""")
+@check("j7_supplementary", f"""{_CUT}, {_SA} SELECT k.read_seq, CASE WHEN k.read_seq % 3 <> 0 THEN COALESCE(sa.sa, 'SA:Z:*') ELSE 'XX:Z:none' END AS sa
+FROM kept k LEFT JOIN sa USING (read_seq)""")
 def j7(spark, d):
     lines = P.subset_reads(_cut_regions(spark, d), _sam_reads(spark, d), BIN)
-    return lines.filter(F.col("read_seq") % 3 != 0).select("read_seq", F.split("line", "\t")[12].alias("sa"))
+    return lines.select("read_seq", F.split("line", "\t")[12].alias("sa"))
 
 
 _MATES = """moved AS (SELECT ord, read_seq, chrom, text, GREATEST(1, start_pos - s + 1) AS pos,

@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.session import scratch_folder
-
 # Alignment blocks, 0-based half-open.
 BLOCKS = """
 SELECT 's0' AS sample_id,
@@ -101,14 +99,8 @@ def ctes(*names: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's tables.
-
-    Each is one file of one row group, which a single core reads; the session
-    setting lets the benchmark deal the rows out before anything is computed.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    spread = int(spark.conf.get("spark.strandweave.spread", "0"))
-    return df.repartition(spread) if spread else df
+    """One of the driver's tables."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -140,14 +132,5 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_STORED: dict[tuple[str, str], str] = {}
-
-
 def seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sequences as a written table, as genomes are kept; made once per session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _STORED:
-        path = scratch_folder(spark, "seqs")
-        _view(spark, sf_dir, "seqs").write.parquet(path)
-        _STORED[key] = path
-    return spark.read.parquet(_STORED[key])
+    return _view(spark, sf_dir, "seqs")

@@ -5,11 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed limits of the window queries, in base pairs.
-MAX_TRANSLATE_SPAN = 2_000_000
-MAX_DOTPLOT_SPAN = 500_000
-MIN_PADDING = 100
-
 # Fixed patterns of the region text forms.
 FIRST_COLON = r"^([^:]*):([^-]*)-(.*)$"
 LAST_COLON = r"^(.+):(\d+)-(\d+)$"
@@ -98,42 +93,50 @@ def region_label(chrom: Column, start: Column, end: Column, size: Column, gt: Co
     )
 
 
-def window_status(start: Column, end: Column, limit: int = MAX_TRANSLATE_SPAN) -> Column:
-    """``ok``, ``invalid``, ``empty`` or ``too_large`` for a requested window."""
-    return (
-        F.when((start < 0) | (end < 0) | (end < start), "invalid")
-        .when(end == start, "empty")
-        .when(end - start > limit, "too_large")
-        .otherwise("ok")
-    )
+def window_status(start: Column, end: Column, limit: int | None = None) -> Column:
+    """``ok``, ``invalid``, ``empty`` or, over a limit the caller sets, ``too_large``."""
+    status = F.when((start < 0) | (end < 0) | (end < start), "invalid").when(end == start, "empty")
+    return (status if limit is None else status.when(end - start > limit, "too_large")).otherwise("ok")
+
 
+def clamp(value: Column, default: Column, low: Column | None = None, high: Column | None = None) -> Column:
+    """``default`` where ``value`` is missing; kept within the bounds that are given."""
+    value = F.coalesce(value, default)
+    value = value if high is None else F.least(value, high)
+    return value if low is None else F.greatest(low, value)
 
-def clamp_k(k: Column) -> Column:
-    """K-mer length kept in [1, 101]; 31 when missing."""
-    return F.greatest(F.lit(1), F.least(F.coalesce(k, F.lit(31)), F.lit(101)))
 
+def clamp_k(k: Column, low: int | None = None, high: int | None = None) -> Column:
+    """K-mer length; 31 when missing."""
+    return clamp(k, F.lit(31), *(None if x is None else F.lit(x) for x in (low, high)))
 
-def clamp_buffer(buffer: Column) -> Column:
-    """Buffer multiplier kept in [0, 5]; 1 when missing."""
-    return F.greatest(F.lit(0.0), F.least(F.coalesce(buffer, F.lit(1.0)), F.lit(5.0)))
 
+def clamp_buffer(buffer: Column, low: float | None = None, high: float | None = None) -> Column:
+    """Buffer multiplier; 1 when missing."""
+    return clamp(buffer, F.lit(1.0), *(None if x is None else F.lit(float(x)) for x in (low, high)))
 
-def buffered_window(start: Column, end: Column, buffer: Column) -> Column:
-    """Window padded by ``buffer`` spans each side, at most 500,000 bp in total."""
-    pad = ((end - start) * clamp_buffer(buffer)).cast("bigint")
-    lo = F.greatest(F.lit(0).cast("bigint"), start - pad)
+
+def buffered_window(start: Column, end: Column, buffer: Column, limit: int | None = None) -> Column:
+    """Window padded by ``buffer`` spans each side, from 0 on: ``start, end, trimmed``.
+
+    With a ``limit`` the window is cut to it on both sides alike, and ``trimmed``
+    tells by how many base pairs; else that is 0.
+    """
+    pad = ((end - start) * clamp_buffer(buffer, 0.0)).cast("bigint")
+    zero = F.lit(0).cast("bigint")
+    lo = F.greatest(zero, start - pad)
     hi = end + pad
-    excess = F.greatest(hi - lo - F.lit(MAX_DOTPLOT_SPAN), F.lit(0).cast("bigint"))
+    excess = zero if limit is None else F.greatest(hi - lo - F.lit(limit), zero)
     trim = F.floor(excess / F.lit(2))
-    return F.struct((lo + trim).alias("start"), (hi - (excess - trim)).alias("end"))
+    return F.struct((lo + trim).alias("start"), (hi - (excess - trim)).alias("end"), excess.alias("trimmed"))
 
 
 def padded_start(pos: Column, padding: int) -> Column:
-    return F.greatest(F.lit(0).cast("bigint"), pos - max(padding, MIN_PADDING))
+    return F.greatest(F.lit(0).cast("bigint"), pos - padding)
 
 
 def padded_end(end: Column, padding: int) -> Column:
-    return end + max(padding, MIN_PADDING)
+    return end + padding
 
 
 def one_based(start: Column, end: Column) -> Column:

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from strandweave.functions import sam
 
-# Fixed limits of the number of bins a view may ask for.
-MIN_BINS, MAX_BINS = 10, 500
-
 
 def binned_coverage(
     views: DataFrame, overlaps: DataFrame, num_bins: int, key: Sequence[str] = ("region_id",)

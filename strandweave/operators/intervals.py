@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandweave.operators.scan import DEFAULT_BIN, running
+from strandweave.operators.overlap import position_bin
+from strandweave.operators.scan import DEFAULT_BIN
 
 # Fixed value: assembly pieces farther apart than this are different clusters.
 CLUSTER_GAP = 50_000
@@ -19,42 +20,50 @@ def islands(
     start: str = "start",
     end: str = "end",
     max_gap: int = 0,
-    bin_width: int | None = DEFAULT_BIN,
+    bin_width: int = DEFAULT_BIN,
 ) -> DataFrame:
     """Groups of intervals no more than ``max_gap`` apart; touching counts as overlap.
 
     Returns ``keys, start, end, covered, pieces``: the envelope, the bases
     covered by the union, and the number of disjoint pieces inside. Intervals
     are first reduced to the longest per start, which bounds every later group
-    by the bin width whatever the number of copies. With ``bin_width=None`` a
-    key is one window partition: right where a key is one query window on one
-    contig, for it then has at most one row per position of that contig.
+    by the bin width whatever the number of copies. Each bin then gets how far
+    earlier bins reach and makes its own islands; one that goes on from earlier
+    bins is joined to the last island that these opened.
     """
     keys = list(keys)
+    here = [*keys, "__bin"]
     longest = (
         df.filter(F.col(start).isNotNull() & F.col(end).isNotNull())
         .groupBy(*keys, F.col(start).alias("start"))
         .agg(F.max(end).alias("end"))
+        .withColumn("__bin", position_bin(F.col("start"), bin_width))
+    )
+    earlier = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    tops = longest.groupBy(*here).agg(F.max("end").alias("__top"))
+    tops = tops.select(*here, F.max("__top").over(earlier).alias("__carry"))
+    along = Window.partitionBy(*here).orderBy("start")
+    before, upto = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(Window.unboundedPreceding, 0)
+    seen = longest.join(tops, here).withColumn("reach", F.greatest("__carry", F.max("end").over(before)))
+    reach = F.col("reach")
+    opened = F.when(reach.isNull() | (F.col("start") > reach + max_gap), F.col("start"))
+    fresh = F.greatest(F.col("end") - F.greatest("start", F.coalesce("reach", "start")), F.lit(0).cast("bigint"))
+    parts = seen.withColumn("island", F.max(opened).over(upto)).groupBy(*here, "island").agg(
+        F.max("end").alias("end"), F.sum(fresh).alias("covered"),
+        F.count_if(reach.isNull() | (F.col("start") > reach)).alias("pieces"),
+    )
+    # Only a bin's first part, if it goes on from earlier bins, and its last island meet other bins;
+    # the rest keep to their bin.
+    edge = F.col("island").isNull() | (F.col("island") == F.max("island").over(Window.partitionBy(*here)))
+    parts = parts.withColumn("__side", F.when(edge, F.lit(-1).cast("bigint")).otherwise(F.col("__bin")))
+    opened_before = Window.partitionBy(*keys, "__side").orderBy("__bin", F.col("island").asc_nulls_first()).rowsBetween(
+        Window.unboundedPreceding, -1
     )
-    new_island = F.col("reach").isNull() | (F.col("start") > F.col("reach") + max_gap)
-    opened = F.when(new_island, F.col("start"))
-    if bin_width is None:
-        along = Window.partitionBy(*keys).orderBy("start")
-        seen = longest.withColumn("reach", F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1)))
-        marked = seen.withColumn("island", F.max(opened).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    else:
-        seen = running(longest, keys, ["start"], F.col("end"), "reach", bin_width=bin_width)
-        marked = running(seen, keys, ["start"], opened, "island", inclusive=True, bin_width=bin_width)
-    new_piece = F.col("reach").isNull() | (F.col("start") > F.col("reach"))
-    fresh = F.col("end") - F.greatest("start", F.coalesce("reach", "start"))
     return (
-        marked.groupBy(*keys, "island")
-        .agg(
-            F.max("end").alias("end"),
-            F.sum(F.greatest(fresh, F.lit(0).cast("bigint"))).alias("covered"),
-            F.count_if(new_piece).alias("pieces"),
-        )
-        .select(*keys, F.col("island").alias("start"), "end", "covered", "pieces")
+        parts.withColumn("__open", F.last("island", ignorenulls=True).over(opened_before))
+        .groupBy(*keys, F.coalesce("island", "__open").alias("start"))
+        .agg(F.max("end").alias("end"), F.sum("covered").alias("covered"), F.sum("pieces").alias("pieces"))
+        .select(*keys, "start", "end", "covered", "pieces")
     )
 
 
@@ -63,7 +72,7 @@ def merge_intervals(
     keys: Sequence[str],
     start: str = "start",
     end: str = "end",
-    bin_width: int | None = DEFAULT_BIN,
+    bin_width: int = DEFAULT_BIN,
 ) -> DataFrame:
     """Union of overlapping or touching intervals per key."""
     return islands(df, keys, start, end, 0, bin_width).select(*keys, "start", "end")
@@ -75,7 +84,7 @@ def cluster_intervals(
     start: str = "start",
     end: str = "end",
     max_gap: int = CLUSTER_GAP,
-    bin_width: int | None = DEFAULT_BIN,
+    bin_width: int = DEFAULT_BIN,
 ) -> DataFrame:
     """Proximity clusters with their covered bases and piece count."""
     solid = df.filter(F.col(end) > F.col(start))

@@ -7,110 +7,109 @@ from pyspark.sql import functions as F
 
 from strandweave.functions import dna
 
-# Fixed value: most matches reported per pair.
-MAX_MATCHES = 2_000_000
-
-
 # Letters cut out at once, so that no row holds the k-mers of a whole sequence.
 PIECE = 512
 
 
-def shingle(seqs: DataFrame, k: int, seq: str, pos: str) -> DataFrame:
-    """``pair_id, pos, kmer``; k-mers holding an uppercase N are left out."""
+def shingle(seqs: DataFrame, k: int, seq: str, pos: str, key: tuple[str, ...] = ("pair_id",)) -> DataFrame:
+    """``key, pos, kmer``; k-mers holding an uppercase N are left out.
+
+    A sequence is cut into pieces in one pass over its text; each piece then
+    borrows the next one's first letters.
+    """
     if k < 1:
         raise ValueError("k must be >= 1")
-    cut = F.transform(
-        F.sequence(F.lit(0), F.length(seq) - k, F.lit(PIECE)),
-        lambda at: F.struct(
-            at.alias("at"), F.substring(F.col(seq), at + 1, F.lit(PIECE + k - 1)).alias("piece")
-        ),
+    size = max(PIECE, k)
+    parts = F.regexp_extract_all(F.col(seq), F.lit(f"(?s).{{1,{size}}}"), 0)
+    cut = seqs.filter(F.length(seq) >= k).select(*key, parts.alias("parts"))
+    ahead = F.substring(F.coalesce(F.get("parts", F.col("n") + 1), F.lit("")), 1, k - 1)
+    pieces = cut.select(*key, "parts", F.posexplode("parts").alias("n", "part")).select(
+        *key, (F.col("n") * size).alias("at"), F.concat("part", ahead).alias("piece")
     )
-    pieces = seqs.filter(F.length(seq) >= k).select("pair_id", F.explode(cut).alias("c"))
     return (
-        pieces.select("pair_id", "c.at", F.posexplode(dna.kmers(F.col("c.piece"), k)).alias("p", "kmer"))
+        pieces.filter(F.length("piece") >= k)
+        .select(*key, "at", F.posexplode(dna.kmers(F.col("piece"), k)).alias("p", "kmer"))
         .filter(~F.col("kmer").contains("N"))
-        .select("pair_id", (F.col("at") + F.col("p")).alias(pos), "kmer")
+        .select(*key, (F.col("at") + F.col("p")).alias(pos), "kmer")
     )
 
 
-def _budget(pairs: DataFrame, k: int, cap: int) -> tuple[DataFrame, DataFrame]:
-    """Starts in sequence 1 with the number of matches emitted before each.
+def _sought(starts: DataFrame, *extra: str) -> DataFrame:
+    """Each row of ``starts`` under the k-mers that match it, with the type of match.
 
-    K-mers of sequence 2 are counted first, so the number of matches of every
-    start, and from that the cut-off, is known before any match is built. The
-    windows are per pair, or per pair and k-mer, and so hold at most the
-    letters of one sequence.
+    Equal k-mers give type 1, or 2 when the k-mer is its own reverse complement;
+    any other is sought under its reverse complement too, with type -1.
     """
-    left = shingle(pairs, k, "seq1", "i").withColumn("rc", dna.reverse_complement(F.col("kmer")))
-    here = Window.partitionBy("pair_id", "kmer")
-    right = (
-        shingle(pairs, k, "seq2", "j")
-        .withColumn("n", F.count(F.lit(1)).over(here))
-        .withColumn("rank", F.row_number().over(here.orderBy("j")))
-    )
-    counts = right.filter(F.col("rank") == 1)
-    fwd = counts.select("pair_id", "kmer", F.col("n").alias("n_fwd"))
-    rev = counts.select("pair_id", F.col("kmer").alias("rc"), F.col("n").alias("n_rev"))
-    none = F.lit(0).cast("bigint")
-    before = Window.partitionBy("pair_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        left.join(fwd, ["pair_id", "kmer"], "left")
-        .join(rev, ["pair_id", "rc"], "left")
-        .withColumn("palindrome", F.col("kmer") == F.col("rc"))
-        .withColumn("n_fwd", F.coalesce("n_fwd", none))
-        .withColumn("n_rev", F.when(F.col("palindrome"), none).otherwise(F.coalesce("n_rev", none)))
-        .withColumn("n", F.col("n_fwd") + F.col("n_rev"))
-        .filter(F.col("n") > 0)
-        .withColumn("before", F.coalesce(F.sum("n").over(before), none))
-        .filter(F.col("before") < cap)
-        .select("pair_id", "i", "kmer", "rc", "palindrome", "n_fwd", "before")
-    )
-    return starts, right.drop("n")
+    rc = F.col("rc")
+    own = F.struct(F.col("kmer"), F.when(F.col("kmer") == rc, dna.PALINDROME).otherwise(dna.FORWARD).alias("match_type"))
+    turned = F.struct(rc.alias("kmer"), F.lit(dna.REVERSE).alias("match_type"))
+    ways = F.when(F.col("kmer") == rc, F.array(own)).otherwise(F.array(own, turned))
+    with_rc = starts.withColumn("rc", dna.reverse_complement(F.col("kmer")))
+    return with_rc.select(*extra, F.explode(ways).alias("w")).select(*extra, "w.kmer", "w.match_type")
 
 
-def dotplot_matches(pairs: DataFrame, k: int = 31, cap: int = MAX_MATCHES) -> DataFrame:
+def dotplot_matches(pairs: DataFrame, k: int = 31, cap: int | None = None) -> DataFrame:
     """``pair_id, i, j, match_type`` for ``pairs(pair_id, seq1, seq2)``.
 
     A match joins equal k-mers (type 1, or 2 when the k-mer is its own reverse
-    complement) or a k-mer and its reverse complement (type -1). Matches are
-    counted in order of i, then forward before reverse, then j; those past
-    ``cap`` per pair are not reported.
+    complement) or a k-mer and its reverse complement (type -1). All of them are
+    reported; the join is on pair and k-mer, and Spark splits those that crowd.
+    With a ``cap``, matches count in order of i, then forward before reverse,
+    then j, and each pair's first ``cap`` are reported.
+    """
+    starts = shingle(pairs, k, "seq1", "i")
+    ends = shingle(pairs, k, "seq2", "j")
+    found = _sought(starts, "pair_id", "i").join(ends, ["pair_id", "kmer"])
+    if cap is None:
+        return found.select("pair_id", "i", "j", "match_type")
+    turn = F.col("match_type") == dna.REVERSE
+    place = Window.partitionBy("pair_id").orderBy("i", turn, "j")
+    first = found.withColumn("ord", F.row_number().over(place)).filter(F.col("ord") <= cap)
+    return first.select("pair_id", "i", "j", "match_type")
+
+
+def kmer_counts(seqs: DataFrame, k: int, seq: str, key: tuple[str, ...]) -> DataFrame:
+    """``key, kmer, n``: how often each k-mer occurs in each sequence."""
+    return shingle(seqs, k, seq, "pos", key).groupBy(*key, "kmer").agg(F.count(F.lit(1)).alias("n"))
+
+
+def match_counts(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Per pair the matches of each type, from ``pair_id, kmer, n`` of both sequences.
+
+    Products of counts are summed; no match is built.
     """
-    starts, targets = _budget(pairs, k, cap)
-    fwd = starts.join(targets, ["pair_id", "kmer"]).select(
-        "pair_id", "i", "j",
-        F.when(F.col("palindrome"), dna.PALINDROME).otherwise(dna.FORWARD).alias("match_type"),
-        (F.col("before") + F.col("rank")).alias("ord"),
+    met = _sought(first.withColumnRenamed("n", "n1"), "pair_id", "n1").join(
+        second.select("pair_id", "kmer", F.col("n").alias("n2")), ["pair_id", "kmer"]
     )
-    mirrored = targets.withColumnRenamed("kmer", "rc")
-    rev = (
-        starts.filter(~F.col("palindrome"))
-        .join(mirrored, ["pair_id", "rc"])
-        .select(
-            "pair_id", "i", "j", F.lit(dna.REVERSE).alias("match_type"),
-            (F.col("before") + F.col("n_fwd") + F.col("rank")).alias("ord"),
-        )
+    kind = lambda t: F.coalesce(F.sum(F.when(F.col("match_type") == t, F.col("n1") * F.col("n2"))), F.lit(0).cast("bigint"))
+    return met.groupBy("pair_id").agg(
+        kind(dna.FORWARD).alias("forward"), kind(dna.REVERSE).alias("reverse"), kind(dna.PALINDROME).alias("palindrome")
     )
-    return fwd.unionByName(rev).filter(F.col("ord") <= cap).drop("ord")
 
 
-def dotplot_summary(
-    pairs: DataFrame, matches: DataFrame, k: int = 31, cap: int = MAX_MATCHES
-) -> DataFrame:
-    """Per pair the matches of each type, both lengths, k and whether the cap was reached."""
-    kind = lambda t: F.count_if(F.col("match_type") == t)
-    counts = matches.groupBy("pair_id").agg(
-        kind(dna.FORWARD).alias("forward"),
-        kind(dna.REVERSE).alias("reverse"),
-        kind(dna.PALINDROME).alias("palindrome"),
-    )
+def summarise(pairs: DataFrame, counts: DataFrame, k: int, cap: int | None = None) -> DataFrame:
+    """``pair_id, seq1_len, seq2_len`` of ``pairs`` with their counts; pairs without a match have zeros."""
     none = F.lit(0).cast("bigint")
-    out = pairs.select(
+    kinds = ("forward", "reverse", "palindrome")
+    out = pairs.join(counts, "pair_id", "left")
+    out = out.withColumns({c: F.coalesce(c, none) for c in kinds}).withColumn("k", F.lit(k))
+    total = F.col("forward") + F.col("reverse") + F.col("palindrome")
+    return out.withColumn("truncated", F.lit(False) if cap is None else total >= cap)
+
+
+def dotplot_summary(pairs: DataFrame, k: int = 31, cap: int | None = None) -> DataFrame:
+    """Per pair the matches of each type, both lengths, k and whether a cap was reached."""
+    sizes = pairs.select(
         "pair_id",
         F.length(F.coalesce("seq1", F.lit(""))).alias("seq1_len"),
         F.length(F.coalesce("seq2", F.lit(""))).alias("seq2_len"),
-    ).join(counts, "pair_id", "left")
-    for c in ("forward", "reverse", "palindrome"):
-        out = out.withColumn(c, F.coalesce(c, none))
-    total = F.col("forward") + F.col("reverse") + F.col("palindrome")
-    return out.withColumn("k", F.lit(k)).withColumn("truncated", total >= cap)
+    )
+    if cap is None:
+        key = ("pair_id",)
+        counts = match_counts(kmer_counts(pairs, k, "seq1", key), kmer_counts(pairs, k, "seq2", key))
+        return summarise(sizes, counts, k)
+    kind = lambda t: F.count_if(F.col("match_type") == t)
+    counts = dotplot_matches(pairs, k, cap).groupBy("pair_id").agg(
+        kind(dna.FORWARD).alias("forward"), kind(dna.REVERSE).alias("reverse"), kind(dna.PALINDROME).alias("palindrome")
+    )
+    return summarise(sizes, counts, k, cap)

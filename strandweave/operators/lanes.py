@@ -26,13 +26,15 @@ def pack_lanes(
 ) -> DataFrame:
     """``key, seq, lane``. ``seq`` breaks ties between equal starts and is unique per key."""
     key = list(key)
+    if not key:
+        raise ValueError("a key is needed: each of its groups is packed in one task")
     slim = reads.select(*key, seq, "start", "end")
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, open_lanes = None, []
         for pdf in batches:
             lanes = []
-            groups = zip(*[pdf[k] for k in key]) if key else iter([()] * len(pdf))
+            groups = zip(*[pdf[k].astype(object).where(pdf[k].notna(), None) for k in key])
             for group, start, end in zip(groups, pdf["start"], pdf["end"]):
                 if group != current:
                     current, open_lanes = group, []
@@ -48,8 +50,7 @@ def pack_lanes(
             yield out
 
     schema = slim.select(*key, seq).withColumn("lane", F.lit(0)).schema
-    ordered = slim.repartition(*key) if key else slim.coalesce(1)
-    return ordered.sortWithinPartitions(*key, "start", seq).mapInPandas(assign, schema)
+    return slim.repartition(*key).sortWithinPartitions(*key, "start", seq).mapInPandas(assign, schema)
 
 
 def pack_lanes_by_haplotype(

@@ -44,6 +44,15 @@ def phase_counts(phase: DataFrame) -> DataFrame:
 
 
 def tag_reads(reads: DataFrame, phase: DataFrame) -> DataFrame:
-    """Reads with the new assignment; unassigned reads keep the one they had."""
+    """Reads with the new assignment; unassigned reads keep the one they had.
+
+    Where reads carry their SAM ``line``, its HP tag follows.
+    """
     new = phase.select("name", F.col("hp").alias("__hp"))
-    return reads.join(new, "name", "left").withColumn("hp", F.coalesce("__hp", "hp")).drop("__hp")
+    tagged = reads.join(new, "name", "left")
+    if "line" in reads.columns:
+        f = F.split("line", "\t")
+        tags = F.filter(F.slice(f, 12, F.greatest(F.size(f) - 11, F.lit(0))), lambda t: ~t.startswith("HP:"))
+        renewed = F.concat(F.slice(f, 1, 11), tags, F.array(F.concat(F.lit("HP:i:"), F.col("__hp").cast("string"))))
+        tagged = tagged.withColumn("line", F.when(F.col("__hp").isNotNull(), F.array_join(renewed, "\t")).otherwise(F.col("line")))
+    return tagged.withColumn("hp", F.coalesce("__hp", "hp")).drop("__hp")

@@ -4,7 +4,7 @@ A window partitioned by chromosome puts a whole chromosome of a whole sample in
 one task. Here the coordinate is cut into bins. Each bin is reduced to one
 value (with map-side partial aggregation), the few bin values are scanned per
 key, and each row combines the carry of its bin with a window inside the bin.
-Bins holding more than ``split_rows`` rows are cut again, by exact position and
+Where many rows may share a position, bins are cut again by exact position and
 by slices of the input order, so no window ever grows with the data.
 """
 
@@ -38,7 +38,8 @@ def running(
     Rows without a key or a position are dropped. ``order[0]`` is the position and ``order`` must be total up to identical
     rows. ``tie`` is the numeric column that orders rows of one position; leave
     it out when a position occurs once per key, for then a bin holds at most
-    ``bin_width`` rows and needs no second cut.
+    ``bin_width`` rows and needs no second cut. One slice spans ``split_rows``
+    numbers of ``tie``.
     """
     pick = F.greatest if fn is F.max else F.least
     keys, pos = list(keys), order[0]
@@ -49,45 +50,30 @@ def running(
     for c in [*keys, "__bin"]:
         binned = binned.filter(F.col(c).isNotNull())
 
-    per_bin = binned.groupBy(*keys, "__bin").agg(
-        fn("__val").alias("__top"), F.count(F.lit(1)).alias("__n")
-    )
+    per_bin = binned.groupBy(*keys, "__bin").agg(fn("__val").alias("__top"))
     along = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_bin.select(*keys, "__bin", "__n", fn("__top").over(along).alias("__carry"))
+    carry = per_bin.select(*keys, "__bin", fn("__top").over(along).alias("__carry"))
     carried = binned.join(carry, [*keys, "__bin"])
-    extra = ["__bin", "__val", "__carry", "__n"]
+    extra = ["__bin", "__val", "__carry"]
 
     def inside(*parts: str) -> Column:
         w = Window.partitionBy(*parts).orderBy(*order)
         return fn("__val").over(w.rowsBetween(Window.unboundedPreceding, upto))
 
-    split = tie is not None and _has_crowded_bin(binned, keys, split_rows)
-    calm = carried.filter(F.col("__n") <= split_rows) if split else carried
-    calm = calm.withColumn(out, pick("__carry", inside(*keys, "__bin"))).drop(*extra)
-    if not split:
-        return calm
+    if tie is None:
+        return carried.withColumn(out, pick("__carry", inside(*keys, "__bin"))).drop(*extra)
 
     leaf = [*keys, "__bin", pos, "__slice"]
-    crowded = (
-        carried.filter(F.col("__n") > split_rows)
-        .withColumn("__slice", position_bin(F.col(tie), split_rows))
-        .repartition(*leaf)
-    )
-    tops = crowded.groupBy(*leaf).agg(fn("__val").alias("__leaf_top"))
+    sliced = carried.withColumn("__slice", position_bin(F.col(tie), split_rows)).repartition(*leaf)
+    tops = sliced.groupBy(*leaf).agg(fn("__val").alias("__leaf_top"))
     within = (
         Window.partitionBy(*keys, "__bin")
         .orderBy(pos, "__slice")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     tops = tops.select(*leaf, fn("__leaf_top").over(within).alias("__leaf_carry"))
-    crowded = (
-        crowded.join(tops, leaf)
+    return (
+        sliced.join(tops, leaf)
         .withColumn(out, pick("__carry", "__leaf_carry", inside(*leaf)))
         .drop(*extra, "__slice", "__leaf_carry")
     )
-    return calm.unionByName(crowded)
-
-
-def _has_crowded_bin(binned: DataFrame, keys: Sequence[str], split_rows: int) -> bool:
-    sizes = binned.groupBy(*keys, "__bin").count()
-    return not sizes.filter(F.col("count") > split_rows).isEmpty()

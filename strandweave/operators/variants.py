@@ -55,6 +55,7 @@ def chromosome_count(variants: DataFrame) -> DataFrame:
 
 def check_variants(variants: DataFrame) -> DataFrame:
     """Per-check number of failing rows of a variant manifest, in one pass."""
+    # The manifest's region format and its fields.
     form = r"^[^\s:]+:\d+-\d+$"
     required = ["chrom", "pos", "size", "genotype", "ref_region", "fasta_region",
                 "hap1_regions", "hap2_regions"]

@@ -2,43 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.functions.regions import buffered_window, format_region, one_based, parse_region_greedy
 from strandweave.operators.intervals import best_cluster, cluster_intervals
-from strandweave.operators.kmer_match import MAX_MATCHES, dotplot_matches, dotplot_summary
+from strandweave.operators.kmer_match import dotplot_matches, dotplot_summary, kmer_counts, match_counts, summarise
 from strandweave.operators.sequences import CHUNK, slice_sequences
-from strandweave.plans.mapping import translate
+from strandweave.plans.mapping import translated_intervals
 
 # Fixed value: the three comparisons, first sequence on the horizontal axis.
 COMPARISONS = (("ref", "hap1"), ("ref", "hap2"), ("hap1", "hap2"))
 
 
-def buffered_regions(regions: DataFrame, buffer: float = 1.0) -> DataFrame:
-    """The padded windows.
+def buffered_regions(regions: DataFrame, buffer: float = 1.0, limit: int | None = None) -> DataFrame:
+    """The padded windows, and by how much each was trimmed to ``limit``.
 
     Exploding the one window keeps its arithmetic in one place; otherwise every
     later filter on its bounds would be rewritten to hold all of it.
     """
-    window = buffered_window(F.col("start"), F.col("end"), F.lit(float(buffer)))
+    window = buffered_window(F.col("start"), F.col("end"), F.lit(float(buffer)), limit)
     padded = regions.select("region_id", "sample_id", "chrom", F.explode(F.array(window)).alias("w"))
     return padded.select(
-        "region_id", "sample_id", "chrom", F.col("w.start").alias("start"), F.col("w.end").alias("end")
+        "region_id", "sample_id", "chrom", F.col("w.start").alias("start"), F.col("w.end").alias("end"),
+        "w.trimmed",
     )
 
 
-def dotplot_spans(regions: DataFrame, blocks: DataFrame, buffer: float = 1.0, **options) -> DataFrame:
+def dotplot_spans(
+    regions: DataFrame, blocks: DataFrame, buffer: float = 1.0, limit: int | None = None, **options
+) -> DataFrame:
     """``region_id, sample_id, side, name, start, end``: what to cut from each genome.
 
     The buffered window is translated to each haplotype and the cluster covering
     most bases is taken, strands together. Where nothing maps, the region's own
     ``hap1_region`` or ``hap2_region`` text is used if it has one.
     """
-    wide = buffered_regions(regions, buffer)
+    wide = buffered_regions(regions, buffer, limit)
     keys = ["region_id", "sample_id", "hap"]
-    pieces = translate(wide, blocks, **options)
-    best = best_cluster(cluster_intervals(pieces, [*keys, "asm_chrom"], bin_width=None), keys)
+    pieces = translated_intervals(wide, blocks, **options)
+    best = best_cluster(cluster_intervals(pieces, [*keys, "asm_chrom"]), keys)
     mapped = best.select(
         "region_id", "sample_id", F.col("hap").alias("side"), F.col("asm_chrom").alias("name"), "start", "end"
     )
@@ -59,40 +62,71 @@ def dotplot_spans(regions: DataFrame, blocks: DataFrame, buffer: float = 1.0, **
     )
 
 
-def dotplot_pairs(spans: DataFrame, chunks: DataFrame, chunk_size: int = CHUNK) -> DataFrame:
-    """``pair_id, region_id, comparison, seq1, seq2`` for the three comparisons.
+def dotplot_sides(spans: DataFrame, chunks: DataFrame, chunk_size: int = CHUNK) -> DataFrame:
+    """``region_id, side, bases``, uppercased.
 
     ``chunks`` holds the genomes under the names ``sample/ref``, ``sample/hap1``
     and ``sample/hap2``. A side without sequence counts as empty text.
     """
     asked = spans.withColumn("genome", F.concat_ws("/", "sample_id", "side"))
     cut = slice_sequences(asked, chunks, ["region_id", "side"], chunk_size)
-    side = lambda s: F.max(F.when(F.col("side") == s, F.upper("bases"))).alias(s)
-    wide = cut.groupBy("region_id").agg(side("ref"), side("hap1"), side("hap2"))
-    text = lambda s: F.coalesce(F.col(s), F.lit(""))
-    each = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(f"{a}/{b}").alias("comparison"), text(a).alias("seq1"), text(b).alias("seq2"))
-                for a, b in COMPARISONS
-            ]
-        )
-    )
-    return wide.select("region_id", each.alias("p")).select(
-        F.concat_ws("|", F.col("region_id").cast("string"), "p.comparison").alias("pair_id"),
-        "region_id", "p.comparison", "p.seq1", "p.seq2",
-    )
+    return cut.select("region_id", "side", F.upper(F.coalesce("bases", F.lit(""))).alias("bases"))
+
+
+def _wide(sides: DataFrame, value: Column, missing: Column) -> DataFrame:
+    """``pair_id, region_id, comparison, v1, v2``: ``value`` of both sides of each comparison."""
+    side = lambda s: F.max(F.when(F.col("side") == s, value)).alias(s)
+    wide = sides.groupBy("region_id").agg(side("ref"), side("hap1"), side("hap2"))
+    own = lambda s: F.coalesce(F.col(s), missing)
+    each = F.explode(F.array(*[
+        F.struct(F.lit(f"{a}/{b}").alias("comparison"), own(a).alias("v1"), own(b).alias("v2")) for a, b in COMPARISONS
+    ]))
+    return wide.select("region_id", each.alias("p")).select(_pair("p.comparison"), "region_id", "p.comparison", "p.v1", "p.v2")
+
+
+def _pair(comparison: str) -> Column:
+    return F.concat_ws("|", F.col("region_id").cast("string"), comparison).alias("pair_id")
+
+
+def dotplot_pairs(sides: DataFrame) -> DataFrame:
+    """``pair_id, region_id, comparison, seq1, seq2`` for the three comparisons."""
+    return _wide(sides, F.col("bases"), F.lit("")).withColumnsRenamed({"v1": "seq1", "v2": "seq2"})
+
+
+def _side_counts(counts: DataFrame, which: int) -> DataFrame:
+    """``pair_id, kmer, n`` of the first (0) or second (1) side of every comparison."""
+    uses = F.create_map(*[
+        x for s in ("ref", "hap1", "hap2")
+        for x in (F.lit(s), F.array(*[F.lit("/".join(c)) for c in COMPARISONS if c[which] == s]).cast("array<string>"))
+    ])
+    rows = counts.select("region_id", "kmer", "n", F.explode(uses[F.col("side")]).alias("comparison"))
+    return rows.select(_pair("comparison"), "kmer", "n")
+
+
+def side_summary(sides: DataFrame, k: int) -> DataFrame:
+    """Match counts of the three comparisons of every region.
+
+    Each side is cut into k-mers and counted once, however many comparisons use it.
+    """
+    counts = kmer_counts(sides, k, "bases", ("region_id", "side"))
+    found = match_counts(_side_counts(counts, 0), _side_counts(counts, 1))
+    sizes = _wide(sides, F.length("bases"), F.lit(0)).withColumnsRenamed({"v1": "seq1_len", "v2": "seq2_len"})
+    return summarise(sizes.select("pair_id", "seq1_len", "seq2_len"), found, k)
 
 
 def dotplot(
     regions: DataFrame, blocks: DataFrame, chunks: DataFrame, k: int = 31, buffer: float = 1.0,
-    cap: int = MAX_MATCHES, chunk_size: int = CHUNK, **options,
+    cap: int | None = None, chunk_size: int = CHUNK, **options,
 ) -> tuple[DataFrame, DataFrame]:
-    """``(matches, summary)`` of the three comparisons of every region. k is kept in [1, 101]."""
-    k = max(1, min(k, 101))
-    pairs = dotplot_pairs(dotplot_spans(regions, blocks, buffer, **options), chunks, chunk_size)
-    matches = dotplot_matches(pairs.select("pair_id", "seq1", "seq2"), k, cap)
-    return matches, dotplot_summary(pairs, matches, k, cap)
+    """``(matches, summary)`` of the three comparisons of every region.
+
+    ``cap`` limits the matches of a pair and ``limit`` the padded window; without
+    them nothing is left out.
+    """
+    sides = dotplot_sides(dotplot_spans(regions, blocks, buffer, **options), chunks, chunk_size)
+    pairs = dotplot_pairs(sides)
+    summary = side_summary(sides, k) if cap is None else dotplot_summary(pairs, k, cap)
+    return dotplot_matches(pairs.select("pair_id", "seq1", "seq2"), k, cap), summary
 
 
 def region_text(spans: DataFrame) -> DataFrame:

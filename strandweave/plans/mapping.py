@@ -16,8 +16,6 @@ from strandweave.operators.overlap import overlap_join
 from strandweave.operators.scan import DEFAULT_BIN, DEFAULT_SPLIT, running
 from strandweave.sources import paf, writers
 
-# Where CIGARs are indexed, those up to this length are still walked in place.
-INLINE_CIGAR = 4096
 JOIN_BIN = 65_536
 
 ASSEMBLY = ["sample_id", "hap", "ref_chrom"]
@@ -115,13 +113,11 @@ def map_alignments(
     bin_width: int = JOIN_BIN,
     ops: DataFrame | None = None,
     block_key: Sequence[str] = ("sample_id", "hap", "block_seq"),
-    inline_limit: int = INLINE_CIGAR,
 ) -> DataFrame:
     """Projected alignments of each window.
 
     CIGARs are walked in the task that made the pair. With ``ops``, the stored
-    result of ``explode_cigars``, those longer than ``inline_limit`` letters
-    stay behind and their offsets are looked up instead.
+    result of ``explode_cigars``, they stay behind and offsets are looked up.
     """
     key = list(block_key)
     slim = list(dict.fromkeys([*ASSEMBLY, "block_seq", *FLANK, *(key if ops is not None else [])]))
@@ -135,11 +131,8 @@ def map_alignments(
     if ops is None:
         hits = walked(clipped_blocks(regions, blocks.select(*slim, "cigar"), bin_width))
     else:
-        long = F.length(F.coalesce("cigar", F.lit(""))) > inline_limit
-        hits = walked(clipped_blocks(regions, blocks.filter(~long).select(*slim, "cigar"), bin_width))
-        pairs = clipped_blocks(regions, blocks.filter(long).select(*slim), bin_width)
-        found = lookup_offsets(pairs, ops, key).withColumn("asm", placed(F.col("q_lo"), F.col("q_hi")))
-        hits = hits.unionByName(found.drop("q_lo", "q_hi"))
+        pairs = clipped_blocks(regions, blocks.select(*slim), bin_width)
+        hits = lookup_offsets(pairs, ops, key).withColumn("asm", placed(F.col("q_lo"), F.col("q_hi")))
     none = F.lit(None).cast("bigint")
     return hits.select(
         "region_id", "sample_id", "hap", F.col("ref_start").alias("block_start"), "block_seq",
@@ -185,14 +178,27 @@ def map_regions(
     return found.unionByName(gaps_in_windows(regions, events, bin_width))
 
 
-def translate(regions: DataFrame, blocks: DataFrame, min_mapq: int = 0, **options) -> DataFrame:
+def translated_intervals(
+    regions: DataFrame, blocks: DataFrame, min_mapq: int = 0, limit: int | None = None, **options
+) -> DataFrame:
     """Merged assembly intervals of each valid window per haplotype, contig and strand."""
-    valid = regions.filter(window_status(F.col("start"), F.col("end")) == "ok")
+    valid = regions.filter(window_status(F.col("start"), F.col("end"), limit) == "ok")
     found = map_alignments(valid, blocks.filter(F.col("mapq") >= min_mapq), **options)
     solid = found.filter((F.col("asm_chrom") != "") & (F.col("asm_end") > F.col("asm_start")))
-    return merge_intervals(
-        solid, ["region_id", "sample_id", "hap", "asm_chrom", "strand"], "asm_start", "asm_end", None
-    )
+    return merge_intervals(solid, ["region_id", "sample_id", "hap", "asm_chrom", "strand"], "asm_start", "asm_end")
+
+
+def translate(regions: DataFrame, blocks: DataFrame, min_mapq: int = 0, limit: int | None = None, **options) -> DataFrame:
+    """``translated_intervals`` with a ``status`` and a row for every window.
+
+    A window without an interval has one row of nulls, whose status says why:
+    ``invalid``, ``empty``, ``unmapped``, or ``too_large`` if a limit is set.
+    """
+    found = translated_intervals(regions, blocks, min_mapq, limit, **options)
+    asked = regions.select("region_id", "sample_id", window_status(F.col("start"), F.col("end"), limit).alias("status"))
+    every = asked.join(found, ["region_id", "sample_id"], "left")
+    lost = (F.col("status") == "ok") & F.col("asm_chrom").isNull()
+    return every.withColumn("status", F.when(lost, "unmapped").otherwise(F.col("status")))
 
 
 def sv_annotations(regions: DataFrame, blocks: DataFrame, **options) -> DataFrame:
@@ -216,7 +222,7 @@ def assembly_regions(hits: DataFrame, keys: Sequence[str]) -> DataFrame:
     aligned = hits.filter(F.col("event_type") == "alignment")
     lo, hi = F.least("asm_start", "asm_end"), F.greatest("asm_start", "asm_end")
     merged = merge_intervals(
-        aligned.withColumn("lo", lo).withColumn("hi", hi), [*keys, "asm_chrom"], "lo", "hi", None
+        aligned.withColumn("lo", lo).withColumn("hi", hi), [*keys, "asm_chrom"], "lo", "hi"
     )
     text = F.concat("asm_chrom", F.lit(":"), F.col("start"), F.lit("-"), F.col("end"))
     item = F.struct("asm_chrom", "start", "end", text.alias("text"))

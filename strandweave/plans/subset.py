@@ -12,13 +12,14 @@ from strandweave.operators.overlap import overlap_join, point_join
 from strandweave.operators.sequences import CHUNK, slice_sequences
 from strandweave.operators.variants import select_variants
 from strandweave.plans.mapping import assembly_regions, map_alignments
+from strandweave.plans.reads import mapped
 from strandweave.sources.lines import read_lines
 
 READ_BIN = 16_384
 
 
 def padded_regions(variants: DataFrame, padding: int = 50_000) -> DataFrame:
-    """Variants with the padded window ``start, end`` (padding is at least 100)."""
+    """Variants with the padded window ``start, end``."""
     return variants.withColumn("start", padded_start(F.col("pos"), padding)).withColumn(
         "end", padded_end(F.col("end"), padding)
     )
@@ -53,7 +54,7 @@ def variant_manifest(
 
 
 def subset_reads(regions: DataFrame, reads: DataFrame, bin_width: int = READ_BIN) -> DataFrame:
-    """Records of the reads in the regions, moved to contigs named after the regions.
+    """Records of the aligned reads in the regions, moved to contigs named after the regions.
 
     ``regions(region_ord, chrom, start, end)`` and reads with their SAM
     ``line``. A record found in several regions is kept for the first. Mates on
@@ -65,7 +66,7 @@ def subset_reads(regions: DataFrame, reads: DataFrame, bin_width: int = READ_BIN
         "region_ord", "chrom", F.col("text").alias("region"),
         F.col("start").alias("r_start"), F.col("end").alias("r_end"),
     )
-    slim = reads.select("chrom", "start", "end", "name", "flags", "read_seq", "line")
+    slim = mapped(reads).select("chrom", "start", "end", "name", "flags", "read_seq", "line")
     found = overlap_join(asked, slim, ["chrom"], ("r_start", "r_end"), ("start", "end"), bin_width, closed=True)
     first = F.min(F.struct("region_ord", "read_seq", "region", "r_start", "line")).alias("m")
     kept = found.groupBy("name", "flags", "chrom", "start").agg(first).select("chrom", "m.*")

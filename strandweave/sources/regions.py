@@ -103,13 +103,13 @@ def read_manifest(spark: SparkSession, path: str, multi_line: bool = True) -> Da
     text_start = F.regexp_extract("ref_region", LAST_COLON, 2).try_cast("bigint")
     text_end = F.regexp_extract("ref_region", LAST_COLON, 3).try_cast("bigint")
     none = F.lit(0).cast("bigint")
-    size = F.coalesce("size", none)
     rows = v.withColumn(
         "start", F.coalesce("pos", text_start, none)
     ).withColumn(
-        "end", F.when(F.col("pos").isNotNull(), F.col("pos") + size).otherwise(F.coalesce(text_end, F.col("start") + size))
+        "end", F.when(F.col("pos").isNotNull(), F.col("pos") + F.coalesce("size", none))
+        .otherwise(F.coalesce(text_end, F.col("start") + F.coalesce("size", none)))
     )
-    rows = rows.withColumn("size", size).withColumn("genotype", F.coalesce("genotype", F.lit("?")))
+    rows = rows.withColumn("size", F.coalesce("size", F.col("end") - F.col("start"))).withColumn("genotype", F.coalesce("genotype", F.lit("?")))
     place = (F.col("chrom"), F.col("start"), F.col("end"))
     nothing = F.array().cast("array<string>")
     blank = F.lit("")

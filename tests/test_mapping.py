@@ -42,7 +42,7 @@ def test_cigar_projection(spark):
     ]
     windows = [("chr1", 10000, 10200), ("chr1", 10000, 10102), ("chr1", 20050, 20150), ("chr2", 50000, 50100)]
     ops = explode_cigars(blocks_df(spark, blocks), ["sample_id", "hap", "block_seq"])
-    for how in ({}, {"ops": ops, "inline_limit": 0}):
+    for how in ({}, {"ops": ops}):
         got = rows_of(hits(spark, blocks, windows, **how), "region_id", "asm_start", "asm_end")
         assert got == [(0, 1000, 1195), (1, 1000, 1100), (2, 2050, 2160), (3, 3095, 3195)]
 
@@ -51,7 +51,7 @@ def test_insertion_at_window_edge(spark):
     blocks = [("chr13", 100, 115, "ctg_ins", 200, 265, "+", 60, "10=50I5=")]
     windows = [("chr13", 105, 113), ("chr13", 110, 115), ("chr13", 100, 110), ("chr13", 109, 115)]
     ops = explode_cigars(blocks_df(spark, blocks), ["sample_id", "hap", "block_seq"])
-    for how in ({}, {"ops": ops, "inline_limit": 0}):
+    for how in ({}, {"ops": ops}):
         got = rows_of(hits(spark, blocks, windows, **how), "region_id", "asm_start", "asm_end")
         assert got == [(0, 205, 263), (1, 260, 265), (2, 200, 210), (3, 209, 265)]
 
@@ -209,11 +209,15 @@ def test_translate_merges_by_contig_and_strand(spark):
         ("chr1", 200, 300, "b", 150, 250, "-", 60),
         ("chr1", 300, 400, "a", 500, 600, "+", 60),
     ]
-    wins = [("chr1", 0, 400), ("chr1", 0, 3_000_000), ("chr1", 9, 9), ("chr1", 10, 3)]
+    wins = [("chr1", 0, 400), ("chr1", 0, 3_000_000), ("chr1", 9, 9), ("chr1", 10, 3), ("chr9", 0, 5)]
     got = M.translate(regions_df(spark, wins), blocks_df(spark, blocks), bin_width=64)
-    assert rows_of(got, "region_id", "asm_chrom", "strand", "start", "end") == [
-        (0, "a", "+", 500, 600), (0, "b", "+", 0, 200), (0, "b", "-", 150, 250),
+    hits = [("ok", "a", "+", 500, 600), ("ok", "b", "+", 0, 200), ("ok", "b", "-", 150, 250)]
+    none = (None, None, None, None)
+    assert rows_of(got, "region_id", "status", "asm_chrom", "strand", "start", "end") == [
+        *[(0, *h) for h in hits], *[(1, *h) for h in hits], (2, "empty", *none), (3, "invalid", *none), (4, "unmapped", *none),
     ]
+    small = M.translate(regions_df(spark, wins[:2]), blocks_df(spark, blocks), limit=1000, bin_width=64)
+    assert rows_of(small, "region_id", "status")[-1] == (1, "too_large")
 
 
 def test_annotations(spark):

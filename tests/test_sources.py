@@ -65,6 +65,14 @@ def test_manifest_and_unknown_files(spark, tmp_path):
 def test_fasta_fai_and_sheet(spark, tmp_path):
     (tmp_path / "x.fa").write_text(">chr1 first\nacgt\nNN\n>chr2\nTT\n")
     assert rows_of(sequences.read_fasta(spark, str(tmp_path / "x.fa")), "name", "seq") == [("chr1", "ACGTNN"), ("chr2", "TT")]
+    (tmp_path / "y.fa").write_text("\n>c1 gene A->B\nACG\nTAC\r\nGT\n>empty\n>c2\n\nac gt\n")
+    path = str(tmp_path / "y.fa")
+    assert rows_of(sequences.read_fasta(spark, path), "name", "seq") == [("c1", "ACGTACGT"), ("c2", "ACGT"), ("empty", "")]
+    for width in (1 << 20, 4):
+        parts = sequences.read_fasta_chunks(spark, path, size=3, bin_width=width)
+        assert rows_of(parts, "name", "chunk", "bases") == [
+            ("c1", 0, "ACG"), ("c1", 1, "TAC"), ("c1", 2, "GT"), ("c2", 0, "ACG"), ("c2", 1, "T"), ("empty", 0, ""),
+        ]
     (tmp_path / "x.fai").write_text("b\t5\t1\t2\t3\na\t9\t1\t2\t3\n")
     fai = sequences.read_fai(spark, str(tmp_path / "x.fai")).orderBy("contig_ord")
     assert rows_of(fai, "name", "length", order=True) == [("b", 5), ("a", 9)]
