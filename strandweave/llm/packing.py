@@ -115,7 +115,7 @@ class Run:
         return Run(count, [*self.items, (length, copies)])
 
 
-def plan_runs(histogram: dict[int, int], seq_len: int = 2048, width: int = 8, filler: int = 64) -> list[Run]:
+def plan_runs(histogram: dict[int, int], seq_len: int = 2048, width: int = 16, filler: int = 64) -> list[Run]:
     """Sequences for ``histogram`` (length -> documents, 1 to ``seq_len``); every document has one place.
 
     Patterns count lengths in bins of ``width``. A pattern places its two longest
