@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandweave.llm.common import save
+
 UNKNOWN = "und"
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 16
@@ -58,7 +60,8 @@ def fit(labelled: DataFrame, max_rows: int = 20_000, smoothing: float = 0.5, buc
     are left out. All languages weigh the same beforehand.
     """
     rows = labelled.where("text is not null and lang is not null")
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    # One row per language, read from storage: Spark sees its size and need not move the texts.
+    sizes = save(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")), "languages")
     share = (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) * F.col("_n")) < F.lit(max_rows << 20)
     sample = rows.join(sizes, "lang").where(share).select("lang", "text")
 
