@@ -232,7 +232,9 @@ def repeated_ranges(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, max_
     # Least and greatest content tell whether an anchor's segments are all equal.
     anchors = segments.groupBy("anchor").agg(
         F.sum("copies").alias("total"), F.min("content").alias("low"), F.max("content").alias("high")).where("total > 1")
-    rows = save(segments.join(anchors.select("anchor", (F.col("low") == F.col("high")).alias("alike")), "anchor"), "repeats")
+    # Stored, so that the join below shuffles both its sides for itself and Spark can split a crowded anchor.
+    anchors = save(anchors.select("anchor", (F.col("low") == F.col("high")).alias("alike")), "anchors")
+    rows = save(segments.join(anchors, "anchor"), "repeats")
     whole = ("digest", F.col("lo").alias("a"), (F.col("lo") + F.col("n") - 1 + width).cast("int").alias("b"))
     mixed = rows.where("not alike")
     contents = mixed.groupBy("anchor", "content").agg(
@@ -242,7 +244,7 @@ def repeated_ranges(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, max_
     wanted = contents.join(groups, "anchor").select(
         "anchor", "seg.*", F.col("total").alias("copies"), (F.col("_m") > max_group).alias("crowded"))
     cut = save(_cut_bytes(texts, wanted, width), "cuts")
-    again = contents.where("total > 1").select("anchor", "content")
+    again = save(contents.where("total > 1").select("anchor", "content"), "again")
     ranges = rows.where("alike").select(*whole)
     ranges = ranges.union(mixed.join(again, ["anchor", "content"]).select(*whole))
     return ranges.union(_sorted_groups(cut, width)).union(_counted_windows(cut, width))
