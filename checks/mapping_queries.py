@@ -289,16 +289,17 @@ def p6(spark, d):
 
 # --- sorting ----------------------------------------------------------------------
 
-@check("l1_sorted_blocks", f"""{ctes('blocks')} SELECT ref_chrom, ref_start, block_seq, block_id FROM blocks""")
+@check("l1_sorted_blocks", f"""{ctes('blocks')} SELECT ref_chrom, ref_start, block_seq,
+  ROW_NUMBER() OVER (ORDER BY ref_chrom, ref_start, block_seq) - 1 AS ord FROM blocks""")
 def l1(spark, d):
-    return writers.sorted_blocks(V.blocks(spark, d)).select("ref_chrom", "ref_start", "block_seq", "block_id")
+    return V.numbered(writers.sorted_blocks(V.blocks(spark, d)).select("ref_chrom", "ref_start", "block_seq"))
 
 
 @check("l2_result_order", f"""{ctes('blocks', 'windows')}, {S.kept(0)}, {_HITS},
 every AS (SELECT {HITS} FROM aligned UNION ALL SELECT {HITS} FROM seen)
-SELECT region_id, hap, block_start, block_seq, kind, event_type FROM every""")
+SELECT region_id, hap, block_start, block_seq, kind, ROW_NUMBER() OVER (ORDER BY region_id, hap, block_start, block_seq, kind) - 1 AS ord FROM every""")
 def l2(spark, d):
-    return q2(spark, d).orderBy(*writers.HIT_ORDER).select("region_id", "hap", "block_start", "block_seq", "kind", "event_type")
+    return V.numbered(q2(spark, d).orderBy(*writers.HIT_ORDER).select("region_id", "hap", "block_start", "block_seq", "kind"))
 
 
 @check("a6_longest_block", f"""{ctes('blocks')} SELECT hap, ref_chrom, MAX(ref_end - ref_start) AS max_block_len

@@ -238,12 +238,30 @@ def a5(spark, d):
 
 # --- pileups -----------------------------------------------------------------------------------
 
-@check("w6_lane_packing")
+def _lanes_sql(group: str) -> str:
+    """CTE ``laid``: the greedy scan read by read, carrying where each lane of a panel ends."""
+    start = f"{ctes('reads', 'spans')}, {S.OVER}".replace("WITH ", "WITH RECURSIVE ", 1)
+    return f"""{start},
+queue AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY region_id, track, g ORDER BY start_pos, read_seq) AS n
+  FROM (SELECT region_id, track, read_seq, start_pos, end_pos, {group} AS g FROM over_reads)),
+laid AS (SELECT region_id, track, g, n, read_seq, 0 AS lane, [end_pos] AS ends FROM queue WHERE n = 1
+  UNION ALL SELECT region_id, track, g, n, read_seq, CASE WHEN free THEN p - 1 ELSE LEN(ends) END,
+    CASE WHEN free THEN LIST_CONCAT(LIST_CONCAT(ends[:p - 1], [end_pos]), ends[p + 1:]) ELSE LIST_APPEND(ends, end_pos) END
+  FROM (SELECT q.*, l.ends, LIST_POSITION(l.ends, LIST_MIN(l.ends)) AS p, q.start_pos > LIST_MIN(l.ends) + 5 AS free
+    FROM laid l JOIN queue q ON q.region_id = l.region_id AND q.track = l.track AND q.g = l.g AND q.n = l.n + 1))"""
+
+
+@check("w6_lane_packing", f"""{_lanes_sql('0')} SELECT region_id, track, read_seq, CAST(lane AS INTEGER) AS lane FROM laid""")
 def w6(spark, d):
     return P.pileup(V.spans(spark, d), V.reads(spark, d), False, BIN)
 
 
-@check("w7_lanes_by_haplotype")
+@check("w7_lanes_by_haplotype", f"""{_lanes_sql('CASE hp WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END')},
+tops AS (SELECT region_id, track, COALESCE(MAX(lane + 1) FILTER (g = 1), 0) AS n1, COALESCE(MAX(lane + 1) FILTER (g = 2), 0) AS n2
+  FROM laid GROUP BY ALL),
+offs AS (SELECT *, CASE WHEN n1 > 0 THEN n1 + 1 ELSE 0 END AS o2 FROM tops)
+SELECT region_id, track, read_seq, CAST(lane + CASE g WHEN 1 THEN 0 WHEN 2 THEN o2 ELSE o2 + CASE WHEN n2 > 0 THEN n2 + 1 ELSE 0 END END AS INTEGER) AS lane
+FROM laid JOIN offs USING (region_id, track)""")
 def w7(spark, d):
     return P.pileup(V.spans(spark, d), V.reads(spark, d), True, BIN)
 
@@ -261,11 +279,12 @@ def q9(spark, d):
     return lanes.groupBy("region_id", "track").agg((F.max("lane") + 1).cast("bigint").alias("lanes"))
 
 
-@check("l6_reads_by_start", f"""{ctes('reads')} SELECT read_seq, chrom, track, start_pos FROM reads""")
+@check("l6_reads_by_start", f"""{ctes('reads')} SELECT read_seq, chrom, track, start_pos,
+  ROW_NUMBER() OVER (ORDER BY chrom, track, start_pos, read_seq) - 1 AS ord FROM reads""")
 def l6(spark, d):
-    return V.reads(spark, d).orderBy("chrom", "track", "start", "read_seq").select(
+    return V.numbered(V.reads(spark, d).orderBy("chrom", "track", "start", "read_seq").select(
         "read_seq", "chrom", "track", F.col("start").alias("start_pos")
-    )
+    ))
 
 
 @check("s13_tracks", f"""{ctes('reads', 'spans')}, {S.OVER} SELECT region_id, track || '_track' AS track, CAST(COUNT(*) AS BIGINT) AS n

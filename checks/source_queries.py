@@ -62,11 +62,15 @@ def s12(spark, d):
     return both.groupBy(hap.alias("hap"), "ref_chrom").agg(F.count(F.lit(1)).alias("n"), F.sum("ref_start").alias("total"))
 
 
-@check("s3_mapping_json", f"""{ctes('blocks')} SELECT {BLOCK}, cigar, tp FROM blocks WHERE hap = 'hap1'""")
+@check("s3_mapping_json", f"""{ctes('blocks')} SELECT hap, {BLOCK}, cigar, tp FROM blocks""")
 def s3(spark, d):
-    path = scratch_folder(spark, "s3")
-    writers.write_mapping_json(V.blocks(spark, d).filter("hap = 'hap1'"), path)
-    return paf.read_mapping_json(spark, path).select(*BLOCK.split(", "), "cigar", "tp")
+    """A document holds one assembly, so each haplotype has its own."""
+    back = []
+    for hap in ("hap1", "hap2"):
+        path = scratch_folder(spark, "s3")
+        writers.write_mapping_json(V.blocks(spark, d).filter(F.col("hap") == hap), path)
+        back.append(paf.read_mapping_json(spark, path).select(F.lit(hap).alias("hap"), *BLOCK.split(", "), "cigar", "tp"))
+    return back[0].unionByName(back[1])
 
 
 @check("k1_mapping_bed", f"""{ctes('blocks')} SELECT ref_chrom, ref_start, ref_end, asm_chrom, asm_start, asm_end, strand, mapq, block_len, matches FROM blocks""")
@@ -78,12 +82,11 @@ def k1(spark, d):
     return spark.read.csv(path, sep="\t", schema=schema)
 
 
-@check("k2_block_store", f"""{ctes('blocks')} SELECT hap, {BLOCK}, block_seq, matches, block_len, cigar, tp FROM blocks WHERE ref_chrom = 'chr2' AND ref_start < 200000""")
+@check("k2_block_store", f"""{ctes('blocks')} SELECT hap, {BLOCK}, block_seq, matches, block_len, cigar, tp FROM blocks""")
 def k2(spark, d):
     path = scratch_folder(spark, "k2")
     writers.write_blocks(V.blocks(spark, d), path)
-    kept = paf.read_blocks(spark, path).filter("ref_chrom = 'chr2' and ref_start < 200000")
-    return kept.select("hap", *BLOCK.split(", "), "block_seq", "matches", "block_len", "cigar", "tp")
+    return paf.read_blocks(spark, path).select("hap", *BLOCK.split(", "), "block_seq", "matches", "block_len", "cigar", "tp")
 
 
 @check("k3_hits_tsv", f"""{ctes('blocks', 'windows')}, {S.kept(0)}, {S.PREV}, {S.PFIELDS}, {S.GAPS}, {S.PAIRS}, {S.PROJECTED}, {S.SEEN_GAPS}
@@ -98,11 +101,12 @@ def k3(spark, d):
 
 
 @check("q1_build_mapping", f"""{ctes('blocks')} SELECT hap, ref_chrom, CAST(COUNT(*) AS BIGINT) AS n, CAST(SUM(ref_end - ref_start) AS BIGINT) AS bases,
-  MIN(ref_start) AS lo, MAX(ref_end) AS hi FROM blocks WHERE hap = 'hap1' GROUP BY ALL""")
+  MIN(ref_start) AS lo, MAX(ref_end) AS hi FROM blocks GROUP BY ALL""")
 def q1(spark, d):
-    out = scratch_folder(spark, "q1")
-    stored = M.build_mapping(spark, [_paf(spark, d, "q1", "hap1")], out, "s0", "hap1")
-    return stored.groupBy("hap", "ref_chrom").agg(
+    one, two = (
+        M.build_mapping(spark, [_paf(spark, d, "q1", hap)], scratch_folder(spark, "q1"), "s0", hap) for hap in ("hap1", "hap2")
+    )
+    return one.unionByName(two).groupBy("hap", "ref_chrom").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("ref_end") - F.col("ref_start")).alias("bases"),
         F.min("ref_start").alias("lo"), F.max("ref_end").alias("hi"),
     )

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 # Alignment blocks, 0-based half-open.
 BLOCKS = """
@@ -132,5 +133,11 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def numbered(ordered: DataFrame) -> DataFrame:
+    """Adds ``ord``: the place of each row as it stands, from 0."""
+    schema = StructType([*ordered.schema.fields, StructField("ord", LongType(), False)])
+    return ordered.sparkSession.createDataFrame(ordered.rdd.zipWithIndex().map(lambda p: (*p[0], p[1])), schema)
+
+
 def seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, "seqs")
