@@ -173,14 +173,17 @@ def _link_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def groups(fps: DataFrame) -> DataFrame:
-    """Per different fingerprint of ``doc_id, fp``: ``fp, component_id``, the smallest id that links reach."""
+    """Per different fingerprint of ``doc_id, fp``: ``fp, component, component_id``.
+
+    ``component`` is the smallest fingerprint that links reach, ``component_id`` the smallest id.
+    """
     distinct = save(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
     roots = components(links(distinct))
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = save(rooted, "roots")
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return save(rooted.join(ids, "root").select("fp", "component_id"), "components")
+    return save(rooted.join(ids, "root").select("fp", F.col("root").alias("component"), "component_id"), "components")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -197,10 +200,18 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, words: int = 3) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: that with the smallest id."""
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id"), F.col("text"))
-    fps = save(fingerprints(rows, keep=("_row", "doc_id"), words=words), "simhash")
-    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    kept = fps.join(groups(fps.select("doc_id", "fp")), "fp").where(first)
-    # Only rows that share the id as well are left to drop.
-    return kept.dropDuplicates(["component_id"]).select("_row.*")
+    """``docs`` with one row of each group of near-duplicates: that with the smallest id.
+
+    Of rows that share that id the text of smallest digest stays, once. Groups
+    are found on ids, digests and fingerprints; whole rows are moved once.
+    """
+    id_key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    digest = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("\0"))))
+    slim = docs.select("doc_id", id_key.alias("_id"), digest.alias("_digest"), "text")
+    fps = save(fingerprints(slim, keep=("doc_id", "_id", "_digest"), words=words), "simhash")
+    grouped = fps.join(groups(fps.select("doc_id", "fp")), "fp")
+    first = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # The fingerprint tells components apart that clashing ids call by the same number.
+    kept = save(first.groupBy("component", "_id").agg(F.min("_digest").alias("_digest")).select("_id", "_digest"), "kept")
+    rows = docs.select(F.struct("*").alias("_row"), id_key.alias("_id"), digest.alias("_digest"))
+    return rows.join(kept, ["_id", "_digest"], "left_semi").dropDuplicates(["_id", "_digest"]).select("_row.*")
