@@ -306,7 +306,6 @@ def removed_passages(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, max_
     """
     found = _stripped(docs, width, gram, max_group).select(
         "digest", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-    found = save(found, "removed")
     rows = docs.select("doc_id", _digest(F.col("text")).alias("digest"))
     return rows.join(found, "digest").drop("digest")
 
@@ -318,8 +317,9 @@ def remove_passages(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, max_g
     character are dropped. Null texts stay null, and a text may become empty.
     """
     found = _stripped(docs, width, gram, max_group).select("digest", F.col("kept_text").alias("_kept"))
-    found = save(found, "kept")
-    rows = docs.select(F.struct("*").alias("_row"), _digest(F.col("text")).alias("digest"))
-    text = F.when(F.col("_row.text").isNull(), F.lit(None)).otherwise(F.col("_kept"))
+    # The old texts stay behind: only the other columns and the digest are moved.
+    others = F.struct(*[F.col(c) for c in docs.columns if c != "text"], F.col("text").isNotNull().alias("_known"))
+    rows = docs.select(others.alias("_row"), _digest(F.col("text")).alias("digest"))
+    text = F.when(F.col("_row._known"), F.col("_kept"))
     columns = [text.alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns]
     return rows.join(found, "digest").select(*columns)
