@@ -147,12 +147,22 @@ def j4(spark, d):
     return _text(ph.tag_reads(V.reads(spark, d), phase).select("read_seq", "hp"), "hp")
 
 
-@check("q5_phase_reads", f"""{_PHASE}, {_assigned(20)}
-SELECT r.track, COALESCE(CAST(COALESCE(p.hp, r.hp) AS VARCHAR), 'none') AS hp, CAST(COUNT(*) AS BIGINT) AS n
-FROM reads r LEFT JOIN phase p USING (name) GROUP BY ALL""")
+# Two samples whose reads share names.
+_SAMPLES = f"""{ctes('reads')}, two AS (SELECT * REPLACE ('s' || (read_seq // 4 % 2) AS sample_id) FROM reads),
+sc AS (SELECT * FROM two WHERE (flags & 4) = 0 AND as_score IS NOT NULL),
+h1 AS (SELECT sample_id, name, MAX(as_score) AS s1 FROM sc WHERE track = 'hap1' GROUP BY ALL),
+h2 AS (SELECT sample_id, name, MAX(as_score) AS s2 FROM sc WHERE track = 'hap2' GROUP BY ALL),
+both_sides AS (SELECT sample_id, name, s1, s2 FROM h1 FULL OUTER JOIN h2 USING (sample_id, name)),
+{_assigned(20).replace("SELECT name", "SELECT sample_id, name")}"""
+
+
+@check("q5_phase_reads", f"""{_SAMPLES}
+SELECT r.sample_id, r.track, COALESCE(CAST(COALESCE(p.hp, r.hp) AS VARCHAR), 'none') AS hp, CAST(COUNT(*) AS BIGINT) AS n
+FROM two r LEFT JOIN phase p USING (sample_id, name) GROUP BY ALL""")
 def q5(spark, d):
-    tagged = phase_and_tag(V.reads(spark, d), 20)[2]
-    return tagged.groupBy("track", F.coalesce(F.col("hp").cast("string"), F.lit("none")).alias("hp")).agg(
+    reads = V.reads(spark, d).withColumn("sample_id", F.concat(F.lit("s"), (F.floor(F.col("read_seq") / 4) % 2).cast("string")))
+    tagged = phase_and_tag(reads, 20)[2]
+    return tagged.groupBy("sample_id", "track", F.coalesce(F.col("hp").cast("string"), F.lit("none")).alias("hp")).agg(
         F.count(F.lit(1)).alias("n")
     )
 

@@ -100,31 +100,34 @@ def a9(spark, d):
 # --- names and slices -------------------------------------------------------------------
 
 def _contigs(spark, d):
-    """Index rows: whole contigs, contigs named after regions, and longer names."""
+    """Index rows of two genomes: whole contigs, contigs named after regions, longer names, and rivals for one region."""
     s = V.seqs(spark, d)
-    m, doc = F.col("doc_id") % 4, F.col("doc_id").cast("string")
-    name = (
-        F.when(m == 0, F.concat(F.lit("d"), doc))
-        .when(m == 1, F.concat(F.lit("d"), doc, F.lit(":5-60")))
-        .when(m == 2, F.concat(F.lit("d"), doc, F.lit(".1#x")))
-        .otherwise(F.concat(F.lit("d"), doc, F.lit("z")))
+    doc = F.col("doc_id").cast("string")
+    endings = F.when(F.col("g") == 0, F.array(F.lit(""), F.lit(":5-60"), F.lit(".1#x"), F.lit("z")))
+    ending = F.get(endings.otherwise(F.array(F.lit("|b"), F.lit(""), F.lit("y"), F.lit(":5-5000"))), ((F.col("doc_id") + F.col("r")) % 4).cast("int"))
+    rows = s.select("doc_id", "seq", F.explode(F.array(F.lit(0), F.lit(1))).alias("g")).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("r"))
+    return rows.select(
+        F.concat(F.lit("g"), F.col("g").cast("string")).alias("genome"), (F.col("doc_id") * 2 + F.col("r")).alias("contig_ord"),
+        F.concat(F.lit("d"), doc, ending).alias("name"), F.length("seq").cast("bigint").alias("length"),
     )
-    return s.select(F.col("doc_id").alias("contig_ord"), name.alias("name"), F.length("seq").cast("bigint").alias("length"))
 
 
-@check("j8_resolve_names", f"""{ctes('seqs')}, contigs AS (SELECT doc_id AS ord, 'd' || doc_id || CASE doc_id % 4 WHEN 0 THEN ''
-  WHEN 1 THEN ':5-60' WHEN 2 THEN '.1#x' ELSE 'z' END AS name, CAST(LENGTH(seq) AS BIGINT) AS len FROM seqs),
-regions AS (SELECT doc_id AS region_id, 'd' || doc_id AS chrom, CAST(5 AS BIGINT) AS s, CAST(CASE WHEN doc_id % 3 = 0 THEN 60 ELSE 5000 END AS BIGINT) AS e FROM seqs),
-hits AS (SELECT region_id, ord, name, len, s, e, CASE WHEN name = chrom || ':' || s || '-' || e THEN 1 WHEN name = chrom THEN 2 ELSE 3 END AS rule
-  FROM regions r JOIN contigs c ON c.ord = r.region_id AND (name = chrom || ':' || s || '-' || e OR name = chrom
-    OR (STARTS_WITH(name, chrom) AND REGEXP_MATCHES(SUBSTRING(name, LENGTH(chrom) + 1, 1), '[^A-Za-z0-9]'))))
-SELECT region_id, name, CASE WHEN rule = 2 THEN s ELSE 1 END AS start_pos, CASE WHEN rule = 2 THEN e ELSE LEAST(len, e - s + 1) END AS end_pos FROM hits""")
+@check("j8_resolve_names", f"""{ctes('seqs')}, contigs AS (SELECT 'g' || g AS genome, doc_id * 2 + r AS ord, CAST(LENGTH(seq) AS BIGINT) AS len,
+  'd' || doc_id || CASE WHEN g = 0 THEN ['', ':5-60', '.1#x', 'z'] ELSE ['|b', '', 'y', ':5-5000'] END[(doc_id + r) % 4 + 1] AS name
+  FROM seqs, (VALUES (0), (1)) a(g), (VALUES (0), (1)) b(r)),
+regions AS (SELECT doc_id AS region_id, 'g' || g AS genome, 'd' || doc_id AS chrom, CAST(5 AS BIGINT) AS s,
+  CAST(CASE WHEN doc_id % 3 = 0 THEN 60 ELSE 5000 END AS BIGINT) AS e FROM seqs, (VALUES (0), (1)) a(g)),
+hits AS (SELECT region_id, r.genome, ord, name, len, s, e, CASE WHEN name = chrom || ':' || s || '-' || e THEN 1 WHEN name = chrom THEN 2 ELSE 3 END AS rule
+  FROM regions r JOIN contigs c ON c.genome = r.genome AND (name = chrom || ':' || s || '-' || e OR name = chrom
+    OR (STARTS_WITH(name, chrom) AND REGEXP_MATCHES(SUBSTRING(name, LENGTH(chrom) + 1, 1), '[^A-Za-z0-9]')))),
+best AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY region_id, genome ORDER BY ord) AS n FROM hits) WHERE n = 1)
+SELECT region_id, genome, name, CASE WHEN rule = 2 THEN s ELSE 1 END AS start_pos, CASE WHEN rule = 2 THEN e ELSE LEAST(len, e - s + 1) END AS end_pos FROM best""")
 def j8(spark, d):
     s = V.seqs(spark, d)
     end = F.when(F.col("doc_id") % 3 == 0, 60).otherwise(5000).cast("bigint")
     regions = s.select(
         F.col("doc_id").alias("region_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chrom"),
-        F.lit(5).cast("bigint").alias("start"), end.alias("end"),
+        F.lit(5).cast("bigint").alias("start"), end.alias("end"), F.explode(F.array(F.lit("g0"), F.lit("g1"))).alias("genome"),
     )
     return resolve_names(regions, _contigs(spark, d)).withColumnsRenamed({"start": "start_pos", "end": "end_pos"})
 

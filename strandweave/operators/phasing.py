@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.functions import sam
 
 
-def best_scores(reads: DataFrame) -> DataFrame:
-    """Highest alignment score per read name over its mapped alignments."""
+def best_scores(reads: DataFrame, key: Sequence[str] = ("name",)) -> DataFrame:
+    """Highest alignment score per read name over its mapped alignments.
+
+    Where names of several samples meet, the key takes ``sample_id`` as well; so
+    below.
+    """
     scored = reads.filter(sam.has_score(F.col("flags"), F.col("as_score")))
-    return scored.groupBy("name").agg(F.max("as_score").alias("score"))
+    return scored.groupBy(*key).agg(F.max("as_score").alias("score"))
 
 
 def assign_hp(s1: Column, s2: Column, tolerance: int = 0) -> Column:
@@ -26,12 +32,12 @@ def assign_hp(s1: Column, s2: Column, tolerance: int = 0) -> Column:
     )
 
 
-def phase_reads(hap1: DataFrame, hap2: DataFrame, tolerance: int = 0) -> DataFrame:
-    """``name, hp`` from alignments of the same reads to both haplotypes."""
-    one = best_scores(hap1).withColumnRenamed("score", "s1")
-    two = best_scores(hap2).withColumnRenamed("score", "s2")
-    both = one.join(two, "name", "full_outer")
-    return both.select("name", assign_hp(F.col("s1"), F.col("s2"), tolerance).alias("hp"))
+def phase_reads(hap1: DataFrame, hap2: DataFrame, tolerance: int = 0, key: Sequence[str] = ("name",)) -> DataFrame:
+    """``key, hp`` from alignments of the same reads to both haplotypes."""
+    one = best_scores(hap1, key).withColumnRenamed("score", "s1")
+    two = best_scores(hap2, key).withColumnRenamed("score", "s2")
+    both = one.join(two, list(key), "full_outer")
+    return both.select(*key, assign_hp(F.col("s1"), F.col("s2"), tolerance).alias("hp"))
 
 
 def phase_counts(phase: DataFrame) -> DataFrame:
@@ -43,13 +49,13 @@ def phase_counts(phase: DataFrame) -> DataFrame:
     )
 
 
-def tag_reads(reads: DataFrame, phase: DataFrame) -> DataFrame:
+def tag_reads(reads: DataFrame, phase: DataFrame, key: Sequence[str] = ("name",)) -> DataFrame:
     """Reads with the new assignment; unassigned reads keep the one they had.
 
     Where reads carry their SAM ``line``, its HP tag follows.
     """
-    new = phase.select("name", F.col("hp").alias("__hp"))
-    tagged = reads.join(new, "name", "left")
+    new = phase.select(*key, F.col("hp").alias("__hp"))
+    tagged = reads.join(new, list(key), "left")
     if "line" in reads.columns:
         f = F.split("line", "\t")
         tags = F.filter(F.slice(f, 12, F.greatest(F.size(f) - 11, F.lit(0))), lambda t: ~t.startswith("HP:"))

@@ -52,8 +52,8 @@ def slice_sequences(
 def resolve_names(regions: DataFrame, contigs: DataFrame) -> DataFrame:
     """Sequence and local bounds for each region; unresolved regions are left out.
 
-    ``regions(region_id, chrom, start, end)`` and ``contigs(contig_ord, name,
-    length)``. The first contig in index order wins whose name is the whole
+    ``regions(region_id, genome, chrom, start, end)`` and ``contigs(genome,
+    contig_ord, name, length)``. The first contig of the genome in index order wins whose name is the whole
     region text, or the contig, or begins with the contig followed by a
     character that is no letter or digit. The last rule becomes an equi-join by
     listing, for each name, its prefixes that end before such a character.
@@ -67,8 +67,8 @@ def resolve_names(regions: DataFrame, contigs: DataFrame) -> DataFrame:
             F.struct(F.col("chrom").alias("term"), F.lit(2).alias("rule")),
         )
     ).alias("q")
-    terms = asked.select("region_id", "start", "end", by).select(
-        "region_id", "start", "end", "q.term", "q.rule"
+    terms = asked.select("region_id", "genome", "start", "end", by).select(
+        "region_id", "genome", "start", "end", "q.term", "q.rule"
     )
     cut = F.filter(
         F.sequence(F.lit(1), F.greatest(F.length("name") - 1, F.lit(1))),
@@ -76,22 +76,22 @@ def resolve_names(regions: DataFrame, contigs: DataFrame) -> DataFrame:
     )
     shorter = F.transform(cut, lambda i: F.substring("name", F.lit(1), i))
     names = contigs.select(
-        "contig_ord", "name", "length",
+        "genome", "contig_ord", "name", "length",
         F.explode(
             F.concat(
                 F.array(F.struct(F.col("name").alias("term"), F.lit(True).alias("full"))),
                 F.transform(shorter, lambda t: F.struct(t.alias("term"), F.lit(False).alias("full"))),
             )
         ).alias("t"),
-    ).select("contig_ord", "name", "length", F.col("t.term").alias("term"), F.col("t.full").alias("full"))
-    hits = terms.join(names, "term").filter(F.col("full") | (F.col("rule") == 2))
+    ).select("genome", "contig_ord", "name", "length", F.col("t.term").alias("term"), F.col("t.full").alias("full"))
+    hits = terms.join(names, ["genome", "term"]).filter(F.col("full") | (F.col("rule") == 2))
     rule = F.when(F.col("full"), F.col("rule")).otherwise(3)
-    best = hits.groupBy("region_id").agg(
+    best = hits.groupBy("region_id", "genome").agg(
         F.min(F.struct("contig_ord", rule.alias("rule"), "name", "length", "start", "end")).alias("b")
     )
     local = F.col("b.rule") != 2
     return best.select(
-        "region_id", F.col("b.name").alias("name"),
+        "region_id", "genome", F.col("b.name").alias("name"),
         F.when(local, F.lit(1).cast("bigint")).otherwise(F.col("b.start")).alias("start"),
         F.when(local, F.least("b.length", F.col("b.end") - F.col("b.start") + 1))
         .otherwise(F.col("b.end")).alias("end"),

@@ -9,8 +9,9 @@ from strandweave.operators.phasing import phase_counts, phase_reads, tag_reads
 
 
 def phase_and_tag(reads: DataFrame, tolerance: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(phase, counts, tagged reads)`` from a table holding all tracks."""
+    """``(phase, counts, tagged reads)`` from a table holding all tracks of all samples."""
+    key = ("sample_id", "name")
     phase = phase_reads(
-        reads.filter(F.col("track") == "hap1"), reads.filter(F.col("track") == "hap2"), tolerance
+        reads.filter(F.col("track") == "hap1"), reads.filter(F.col("track") == "hap2"), tolerance, key
     )
-    return phase, phase_counts(phase), tag_reads(reads, phase)
+    return phase, phase_counts(phase), tag_reads(reads, phase, key)
