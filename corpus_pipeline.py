@@ -18,8 +18,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Drops documents in which no language is found: null texts and texts without a letter."""
     labelled = docs.where(~langid.held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
     langs, matrix = langid.fit(labelled.select("doc_id", "text", "lang"))
-    rows = docs.select(F.struct("*").alias("_row"), "text")
-    return langid.predict(rows, langs, matrix, keep=("_row",)).where(F.col("lang_pred") != langid.UNKNOWN).select("_row.*")
+    rows = docs.select(F.struct("*").alias("_row"))
+    return langid.predict(rows, langs, matrix, keep=("_row",), inside="_row").where(F.col("lang_pred") != langid.UNKNOWN).select("_row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,22 +90,26 @@ def fit(labelled: DataFrame, max_rows: int = 20_000, smoothing: float = 0.5, buc
     return langs, np.log(matrix / matrix.sum(0, keepdims=True)).astype(np.float32)
 
 
-def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, keep: tuple[str, ...] = ("doc_id",), inside: str | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` and ``lang_pred`` and ``score``.
 
+    The text is the column ``text`` or, with ``inside``, that field of this struct
+    column, one of ``keep``; so whole rows travel without a second copy of it.
+
     ``score`` is the posterior probability of the language. Texts that are null
     or have no letter, and all texts if nothing was learnt, are ``und`` with
     score 0. Of languages with equal score the first by code point is told.
     """
     shared = docs.sparkSession.sparkContext.broadcast((langs, matrix))
-    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    rows = docs.select(*keep, *([] if inside else [F.col("text").cast("string").alias("_text")]))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
 
     def run(batches):
         names, table = shared.value
         for batch in batches:
             found, scores = [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
+            texts = pc.struct_field(batch.column(keep.index(inside)), "text") if inside else batch.column(len(keep))
+            for text in texts.to_pylist():
                 at = gram_buckets(text, buckets=len(table)) if text and names else ()
                 if not len(at):
                     found.append(UNKNOWN)
@@ -118,8 +123,8 @@ def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, keep: tuple[s
                 found.append(names[best])
                 scores.append(float(1.0 / np.exp(logs - logs[best]).sum()))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(found, pa.string()), pa.array(scores, pa.float64())],
-                [*batch.schema.names[:-1], "lang_pred", "score"])
+                [*batch.columns[: len(keep)], pa.array(found, pa.string()), pa.array(scores, pa.float64())],
+                [*keep, "lang_pred", "score"])
 
     return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
