@@ -44,22 +44,29 @@ class Encoder:
     space between two non-blank characters, nor across a single newline between
     them. Texts are cut there, and each distinct piece is encoded by the library
     once; texts with other white space are cut only where that rule holds. Ids
-    equal those of encoding the text at once. The cache is emptied beyond
-    ``limit`` pieces, so memory is bounded; that changes no id.
+    equal those of encoding the text at once, with the tokenizer's added tokens
+    found as the library finds them: texts are first split at their contents. The
+    cache is emptied beyond ``limit`` pieces, so memory is bounded; that changes no id.
     """
 
     def __init__(self, path: str, limit: int = 900_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.model = self.whole.model
+        added = self.whole.get_added_tokens_decoder()
+        self.added = {t.content: i for i, t in added.items()}
+        #: Added tokens that look at the text around them leave a text to the library as it is.
+        self.apart = not any(t.lstrip or t.rstrip or t.single_word or t.normalized or t.content != t.content.strip() for t in added.values())
+        #: The library takes the leftmost added token, of several there the longest.
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.alphabet = byte_alphabet()
         self.limit = limit
         self.clear()
 
     def clear(self) -> None:
         self.units, self.exact, self.marks = _Units(self._add_unit), _Units(self._add), {}
+        self.tokens: dict[str, int] = {}
         self.flat, self.starts, self.counts = array("I"), array("q"), array("q")
 
     def _bpe(self, text: str) -> list[int]:
@@ -75,6 +82,9 @@ class Encoder:
             ids = self._mark(lead) + self._bpe(word) if lead == "\n" else self._bpe(lead + word)
             if marks:
                 ids = ids + self._mark(marks)
+        return self._put(ids)
+
+    def _put(self, ids: list[int]) -> int:
         self.starts.append(len(self.flat))
         self.counts.append(len(ids))
         self.flat.extend(ids)
@@ -106,16 +116,33 @@ class Encoder:
         pieces[1:] = [" " + p for p in pieces[1:]]
         return np.fromiter(map(self.exact.__getitem__, pieces), np.int64, len(pieces)), 0
 
+    def _parts(self, text: str) -> list[tuple[np.ndarray, int]]:
+        """``_numbers`` of the stretches between added tokens, and these as pieces of one id."""
+        if not any(content in text for content in self.added):
+            return [self._numbers(text)]
+        if not self.apart:
+            return [(np.array([self._put(self.whole.encode(text, add_special_tokens=False).ids)]), 0)]
+        out = []
+        for i, part in enumerate(self.cut.split(text)):
+            if i % 2 == 0:
+                out.append(self._numbers(part))
+            else:
+                if part not in self.tokens:
+                    self.tokens[part] = self._put([self.added[part]])
+                out.append((np.array([self.tokens[part]]), 0))
+        return out
+
     def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row (uint32) and where each text begins (one more entry: the end)."""
-        if len(self.units) + len(self.exact) > self.limit:
+        if max(len(self.units) + len(self.exact), len(self.flat) // 16) > self.limit:
             self.clear()
-        numbers, skip, sizes = [], [], []
+        numbers, skip, sizes, heads = [], [], [], [0]
         for text in texts:
-            at, lead = self._numbers(text or "")
-            numbers.append(at)
-            skip.append(lead)
-            sizes.append(len(at))
+            for at, lead in self._parts(text or ""):
+                numbers.append(at)
+                skip.append(lead)
+                sizes.append(len(at))
+            heads.append(len(sizes))
         flat = np.array(self.flat, np.uint32)
         starts, counts = np.array(self.starts, np.int64), np.array(self.counts, np.int64)
         at = np.concatenate(numbers) if numbers else np.empty(0, np.int64)
@@ -128,7 +155,7 @@ class Encoder:
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
         ids = flat[np.repeat(begin - ends + n, n) + np.arange(total)]
-        bounds = np.concatenate([[0], ends])[first]
+        bounds = np.concatenate([[0], ends])[first][heads]
         if end is None:
             return ids, bounds
         out = np.full(total + len(texts), end, np.uint32)
