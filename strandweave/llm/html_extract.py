@@ -11,6 +11,8 @@ its article, only that is looked at.
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -21,9 +23,11 @@ from strandweave.llm.common import save
 from strandweave.llm.html_tree import Page, Tree, align
 from strandweave.llm.url_filter import host_of
 
-#: A text is template if it is in its slot on this share of the host's pages, and on this many.
+#: A text is template if it is in its slot on this share of the host's different pages, and on this many.
 SHARE = 0.5
 LEAST = 3
+#: Pages that have this share of their characters in common are near copies.
+AGREE = 0.75
 #: Outside an article, blocks of which this share is link text are menus.
 LINKS = 0.8
 _RUNS = 1000
@@ -82,39 +86,59 @@ def references(rows: DataFrame) -> DataFrame:
     return save(trees.groupBy("host").agg(F.max("pages").alias("pages"), order.getField("skeleton").alias("skeletons")), "references")
 
 
+def _weights(blocks: DataFrame) -> DataFrame:
+    """Per page of ``host, h, text, size`` (one row per text): ``host, h, weight``.
+
+    If ``AGREE`` of a page's characters are in texts that c pages or more of the
+    host have, the page is taken for one of c near copies and counts 1/c.
+    """
+    shared = blocks.groupBy("host", "text").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counted = blocks.join(shared, ["host", "text"], "left")
+    copies = F.expr(f"percentile(coalesce(n, 1), {1 - AGREE}, size)")
+    return save(counted.groupBy("host", "h").agg((1 / copies).alias("weight")), "weights")
+
+
 def templates(rows: DataFrame, refs: DataFrame) -> DataFrame:
     """Per host with a template: ``host, skeletons, slots``; a slot is (reference, slot, text hash).
 
-    A slot has at most two texts that are on half the pages, so a host's list is
-    bounded by its reference pages.
+    Each different page votes once, near copies of one page together once. A slot
+    has at most two texts that are on half the pages, so a host's list is bounded
+    by its reference pages.
     """
 
     def run(batches):
         for batch in batches:
-            out = [[] for _ in range(5)]
+            out = [[] for _ in range(6)]
             trees: dict[str, list[Tree]] = {}
             for host, h, html, skeletons in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if host not in trees:
                     trees[host] = [Tree(s) for s in skeletons]
                 page = Page(html or "")
                 blocks = candidates(page)
+                hashes = [_hash(t) for _, _, t in blocks]
+                sizes = defaultdict(int)
+                for (_, _, text), mark in zip(blocks, hashes, strict=True):
+                    sizes[mark] += len(text)
+                found = {(-1, -1, mark): n for mark, n in sizes.items()}  # the page's texts, wherever they stand
                 for which, tree in enumerate(trees[host]):
-                    for slot, (_, _, text) in zip(_slots(page, blocks, tree), blocks, strict=True):
-                        if slot >= 0:
-                            for column, value in zip(out, (host, which, slot, _hash(text), h), strict=True):
-                                column.append(value)
-            kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["host", "which", "slot", "text", "h"])
+                    found |= {(which, slot, mark): 0 for slot, mark in zip(_slots(page, blocks, tree), hashes, strict=True) if slot >= 0}
+                for (which, slot, mark), n in found.items():
+                    for column, value in zip(out, (host, which, slot, mark, h, n), strict=True):
+                        column.append(value)
+            kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["host", "which", "slot", "text", "h", "size"])
 
     seen = rows.select("host", "h", "html").join(refs.select("host", "skeletons"), "host")
-    seen = seen.mapInArrow(run, "host string, which int, slot long, text long, h long")
-    texts = seen.groupBy("host", "which", "slot", "text").agg(
-        F.count(F.lit(1)).alias("n"), F.min("h").alias("low"), F.max("h").alias("high"))
-    # Copies of one page share all their texts; a template takes different pages.
-    texts = texts.where((F.col("n") >= LEAST) & (F.col("low") < F.col("high")))
-    common = texts.join(refs, "host").where(F.col("n") >= F.col("pages") * F.lit(SHARE))
-    return save(common.groupBy("host").agg(
-        F.first("skeletons").alias("skeletons"), F.collect_list(F.struct("which", "slot", "text")).alias("slots")), "templates")
+    seen = save(seen.mapInArrow(run, "host string, which int, slot long, text long, h long, size long").distinct(), "seen")
+    weights = _weights(seen.where("which < 0").select("host", "h", "text", "size"))
+    pages = weights.groupBy("host").agg(F.sum("weight").alias("pages"))
+    votes = seen.where("which >= 0").join(weights, ["host", "h"])
+    texts = votes.groupBy("host", "which", "slot", "text").agg(F.sum("weight").alias("n"))
+    texts = texts.where(F.col("n") > LEAST - 1e-6)
+    common = texts.join(pages, "host").where(F.col("n") > F.col("pages") * F.lit(SHARE) - 1e-6)
+    slots = common.groupBy("host").agg(F.collect_list(F.struct("which", "slot", "text")).alias("slots"))
+    return save(slots.join(refs.select("host", "skeletons"), "host").select("host", "skeletons", "slots"), "templates")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
