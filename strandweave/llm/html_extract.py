@@ -5,8 +5,8 @@ least and of greatest hash; every page's tree is aligned with theirs by simple
 tree matching, which puts each text block into a slot of the reference. A text
 that stands in the same slot on most pages of the host is template; a slot whose
 text varies is content. Elements that say what they are (menus, footers, forms,
-adverts, comments and the like) are left out beforehand, and where a page marks
-its article, only that is looked at.
+adverts, comments and the like) by their tag or by a whole class, id or role are
+left out beforehand, and where a page marks its article, only that is looked at.
 """
 
 from __future__ import annotations
@@ -28,16 +28,16 @@ SHARE = 0.5
 LEAST = 3
 #: Pages that have this share of their characters in common are near copies.
 AGREE = 0.75
-#: Outside an article, blocks of which this share is link text are menus.
+#: On hosts of too few pages for a template, list items outside an article of which this share is link text are menus.
 LINKS = 0.8
 _RUNS = 1000
 
 
-def candidates(page: Page) -> list[tuple[int, int, str]]:
-    """Blocks that may be main text: ``(node, run, text)``."""
+def candidates(page: Page, menus: bool = True) -> list[tuple[int, int, str]]:
+    """Blocks that may be main text: ``(node, run, text)``; without ``menus`` no list items of links."""
     out = []
     for node, run, text, dropped, main, linked in page.blocks:
-        if dropped or (page.has_main and not main) or (not main and linked >= LINKS):
+        if dropped or (page.has_main and not main) or (not menus and not main and linked >= LINKS and page.tags[node] == "li"):
             continue
         out.append((node, run, text))
     return out
@@ -53,10 +53,13 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
 
-def extract(html: str | None, trees: list[Tree], template: set[tuple[int, int, int]]) -> str:
-    """Main text of one page; ``template`` has (reference, slot, text hash)."""
+def extract(html: str | None, trees: list[Tree], template: set[tuple[int, int, int]], judged: bool = False) -> str:
+    """Main text of one page; ``template`` has (reference, slot, text hash).
+
+    Where the host's pages have been ``judged``, the template alone tells which links are menus.
+    """
     page = Page(html or "")
-    blocks = candidates(page)
+    blocks = candidates(page, menus=judged)
     if template and blocks:
         keep = [True] * len(blocks)
         hashes = [_hash(t) for _, _, t in blocks]
@@ -99,7 +102,7 @@ def _weights(blocks: DataFrame) -> DataFrame:
 
 
 def templates(rows: DataFrame, refs: DataFrame) -> DataFrame:
-    """Per host with a template: ``host, skeletons, slots``; a slot is (reference, slot, text hash).
+    """Per host with pages enough: ``host, skeletons, slots``; a slot is (reference, slot, text hash).
 
     Each different page votes once, near copies of one page together once. A slot
     has at most two texts that are on half the pages, so a host's list is bounded
@@ -138,7 +141,8 @@ def templates(rows: DataFrame, refs: DataFrame) -> DataFrame:
     texts = texts.where(F.col("n") > LEAST - 1e-6)
     common = texts.join(pages, "host").where(F.col("n") > F.col("pages") * F.lit(SHARE) - 1e-6)
     slots = common.groupBy("host").agg(F.collect_list(F.struct("which", "slot", "text")).alias("slots"))
-    return save(slots.join(refs.select("host", "skeletons"), "host").select("host", "skeletons", "slots"), "templates")
+    judged = pages.where(F.col("pages") > LEAST - 1e-6).select("host").join(refs.select("host", "skeletons"), "host")
+    return save(judged.join(slots, "host", "left").select("host", "skeletons", F.coalesce("slots", F.array()).alias("slots")), "templates")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -157,7 +161,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     joined = rows.select("page_id", "url", "host", "html").join(found, "host", "left")
 
     def run(batches):
-        known: dict[str, tuple[list[Tree], set]] = {}
+        known: dict[str, tuple[list[Tree], set, bool]] = {}
         for batch in batches:
             texts = []
             hosts, htmls, skeletons, slots = (batch.column(i) for i in (0, 3, 4, 5))
@@ -166,7 +170,7 @@ def main_text(pages: DataFrame) -> DataFrame:
                     if len(known) > 1000:
                         known.clear()
                     trees = [Tree(s) for s in skeletons[i].as_py() or ()]
-                    known[host] = trees, {(s["which"], s["slot"], s["text"]) for s in slots[i].as_py() or ()}
+                    known[host] = trees, {(s["which"], s["slot"], s["text"]) for s in slots[i].as_py() or ()}, slots[i].is_valid
                 texts.append(extract(html, *known[host]))
             sizes = pa.array(np.fromiter(map(len, texts), np.int64, len(texts)))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(texts, pa.string()), sizes], ["page_id", "url", "text", "n_chars"])

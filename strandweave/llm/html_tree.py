@@ -9,18 +9,19 @@ _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+)>|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _BLANKS = re.compile(r"\s+")
-_WORDS = re.compile(r"[a-z0-9]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object canvas textarea title select".split())
+RAW = frozenset("script style noscript template svg iframe object canvas textarea title select".split())
 #: Of these, what takes the rest of the page if it never ends.
 SWALLOWING = frozenset("script style title textarea".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img br"
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img br "
+    "math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup "
+    "mtable mtd mtext mtr munder munderover none semantics annotation annotation-xml"
     .split())
 #: Elements that are no part of the main text.
 DROPPED = frozenset("nav footer aside form button dialog menu head fieldset".split())
-#: Words of class, id or role that tell the same.
+#: Whole classes, ids and roles that tell the same.
 DROPPED_WORDS = frozenset(
     "nav navbar navigation menu footer sidebar aside ad ads advert adverts advertisement advertising banner sponsor sponsored promo "
     "promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share "
@@ -42,6 +43,10 @@ class Page:
 
     Inline elements are no nodes; their text belongs to the block around them. A
     text block is (node, run within the node, text, dropped, in main, share of it in links).
+
+    What looks like boilerplate drops what it holds, but not the page's article: if
+    every marked article is in such elements, those that hold one drop nothing. A
+    form around most of a page without a marked article drops nothing either.
     """
 
     def __init__(self, html: str):
@@ -52,8 +57,10 @@ class Page:
         self._read(html)
 
     def _read(self, html: str) -> None:
-        # Open elements: tag, node (-1: inline), dropped, in main.
-        stack: list[tuple[str, int, bool, bool]] = [("#page", 0, False, False)]
+        # Open elements: tag, node (-1: inline), innermost element that drops it (-1: none), in main.
+        stack: list[tuple[str, int, int, bool]] = [("#page", 0, -1, False)]
+        droppers: list[tuple[int, bool]] = []  # the one around it, is a form
+        mains: list[int] = []
         open_tags: dict[str, int] = {}
         runs, endless = [0], set()
         pieces: list[str] = []
@@ -137,9 +144,12 @@ class Page:
             _, _, dropped, main = stack[-1]
             more = m[3] or m[6] or ""
             role = _role(tag, more, main) if more.strip() or not inline else 0
-            dropped = dropped or role < 0
-            if role > 0 and not dropped:
-                main = self.has_main = True
+            if role < 0:
+                droppers.append((dropped, tag == "form"))
+                dropped = len(droppers) - 1
+            if role > 0:
+                main = True
+                mains.append(dropped)
             if inline:
                 if dropped != stack[-1][2]:
                     flush()
@@ -156,6 +166,35 @@ class Page:
         if pos < len(html):
             pieces.append(html[pos:])
         flush()
+        self.has_main = bool(mains)
+        self._drop(droppers, mains)
+
+    def _drop(self, droppers: list[tuple[int, bool]], mains: list[int]) -> None:
+        """Replaces each block's innermost dropping element by whether the block is dropped."""
+        active = [True] * len(droppers)
+        if mains and -1 not in mains:
+            for at in mains:
+                while at >= 0 and active[at]:
+                    active[at] = False
+                    at = droppers[at][0]
+        # The one element that drops what is in each (-1: none, -2: several).
+        by = []
+        for (around, _), on in zip(droppers, active, strict=True):
+            outer = by[around] if around >= 0 else -1
+            by.append(outer if not on else len(by) if outer == -1 else -2)
+        free = -1
+        if not mains and any(form for _, form in droppers):
+            sizes: dict[int, int] = {}
+            for _, _, text, at, _, _ in self.blocks:
+                only = by[at] if at >= 0 else -1
+                sizes[only] = sizes.get(only, 0) + len(text)
+            forms = [at for at in sizes if at >= 0 and droppers[at][1]]
+            largest = max(forms, key=sizes.__getitem__, default=-1)
+            if largest >= 0 and sizes[largest] > sizes.get(-1, 0):
+                free = largest
+        self.blocks = [
+            (node, run, text, at >= 0 and by[at] != -1 and (free < 0 or by[at] != free), main, linked)
+            for node, run, text, at, main, linked in self.blocks]
 
     def skeleton(self) -> str:
         """Tags with the number of their parent, in page order; what ``Tree`` reads."""
@@ -167,24 +206,22 @@ class Page:
 
 
 def _role(tag: str, attributes: str, in_main: bool) -> int:
-    """-1: boilerplate; 1: main text; 0: as what is around it."""
-    if tag in DROPPED or (tag == "header" and not in_main):
-        return -1
+    """-1: boilerplate; 1: main text; 0: as what is around it. The page's body and its article are never boilerplate."""
+    drop = tag in DROPPED or (tag == "header" and not in_main)
     role = 1 if tag in MAIN else 0
-    if not attributes.strip():
-        return role
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id", "role"):
-            words = set(_WORDS.findall(value))
-            if words & DROPPED_WORDS or ("header" in words and not in_main):
-                return -1
+            words = set(value.split())
+            drop = drop or bool(words & DROPPED_WORDS) or ("header" in words and not in_main)
             if name == "role" and words & MAIN:
                 role = 1
         elif name == "itemprop" and value == "articlebody":
             role = 1
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
-            return -1
+            drop = True
+    if drop and tag not in ("html", "body") and not (role and not in_main):
+        return -1
     return role
 
 
