@@ -3,7 +3,7 @@
 Pages of one host share a wrapper. Each host has two reference pages, those of
 least and of greatest hash; every page's tree is aligned with theirs by simple
 tree matching, which puts each text block into a slot of the reference. A text
-that stands in the same slot on most pages of the host is template; a slot whose
+that stands in the same slot on most pages that have it is template; a slot whose
 text varies is content. Elements that say what they are (menus, footers, forms,
 adverts, comments and the like) by their tag or by a whole class, id or role are
 left out beforehand, and where a page marks its article, only that is looked at.
@@ -23,7 +23,7 @@ from strandweave.llm.common import save
 from strandweave.llm.html_tree import Page, Tree, align
 from strandweave.llm.url_filter import host_of
 
-#: A text is template if it is in its slot on this share of the host's different pages, and on this many.
+#: A text is template if it is in its slot on this share of the host's different pages that have the slot, and on this many.
 SHARE = 0.5
 LEAST = 3
 #: Pages that have this share of their characters in common are near copies.
@@ -105,7 +105,7 @@ def templates(rows: DataFrame, refs: DataFrame) -> DataFrame:
     """Per host with pages enough: ``host, skeletons, slots``; a slot is (reference, slot, text hash).
 
     Each different page votes once, near copies of one page together once. A slot
-    has at most two texts that are on half the pages, so a host's list is bounded
+    has at most two texts that are on half of its pages, so a host's list is bounded
     by its reference pages.
     """
 
@@ -139,7 +139,8 @@ def templates(rows: DataFrame, refs: DataFrame) -> DataFrame:
     votes = seen.where("which >= 0").join(weights, ["host", "h"])
     texts = votes.groupBy("host", "which", "slot", "text").agg(F.sum("weight").alias("n"))
     texts = texts.where(F.col("n") > LEAST - 1e-6)
-    common = texts.join(pages, "host").where(F.col("n") > F.col("pages") * F.lit(SHARE) - 1e-6)
+    there = votes.groupBy("host", "which", "slot").agg(F.sum("weight").alias("there"))
+    common = texts.join(there, ["host", "which", "slot"]).where(F.col("n") > F.col("there") * F.lit(SHARE) - 1e-6)
     slots = common.groupBy("host").agg(F.collect_list(F.struct("which", "slot", "text")).alias("slots"))
     judged = pages.where(F.col("pages") > LEAST - 1e-6).select("host").join(refs.select("host", "skeletons"), "host")
     return save(judged.join(slots, "host", "left").select("host", "skeletons", F.coalesce("slots", F.array()).alias("slots")), "templates")

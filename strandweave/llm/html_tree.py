@@ -236,59 +236,65 @@ class Tree:
             self.kids[int(parent)].append(i)
 
 
-def align(page, seed, max_depth: int = 40) -> dict[int, int]:
+def align(page, seed) -> dict[int, int]:
     """Nodes of ``page`` to nodes of ``seed`` by simple tree matching.
 
     Two nodes match if their tags are equal; among the children, matches keep
     their order and the number of matched nodes is greatest. Leaves with one tag
     at the ends of two child lists are matched at once, as no other choice gives
-    more. Below ``max_depth`` levels nothing is matched.
+    more. Pairs wait on a list for those below them, so trees may be of any depth.
     """
     memo: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
+    waiting: dict[tuple[int, int], tuple] = {}
+    todo = [(0, 0)]
+    tags, seed_tags = page.tags, seed.tags
 
-    def match(a: int, b: int, depth: int) -> tuple[int, list[tuple[int, int]]]:
-        if (a, b) in memo:
-            return memo[a, b]
-        left, right = page.kids[a], seed.kids[b]
-        pairs: list[tuple[int, int]] = []
-        size = 1
-        if left and right and depth < max_depth:
-            lo, hi_a, hi_b = 0, len(left), len(right)
-
-            def leaves(x, y):
-                return page.tags[x] == seed.tags[y] and not page.kids[x] and not seed.kids[y]
+    def leaves(x, y):
+        return tags[x] == seed_tags[y] and not page.kids[x] and not seed.kids[y]
 
+    while todo:
+        at = todo[-1]
+        if at in memo:
+            todo.pop()
+            continue
+        if at not in waiting:
+            left, right = page.kids[at[0]], seed.kids[at[1]]
+            pairs, tail = [], []
+            lo, hi_a, hi_b = 0, len(left), len(right)
             while lo < min(hi_a, hi_b) and leaves(left[lo], right[lo]):
                 pairs.append((left[lo], right[lo]))
                 lo += 1
-            tail = []
             while lo < min(hi_a, hi_b) and leaves(left[hi_a - 1], right[hi_b - 1]):
                 hi_a, hi_b = hi_a - 1, hi_b - 1
                 tail.append((left[hi_a], right[hi_b]))
-            size += len(pairs) + len(tail)
             xs, ys = left[lo:hi_a], right[lo:hi_b]
-            if xs and ys:
-                weight = [[match(x, y, depth + 1)[0] if page.tags[x] == seed.tags[y] else 0 for y in ys] for x in xs]
-                best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-                for i in range(len(xs)):
-                    row, above, w = best[i + 1], best[i], weight[i]
-                    for j in range(len(ys)):
-                        row[j + 1] = max(above[j + 1], row[j], above[j] + w[j])
-                i, j = len(xs), len(ys)
-                size += best[i][j]
-                while i and j:
-                    if weight[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + weight[i - 1][j - 1]:
-                        i, j = i - 1, j - 1
-                        pairs.append((xs[i], ys[j]))
-                    elif best[i][j] == best[i - 1][j]:
-                        i -= 1
-                    else:
-                        j -= 1
-            pairs += tail
-        memo[a, b] = (size, pairs)
-        return memo[a, b]
+            below = [(x, y) for x in xs for y in ys if tags[x] == seed_tags[y] and page.kids[x] and seed.kids[y] and (x, y) not in memo]
+            waiting[at] = pairs, tail, xs, ys
+            if below:
+                todo += below
+                continue
+        pairs, tail, xs, ys = waiting.pop(at)
+        size = 1 + len(pairs) + len(tail)
+        if xs and ys:
+            weight = [[memo[x, y][0] if (x, y) in memo else int(tags[x] == seed_tags[y]) for y in ys] for x in xs]
+            best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+            for i in range(len(xs)):
+                row, above, w = best[i + 1], best[i], weight[i]
+                for j in range(len(ys)):
+                    row[j + 1] = max(above[j + 1], row[j], above[j] + w[j])
+            i, j = len(xs), len(ys)
+            size += best[i][j]
+            while i and j:
+                if weight[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + weight[i - 1][j - 1]:
+                    i, j = i - 1, j - 1
+                    pairs.append((xs[i], ys[j]))
+                elif best[i][j] == best[i - 1][j]:
+                    i -= 1
+                else:
+                    j -= 1
+        memo[at] = size, pairs + tail
+        todo.pop()
 
-    match(0, 0, 0)
     out, stack = {0: 0}, [(0, 0)]
     while stack:
         pair = stack.pop()
