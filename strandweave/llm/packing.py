@@ -115,7 +115,16 @@ class Run:
         return Run(count, [*self.items, (length, copies)])
 
 
-def plan_runs(histogram: dict[int, int], seq_len: int = 2048, width: int = 16, filler: int = 64) -> list[Run]:
+def plan_runs(histogram: dict[int, int], seq_len: int = 2048, widths: tuple[int, ...] = (8, 16), filler: int = 64) -> list[Run]:
+    """The plan with the fewest sequences of those over bins of each of ``widths``.
+
+    Its cost depends on ``seq_len`` alone, not on the number of documents.
+    """
+    plans = (plan_by_bins(histogram, seq_len, width, filler) for width in widths)
+    return min(plans, key=lambda runs: sum(r.count for r in runs))
+
+
+def plan_by_bins(histogram: dict[int, int], seq_len: int, width: int, filler: int) -> list[Run]:
     """Sequences for ``histogram`` (length -> documents, 1 to ``seq_len``); every document has one place.
 
     Patterns count lengths in bins of ``width``. A pattern places its two longest
