@@ -106,7 +106,9 @@ def shared_prefix(matrix: np.ndarray, lengths: np.ndarray, order: np.ndarray) ->
 
 def classes(matrix: np.ndarray, lengths: np.ndarray):
     """Function of a depth: numbers by row, equal for rows whose first ``depth`` bytes are equal."""
-    order = sort_rows(matrix)
+    # Rows are padded with zero bytes. Of rows that look equal the shorter ones come first, so none stands between two longer ones.
+    by_length = np.argsort(lengths, kind="stable")
+    order = by_length[sort_rows(matrix[by_length])]
     shared = shared_prefix(matrix, lengths, order)
     out = np.empty(len(order), np.int64)
 
