@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandweave.llm import ann, html_extract, langid, mixing, packing, rans, simhash, suffix_dedup, topk, url_filter
+from strandweave.llm import ann, bpe, html_extract, langid, mixing, packing, rans, simhash, suffix_dedup, topk, url_filter
 from strandweave.llm.common import table
 from strandweave.session import scratch_folder
 
@@ -122,3 +122,8 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_packing")
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op13_bpe")
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents")))
