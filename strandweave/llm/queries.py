@@ -129,7 +129,7 @@ WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(tr
            FROM documents WHERE text IS NOT NULL),
 w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
 n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
-g AS (SELECT lang, unnest(flatten([list_transform(range(1, len(w) - m + 2), i -> array_to_string(w[i:i + m - 1], ' ')) FOR m IN [1, 2, 3]])) AS phrase FROM w),
+g AS (SELECT lang, unnest(flatten([list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' ')) FOR m IN [1, 2, 3]])) AS phrase FROM w),
 f AS (SELECT lang, phrase, count(*)::BIGINT AS f, string_split(phrase, ' ') AS w FROM g GROUP BY lang, phrase HAVING count(*) >= 10),
 c AS (SELECT lang, phrase, f AS a, w, unnest(range(1, len(w))) AS k FROM f WHERE len(w) > 1),
 s AS (SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, (1000000::HUGEINT * c.a * c.a // (x.f::HUGEINT * y.f))::BIGINT AS score
