@@ -242,7 +242,7 @@ _HITS = f"""{S.PREV}, {S.PFIELDS}, {S.GAPS}, {S.PAIRS}, {S.PROJECTED}, {S.SEEN_G
 @check("q2_map_regions", f"""{ctes('blocks', 'windows')}, {S.kept(0)}, {_HITS}
 SELECT {HITS_TEXT} FROM aligned UNION ALL SELECT {HITS_TEXT} FROM seen""")
 def q2(spark, d):
-    return _text(M.map_regions(V.windows(spark, d), V.blocks(spark, d), bin_width=BIN), "ref_gap_size", "asm_gap_size")
+    return _text(M.map_regions(V.windows(spark, d), V.lookup(spark, d)), "ref_gap_size", "asm_gap_size")
 
 
 @check("q2_map_regions_mapq30", f"""{ctes('blocks', 'windows')}, {S.kept(30)}, {_HITS}
@@ -257,6 +257,25 @@ def q2_mapq(spark, d):
     return _text(hits, "ref_gap_size", "asm_gap_size")
 
 
+_LEVELS = "windows_of AS (SELECT *, CAST(region_id % 8 * 10 - 5 AS INTEGER) AS level FROM windows)"
+
+
+@check("q2_mapq_per_window", f"""{ctes('blocks', 'windows')}, {_LEVELS},
+levels AS (SELECT DISTINCT level FROM windows_of),
+kept AS (SELECT b.* EXCLUDE (hap), b.hap || ':' || l.level AS hap FROM blocks b JOIN levels l ON b.mapq >= l.level),
+{S.PREV}, {S.PFIELDS}, {S.GAPS}
+SELECT w.region_id, SPLIT_PART(g.hap, ':', 1) AS hap, g.ref_start, g.ref_end, g.event_type, g.asm_start, g.asm_end, g.mapq, 0 AS kind
+FROM windows_of w JOIN gaps g ON w.chrom = g.ref_chrom AND g.hap LIKE '%:' || w.level AND g.ref_start > w.ws AND g.ref_end < w.we
+UNION ALL SELECT w.region_id, b.hap, GREATEST(b.ref_start, w.ws), LEAST(b.ref_end, w.we), 'alignment', 0, 0, b.mapq, 1
+FROM windows_of w JOIN blocks b ON w.chrom = b.ref_chrom AND b.ref_start < w.we AND b.ref_end > w.ws AND b.mapq >= w.level""")
+def q2_levels(spark, d):
+    """Every window with a threshold of its own, from one lookup."""
+    asked = V.windows(spark, d).withColumn("min_mapq", (F.col("region_id") % 8 * 10 - 5).cast("int"))
+    hits = M.map_regions(asked, V.lookup(spark, d))
+    place = lambda c: F.when(F.col("kind") == 0, F.col(c)).otherwise(F.lit(0)).alias(c)
+    return hits.select("region_id", "hap", "ref_start", "ref_end", "event_type", place("asm_start"), place("asm_end"), "mapq", "kind")
+
+
 @check("u1_union_hits", f"""{ctes('blocks', 'windows')}, {S.kept(0)}, {_HITS}
 SELECT event_type, kind, CAST(COUNT(*) AS BIGINT) AS n FROM (SELECT {HITS} FROM aligned UNION ALL SELECT {HITS} FROM seen) GROUP BY ALL""")
 def u1(spark, d):
@@ -277,7 +296,7 @@ def j12(spark, d):
 SELECT region_id, sample_id, hap, event_type, ref_start, ref_end, asm_start, asm_end, ref_gap_size AS gap_size,
   hap || ': ' || UPPER(LEFT(event_type, 1)) || SUBSTRING(event_type, 2) AS label FROM seen""")
 def q14(spark, d):
-    return M.sv_annotations(V.windows(spark, d), V.blocks(spark, d), bin_width=BIN)
+    return M.sv_annotations(V.windows(spark, d), V.lookup(spark, d))
 
 
 @check("p6_gap_labels", f"""{ctes('blocks', 'windows')}, {S.kept(0)}, {_HITS}
@@ -369,7 +388,7 @@ solid AS (SELECT * FROM aligned WHERE asm_end > asm_start),
 SELECT w.region_id, w.sample_id, CASE WHEN asm_chrom IS NULL THEN 'unmapped' ELSE 'ok' END AS status,
   hap, asm_chrom, strand, start_pos, end_pos FROM windows w LEFT JOIN isl USING (region_id)""")
 def q4(spark, d):
-    return _named(M.translate(V.windows(spark, d), V.blocks(spark, d), bin_width=BIN))
+    return _named(M.translate(V.windows(spark, d), V.lookup(spark, d)))
 
 
 # --- windows and region text -------------------------------------------------------------

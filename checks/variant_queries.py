@@ -81,7 +81,7 @@ FROM moved v LEFT JOIN lists a ON a.region_id = var_seq AND a.hap = 'hap1' LEFT
 
 @check("q10_compute_regions", _MANIFEST)
 def q10(spark, d):
-    r = P.compute_regions(_on_block_chroms(spark, d), V.blocks(spark, d), "s0", 100, bin_width=1024)
+    r = P.compute_regions(_on_block_chroms(spark, d), V.lookup(spark, d), "s0", 100)
     return r.select(
         "var_seq", "chrom", "fasta_region", F.array_join("hap1_regions", " ").alias("hap1_regions"),
         F.array_join("hap2_regions", " ").alias("hap2_regions"),

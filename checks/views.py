@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from strandweave.plans.mapping import build_lookup
+from strandweave.session import scratch_folder
+from strandweave.sources.lookup import Lookup
+
 # Alignment blocks, 0-based half-open.
 BLOCKS = """
 SELECT 's0' AS sample_id,
@@ -114,6 +118,17 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, "blocks")
 
 
+_LOOKUPS: dict[tuple[str, str], Lookup] = {}
+
+
+def lookup(spark: SparkSession, sf_dir: str) -> Lookup:
+    """The blocks' stored lookup; an application stores it once per data folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LOOKUPS:
+        _LOOKUPS[key] = build_lookup(blocks(spark, sf_dir), scratch_folder(spark, "lookup"), bin_width=256, buckets=8)
+    return _LOOKUPS[key]
+
+
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, "windows").withColumnsRenamed({"ws": "start", "we": "end"})
 

@@ -1,14 +1,18 @@
-"""CIGAR strings as Column expressions. No row leaves its task here."""
+"""CIGAR strings as Column expressions. No row leaves its task here.
+
+``block_offsets``, ``cigar_index`` and ``features`` work on a batch of CIGARs at
+once; they come from ``cigar_arrays``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# One CIGAR token, and the operations that advance each side.
+from strandweave.functions.cigar_arrays import ASM_OPS, REF_OPS, block_offsets, cigar_index, features  # noqa: F401
+
+# Fixed value: one CIGAR token.
 CIGAR_TOKEN = r"(\d+[MIDNSHPX=])"
-REF_OPS = ("M", "D", "N", "X", "=")
-ASM_OPS = ("M", "I", "S", "X", "=")
 
 
 def consumes_ref(op: Column) -> Column:
@@ -59,38 +63,26 @@ def orient(lo: Column, hi: Column, strand: Column, asm_start: Column, asm_end: C
     )
 
 
-def block_offsets(cigar: Column, lo: Column, hi: Column) -> Column:
-    """Reference offsets ``[lo, hi)`` of one block as assembly offsets, ``struct<lo, hi>``.
+def entry_offset(sizes: Column, codes: Column, ref: Column, asm: Column, target: Column, past: bool) -> Column:
+    """Assembly offset of the reference offset ``target`` inside one index entry, which holds at most 64 operations.
 
-    One left fold over the operations. Deletions clamp to the assembly position
-    beside them; an insertion counts only when the interval straddles it. A
-    block without operations keeps the offsets as they are.
+    ``ref`` and ``asm`` are the bases before the entry. The operation meant is
+    the first that reaches ``target``, or with ``past`` goes beyond it.
     """
-    zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("bigint")
+    none = F.lit(None).cast("bigint")
 
     def step(acc: Column, x: Column) -> Column:
-        on_ref, on_asm = consumes_ref(x["op"]), consumes_asm(x["op"])
-        reach = acc["ref"] + x["len"]
-        inner = lambda at: acc["asm"] + F.when(on_asm, at - acc["ref"]).otherwise(zero)
-        q_lo = F.coalesce(acc["lo"], F.when(on_ref & (reach > lo), inner(lo)))
-        q_hi = F.coalesce(acc["hi"], F.when(on_ref & q_lo.isNotNull() & (reach >= hi), inner(hi)))
+        op = F.substring(codes, x["at"] + 1, F.lit(1))
+        on_ref, on_asm = consumes_ref(op), consumes_asm(op)
+        reach = acc["ref"] + x["size"]
+        hit = on_ref & ((reach > target) if past else (reach >= target))
+        inner = acc["asm"] + F.when(on_asm, target - acc["ref"]).otherwise(F.lit(0))
         return F.struct(
             F.when(on_ref, reach).otherwise(acc["ref"]).alias("ref"),
-            F.when(on_asm, acc["asm"] + x["len"]).otherwise(acc["asm"]).alias("asm"),
-            q_lo.alias("lo"),
-            q_hi.alias("hi"),
+            F.when(on_asm, acc["asm"] + x["size"]).otherwise(acc["asm"]).alias("asm"),
+            F.coalesce(acc["out"], F.when(hit, inner)).alias("out"),
         )
 
-    offsets = F.aggregate(
-        cigar_ops(cigar),
-        F.struct(zero.alias("ref"), zero.alias("asm"), none.alias("lo"), none.alias("hi")),
-        step,
-        lambda acc: F.struct(
-            F.coalesce(acc["lo"], acc["asm"]).alias("lo"),
-            F.coalesce(acc["hi"], acc["asm"]).alias("hi"),
-        ),
-    )
-    has_ops = F.coalesce(cigar.rlike(CIGAR_TOKEN), F.lit(False))
-    return F.when(has_ops, offsets).otherwise(
-        F.struct(lo.cast("bigint").alias("lo"), hi.cast("bigint").alias("hi"))
-    )
+    items = F.transform(sizes, lambda size, i: F.struct(size.alias("size"), i.alias("at")))
+    begin = F.struct(ref.cast("bigint").alias("ref"), asm.cast("bigint").alias("asm"), none.alias("out"))
+    return F.aggregate(items, begin, step, lambda acc: acc["out"])

@@ -77,63 +77,16 @@ def lookup_offsets(
     )
 
 
-def cigar_features(reads: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Indels, mismatched bases and soft clips of each read, as three arrays.
+def cigar_features(reads: DataFrame, key: Sequence[str] = ()) -> DataFrame:
+    """Reads with their indels, mismatched bases and soft clips, as three arrays.
 
     Positions are 1-based on the reference. Each base of an ``X`` operation is
     one mismatch with the read base ``X``. A soft clip is leading when nothing
-    but hard clips and pads comes before it. Reads are hashed by key first, so
-    exploding and regrouping stay inside the task.
+    but hard clips and pads comes before it. A batch of CIGARs is parsed at once
+    where it is read: no row is exploded or moved, and ``key`` is not needed.
     """
-    key = list(key)
-    ops = explode_cigars(reads, key, ["start"])
-    body = Window.partitionBy(*key).orderBy("op_idx").rowsBetween(Window.unboundedPreceding, -1)
-    ops = ops.withColumn("at", F.col("start") + F.col("ref_lo")).withColumn(
-        "leading", F.coalesce(F.max(~F.col("op").isin("H", "P")).over(body), F.lit(False)) == F.lit(False)
-    )
-    length = F.col("len").cast("int")
-    indel = F.when(
-        F.col("op").isin("I", "D"),
-        F.struct("op_idx", F.col("at").alias("ref_pos"), length.alias("length"),
-                 F.when(F.col("op") == "I", "insertion").otherwise("deletion").alias("kind")),
-    )
-    clip = F.when(
-        F.col("op") == "S",
-        F.struct("op_idx", F.col("at").alias("ref_pos"), length.alias("length"),
-                 F.col("leading").alias("is_leading")),
-    )
-    run = F.when((F.col("op") == "X") & (F.col("len") > 0), F.struct("op_idx", "at", "len"))
-
-    def ordered(name: str, *fields: str):
-        return F.transform(
-            F.array_sort(F.col(name)), lambda x: F.struct(*[x[f].alias(f) for f in fields])
-        ).alias(name)
-
-    lists = ops.groupBy(*key).agg(
-        F.collect_list(indel).alias("indels"),
-        F.collect_list(run).alias("runs"),
-        F.collect_list(clip).alias("soft_clips"),
-    )
-    bases = F.flatten(
-        F.transform(
-            F.array_sort("runs"),
-            lambda r: F.transform(
-                F.sequence(r["at"], r["at"] + r["len"] - 1),
-                lambda p: F.struct(p.alias("ref_pos"), F.lit("X").alias("read_base")),
-            ),
-        )
-    )
-    lists = lists.select(
-        *key,
-        ordered("indels", "ref_pos", "length", "kind"),
-        bases.alias("mismatches"),
-        ordered("soft_clips", "ref_pos", "length", "is_leading"),
-    )
-    full = reads.join(lists, key, "left")
-    for name in ("indels", "mismatches", "soft_clips"):
-        kind = lists.schema[name].dataType
-        full = full.withColumn(name, F.coalesce(name, F.array().cast(kind)))
-    return full
+    found = reads.withColumn("__f", C.features(F.col("cigar"), F.col("start")))
+    return found.select(*reads.columns, "__f.indels", "__f.mismatches", "__f.soft_clips")
 
 
 def visible_indels(indels, threshold: int = 50, hide: bool = True):

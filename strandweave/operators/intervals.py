@@ -26,44 +26,47 @@ def islands(
 
     Returns ``keys, start, end, covered, pieces``: the envelope, the bases
     covered by the union, and the number of disjoint pieces inside. Intervals
-    are first reduced to the longest per start, which bounds every later group
-    by the bin width whatever the number of copies. Each bin then gets how far
-    earlier bins reach and makes its own islands; one that goes on from earlier
-    bins is joined to the last island that these opened.
+    are cut where bins end, so a bin makes its islands on its own; copies are
+    bounded by ``rows + total length / bin_width``. Equal starts are reduced to
+    the longest first, which bounds a bin by its width whatever the number of
+    copies. Only islands within ``max_gap`` of a bin's end can go on in another
+    bin. There are at most two of these in a bin, and these alone meet per key.
+    The rows pass once, through three shuffles.
     """
     keys = list(keys)
     here = [*keys, "__bin"]
-    longest = (
-        df.filter(F.col(start).isNotNull() & F.col(end).isNotNull())
-        .groupBy(*keys, F.col(start).alias("start"))
-        .agg(F.max(end).alias("end"))
-        .withColumn("__bin", position_bin(F.col("start"), bin_width))
+    solid = df.filter(F.col(start).isNotNull() & F.col(end).isNotNull()).select(*keys, F.col(start).alias("__s"), F.col(end).alias("__e"))
+    first = position_bin(F.col("__s"), bin_width)
+    last = F.greatest(first, position_bin(F.col("__e") - 1, bin_width))
+    cut = solid.withColumn("__first", first).withColumn("__bin", F.explode(F.sequence(first, last)))
+    low, high = F.col("__bin") * bin_width, (F.col("__bin") + 1) * bin_width
+    longest = cut.groupBy(*here, F.when(F.col("__bin") == F.col("__first"), F.col("__s")).otherwise(low).alias("start")).agg(
+        F.max(F.least("__e", high)).alias("end")
     )
-    earlier = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    tops = longest.groupBy(*here).agg(F.max("end").alias("__top"))
-    tops = tops.select(*here, F.max("__top").over(earlier).alias("__carry"))
-    along = Window.partitionBy(*here).orderBy("start")
-    before, upto = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(Window.unboundedPreceding, 0)
-    seen = longest.join(tops, here).withColumn("reach", F.greatest("__carry", F.max("end").over(before)))
+
+    def reach_before(*parts: str):
+        along = Window.partitionBy(*parts).orderBy("start")
+        return F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1)), along.rowsBetween(Window.unboundedPreceding, 0)
+
     reach = F.col("reach")
     opened = F.when(reach.isNull() | (F.col("start") > reach + max_gap), F.col("start"))
+    before, upto = reach_before(*here)
     fresh = F.greatest(F.col("end") - F.greatest("start", F.coalesce("reach", "start")), F.lit(0).cast("bigint"))
-    parts = seen.withColumn("island", F.max(opened).over(upto)).groupBy(*here, "island").agg(
+    parts = longest.withColumn("reach", before).withColumn("island", F.max(opened).over(upto)).groupBy(*here, F.col("island").alias("start")).agg(
         F.max("end").alias("end"), F.sum(fresh).alias("covered"),
         F.count_if(reach.isNull() | (F.col("start") > reach)).alias("pieces"),
     )
-    # Only a bin's first part, if it goes on from earlier bins, and its last island meet other bins;
-    # the rest keep to their bin.
-    edge = F.col("island").isNull() | (F.col("island") == F.max("island").over(Window.partitionBy(*here)))
+    edge = (F.col("start") - max_gap <= low) | (F.col("end") + max_gap >= high)
     parts = parts.withColumn("__side", F.when(edge, F.lit(-1).cast("bigint")).otherwise(F.col("__bin")))
-    opened_before = Window.partitionBy(*keys, "__side").orderBy("__bin", F.col("island").asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    side = [*keys, "__side"]
+    before, upto = reach_before(*side)
+    touches = F.count_if(reach.isNotNull() & (F.col("start") <= reach))
     return (
-        parts.withColumn("__open", F.last("island", ignorenulls=True).over(opened_before))
-        .groupBy(*keys, F.coalesce("island", "__open").alias("start"))
-        .agg(F.max("end").alias("end"), F.sum("covered").alias("covered"), F.sum("pieces").alias("pieces"))
-        .select(*keys, "start", "end", "covered", "pieces")
+        parts.withColumn("reach", before)
+        .withColumn("island", F.max(opened).over(upto))
+        .groupBy(*side, "island")
+        .agg(F.max("end").alias("end"), F.sum("covered").alias("covered"), (F.sum("pieces") - touches).alias("pieces"))
+        .select(*keys, F.col("island").alias("start"), "end", "covered", "pieces")
     )
 
 

@@ -12,9 +12,11 @@ from strandweave.functions import events as E
 from strandweave.functions.regions import window_status
 from strandweave.operators.cigar_index import lookup_offsets
 from strandweave.operators.intervals import merge_intervals
-from strandweave.operators.overlap import overlap_join
+from strandweave.operators.overlap import overlap_join, position_bin
+from strandweave.operators.quality_gaps import RUN_ROWS, predecessors
 from strandweave.operators.scan import DEFAULT_BIN, DEFAULT_SPLIT, running
 from strandweave.sources import paf, writers
+from strandweave.sources.lookup import BIN, BUCKETS, Lookup, in_bins, write_lookup
 
 JOIN_BIN = 65_536
 
@@ -26,14 +28,26 @@ HITS = ["region_id", "sample_id", "hap", "block_start", "block_seq", "kind", "re
 
 
 def build_mapping(
-    spark: SparkSession, pafs: Sequence[str], out: str, sample_id: str = "", hap: str = ""
+    spark: SparkSession, pafs: Sequence[str], out: str, sample_id: str = "", hap: str = "",
+    bin_width: int = BIN, buckets: int = BUCKETS,
 ) -> DataFrame:
-    """PAF files to the stored lookup layout and its BED form; returns the stored blocks."""
+    """PAF files to the stored layout, its BED form and the lookup; returns the stored blocks.
+
+    Under ``out``: ``blocks`` with their CIGAR text, ``bed``, and ``lookup``,
+    which ``open_lookup`` gives to ``map_regions``, ``translate`` and the rest.
+    """
     blocks = paf.read_paf(spark, pafs, sample_id, hap)
     writers.write_blocks(blocks, f"{out}/blocks")
-    stored = paf.read_blocks(spark, f"{out}/blocks")
-    writers.write_mapping_bed(stored, f"{out}/bed")
-    return stored
+    kept = paf.read_blocks(spark, f"{out}/blocks")
+    writers.write_mapping_bed(kept, f"{out}/bed")
+    named = kept.withColumns({"sample_id": F.lit(sample_id), "hap": F.lit(hap)})  # a folder cannot be named ""
+    build_lookup(named, f"{out}/lookup", bin_width, buckets)
+    return kept
+
+
+def build_lookup(blocks: DataFrame, path: str, bin_width: int = BIN, buckets: int = BUCKETS, run_rows: int = RUN_ROWS) -> Lookup:
+    """Blocks of any number of assemblies to the stored lookup: blocks, gaps of every threshold, CIGAR entries."""
+    return write_lookup(blocks, quality_gaps(blocks, run_rows), path, bin_width, buckets)
 
 
 def with_predecessor(
@@ -89,50 +103,106 @@ def sv_gaps(
     ).select("sample_id", "hap", "ref_chrom", "min_mapq", "block_start", "block_seq", "g.*")
 
 
-def _windows(regions: DataFrame) -> DataFrame:
+def quality_gaps(blocks: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
+    """Every gap event with the thresholds at which it exists: above ``over`` (null: any) up to ``upto``.
+
+    One pass over the blocks, however many thresholds are asked for later.
+    """
+    found = predecessors(blocks, ASSEMBLY, FLANK, run_rows)
+    gaps = found.where(E.is_gap(F.col("prev"), F.col("nxt")))
+    return gaps.select(
+        *ASSEMBLY, "over", "upto", F.col("nxt.ref_start").alias("block_start"), "block_seq",
+        E.gap_record(F.col("prev"), F.col("nxt")).alias("g"),
+    ).select(*ASSEMBLY, "over", "upto", "block_start", "block_seq", "g.*")
+
+
+def _windows(regions: DataFrame, min_mapq: int = 0) -> DataFrame:
+    """Windows that are not empty; a ``min_mapq`` of their own goes before the common one."""
+    level = F.coalesce("min_mapq", F.lit(min_mapq)) if "min_mapq" in regions.columns else F.lit(min_mapq)
     return regions.filter(F.col("end") > F.col("start")).select(
         "region_id", "sample_id", F.col("chrom").alias("ref_chrom"),
-        F.col("start").alias("ws"), F.col("end").alias("we"),
+        F.col("start").alias("ws"), F.col("end").alias("we"), level.alias("level"),
     )
 
 
 def clipped_blocks(regions: DataFrame, blocks: DataFrame, bin_width: int = JOIN_BIN) -> DataFrame:
     """Window-overlapping blocks with the overlap as block offsets ``lo, hi``."""
     pairs = overlap_join(
-        _windows(regions), blocks, ["sample_id", "ref_chrom"], ("ws", "we"),
+        _windows(regions).drop("level"), blocks, ["sample_id", "ref_chrom"], ("ws", "we"),
         ("ref_start", "ref_end"), bin_width,
     )
+    return _overlap(pairs)
+
+
+def _overlap(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn(
         "lo", F.greatest("ws", "ref_start") - F.col("ref_start")
     ).withColumn("hi", F.least("we", "ref_end") - F.col("ref_start"))
 
 
+def _stored_alignments(regions: DataFrame, lookup: Lookup, min_mapq: int) -> DataFrame:
+    """``clipped_blocks`` from the lookup with the assembly offsets ``q_lo, q_hi`` of the overlap.
+
+    A block that lies in its window needs nothing but what it stores; the
+    windows' edges are looked up in the CIGAR entries.
+    """
+    first = F.greatest("first_bin", "window_bin")
+    windows = in_bins(_windows(regions, min_mapq), "ws", "we", lookup.bin_width).withColumnRenamed("first_bin", "window_bin")
+    blocks = lookup.blocks.select(*ASSEMBLY, "bin", "first_bin", "block_seq", *FLANK, "block_no", "n_ops", "whole_lo", "whole_hi", "asm_total")
+    pairs = lookup.dealt(windows).join(blocks, ["sample_id", "ref_chrom", "bin"])
+    pairs = pairs.where((F.col("ref_start") < F.col("we")) & (F.col("ref_end") > F.col("ws")) & (F.col("bin") == first) & (F.col("mapq") >= F.col("level")))
+    pairs = _overlap(pairs.drop("bin", "first_bin", "window_bin", "level"))
+    edge = (F.col("n_ops") > 0) & ((F.col("lo") > 0) | (F.col("hi") < F.col("ref_end") - F.col("ref_start")))
+    linear = F.col("n_ops") == 0
+    whole = pairs.where(~edge).withColumns({
+        "q_lo": F.when(linear, F.col("lo")).otherwise(F.col("whole_lo")), "q_hi": F.when(linear, F.col("hi")).otherwise(F.col("whole_hi"))})
+    cut = pairs.where(edge)
+    for name, point, past in (("q_lo", F.col("lo"), True), ("q_hi", F.col("hi") - 1, False)):
+        asked = cut.withColumn("_at", F.col("ref_start") + point)
+        asked = lookup.dealt(asked.withColumn("bin", position_bin(F.col("_at"), lookup.bin_width)))
+        entries = lookup.ops.select("sample_id", "ref_chrom", "bin", "block_no", "entry_start", "entry_end", "asm", "sizes", "codes").withColumnsRenamed(
+            {c: f"_{c}" for c in ("sample_id", "ref_chrom", "bin", "block_no")})
+        on = [F.col(c) == F.col(f"_{c}") for c in ("bin", "sample_id", "ref_chrom", "block_no")]
+        found = asked.join(entries, [*on, F.col("_at") >= F.col("entry_start"), F.col("_at") < F.col("entry_end")], "left")
+        target = F.col("lo") if past else F.col("hi")
+        inside = C.entry_offset(F.col("sizes"), F.col("codes"), F.col("entry_start") - F.col("ref_start"), F.col("asm"), target, past)
+        # The row of one keeps the fold below from being copied into every filter above.
+        found = found.withColumn(name, F.explode(F.array(F.coalesce(inside, "asm_total"))))
+        cut = found.select(*pairs.columns, *(["q_lo"] if name == "q_hi" else []), name)
+    return whole.unionByName(cut)
+
+
 def map_alignments(
     regions: DataFrame,
-    blocks: DataFrame,
+    blocks: DataFrame | Lookup,
     bin_width: int = JOIN_BIN,
     ops: DataFrame | None = None,
     block_key: Sequence[str] = ("sample_id", "hap", "block_seq"),
+    min_mapq: int = 0,
 ) -> DataFrame:
     """Projected alignments of each window.
 
-    CIGARs are walked in the task that made the pair. With ``ops``, the stored
-    result of ``explode_cigars``, they stay behind and offsets are looked up.
+    With a stored lookup no CIGAR text takes part. Plain blocks carry their
+    CIGARs to the windows, where a batch of them is parsed at once; with
+    ``ops``, the result of ``explode_cigars``, offsets are looked up there.
+    ``regions`` may have a ``min_mapq`` of their own.
     """
     key = list(block_key)
     slim = list(dict.fromkeys([*ASSEMBLY, "block_seq", *FLANK, *(key if ops is not None else [])]))
     placed = lambda lo, hi: C.orient(lo, hi, F.col("strand"), F.col("asm_start"), F.col("asm_end"))
 
-    def walked(pairs: DataFrame) -> DataFrame:
-        # The fold gets a column of its own, so that it runs once per pair.
-        off = pairs.withColumn("off", C.block_offsets(F.col("cigar"), F.col("lo"), F.col("hi")))
-        return off.withColumn("asm", placed(F.col("off.lo"), F.col("off.hi"))).drop("off", "cigar")
-
-    if ops is None:
-        hits = walked(clipped_blocks(regions, blocks.select(*slim, "cigar"), bin_width))
+    if isinstance(blocks, Lookup):
+        hits = _stored_alignments(regions, blocks, min_mapq).withColumn("asm", placed(F.col("q_lo"), F.col("q_hi")))
     else:
-        pairs = clipped_blocks(regions, blocks.select(*slim), bin_width)
-        hits = lookup_offsets(pairs, ops, key).withColumn("asm", placed(F.col("q_lo"), F.col("q_hi")))
+        kept = blocks.select(*slim, *([] if ops is not None else ["cigar"]))
+        windows = _windows(regions, min_mapq)
+        pairs = overlap_join(windows, kept, ["sample_id", "ref_chrom"], ("ws", "we"), ("ref_start", "ref_end"), bin_width)
+        pairs = _overlap(pairs.where(F.col("mapq") >= F.col("level")).drop("level"))
+        if ops is None:
+            off = pairs.withColumn("off", C.block_offsets(F.col("cigar"), F.col("lo"), F.col("hi")))
+            hits = off.withColumn("asm", placed(F.col("off.lo"), F.col("off.hi"))).drop("off", "cigar")
+        else:
+            hits = lookup_offsets(pairs, ops, key).withColumn("asm", placed(F.col("q_lo"), F.col("q_hi")))
     none = F.lit(None).cast("bigint")
     return hits.select(
         "region_id", "sample_id", "hap", F.col("ref_start").alias("block_start"), "block_seq",
@@ -145,22 +215,30 @@ def map_alignments(
     )
 
 
-def gaps_in_windows(regions: DataFrame, gaps: DataFrame, bin_width: int = JOIN_BIN) -> DataFrame:
+def gaps_in_windows(regions: DataFrame, gaps: DataFrame | Lookup, bin_width: int = JOIN_BIN, min_mapq: int = 0) -> DataFrame:
     """Gap events both of whose flanking blocks overlap the window.
 
     That is ``window start < previous end`` and ``window end > next start``: the
     window holds the last base of the previous block and passes the gap's end.
+    Gaps that carry a range of thresholds, as a lookup's do, count for windows
+    whose ``min_mapq`` lies in it.
     """
-    last = gaps.withColumn("__at", F.col("ref_start") - 1).withColumn("__to", F.col("ref_start"))
-    pairs = overlap_join(
-        _windows(regions), last, ["sample_id", "ref_chrom"], ("ws", "we"), ("__at", "__to"), bin_width
-    )
+    windows = _windows(regions, min_mapq)
+    if isinstance(gaps, Lookup):
+        asked = in_bins(windows, "ws", "we", gaps.bin_width).drop("first_bin")
+        pairs = gaps.dealt(asked).join(gaps.gaps, ["sample_id", "ref_chrom", "bin"])
+        pairs = pairs.filter((F.col("ref_start") - 1 >= F.col("ws")) & (F.col("ref_start") - 1 < F.col("we")))
+    else:
+        last = gaps.withColumn("__at", F.col("ref_start") - 1).withColumn("__to", F.col("ref_start"))
+        pairs = overlap_join(windows, last, ["sample_id", "ref_chrom"], ("ws", "we"), ("__at", "__to"), bin_width)
+    if "upto" in pairs.columns:
+        pairs = pairs.filter((F.col("level") <= F.col("upto")) & (F.col("over").isNull() | (F.col("level") > F.col("over"))))
     return pairs.filter(F.col("we") > F.col("ref_end")).withColumn("kind", F.lit(0)).select(*HITS)
 
 
 def map_regions(
     regions: DataFrame,
-    blocks: DataFrame,
+    blocks: DataFrame | Lookup,
     min_mapq: int = 0,
     gaps: DataFrame | None = None,
     bin_width: int = JOIN_BIN,
@@ -168,27 +246,35 @@ def map_regions(
 ) -> DataFrame:
     """Alignments and gap events of each window, on every haplotype of its sample.
 
-    ``regions(region_id, sample_id, chrom, start, end)`` against blocks. Pass
-    stored ``gaps`` of the same ``min_mapq`` to skip finding them again. Sort by
-    ``writers.HIT_ORDER`` for result order: by block, the gap before it first.
+    ``regions(region_id, sample_id, chrom, start, end)``, each with its own
+    ``min_mapq`` if there is such a column, against a stored lookup or blocks.
+    Pass stored ``gaps`` of the same ``min_mapq`` to skip finding them again.
+    Sort by ``writers.HIT_ORDER`` for result order: by block, the gap before it
+    first.
     """
-    kept = blocks.filter(F.col("mapq") >= min_mapq)
-    events = sv_gaps(blocks, min_mapq) if gaps is None else gaps.filter(F.col("min_mapq") == min_mapq)
-    found = map_alignments(regions, kept, bin_width, **alignment_options)
-    return found.unionByName(gaps_in_windows(regions, events, bin_width))
+    if isinstance(blocks, Lookup):
+        events = blocks
+    elif gaps is not None:
+        events = gaps.filter(F.col("min_mapq") == min_mapq) if "min_mapq" in gaps.columns else gaps
+    elif "min_mapq" in regions.columns:
+        events = quality_gaps(blocks)
+    else:
+        events = sv_gaps(blocks, min_mapq)
+    found = map_alignments(regions, blocks, bin_width, min_mapq=min_mapq, **alignment_options)
+    return found.unionByName(gaps_in_windows(regions, events, bin_width, min_mapq))
 
 
 def translated_intervals(
-    regions: DataFrame, blocks: DataFrame, min_mapq: int = 0, limit: int | None = None, **options
+    regions: DataFrame, blocks: DataFrame | Lookup, min_mapq: int = 0, limit: int | None = None, **options
 ) -> DataFrame:
     """Merged assembly intervals of each valid window per haplotype, contig and strand."""
     valid = regions.filter(window_status(F.col("start"), F.col("end"), limit) == "ok")
-    found = map_alignments(valid, blocks.filter(F.col("mapq") >= min_mapq), **options)
+    found = map_alignments(valid, blocks, min_mapq=min_mapq, **options)
     solid = found.filter((F.col("asm_chrom") != "") & (F.col("asm_end") > F.col("asm_start")))
     return merge_intervals(solid, ["region_id", "sample_id", "hap", "asm_chrom", "strand"], "asm_start", "asm_end")
 
 
-def translate(regions: DataFrame, blocks: DataFrame, min_mapq: int = 0, limit: int | None = None, **options) -> DataFrame:
+def translate(regions: DataFrame, blocks: DataFrame | Lookup, min_mapq: int = 0, limit: int | None = None, **options) -> DataFrame:
     """``translated_intervals`` with a ``status`` and a row for every window.
 
     A window without an interval has one row of nulls, whose status says why:
@@ -201,11 +287,11 @@ def translate(regions: DataFrame, blocks: DataFrame, min_mapq: int = 0, limit: i
     return every.withColumn("status", F.when(lost, "unmapped").otherwise(F.col("status")))
 
 
-def sv_annotations(regions: DataFrame, blocks: DataFrame, **options) -> DataFrame:
+def sv_annotations(regions: DataFrame, blocks: DataFrame | Lookup, **options) -> DataFrame:
     """Gap events of each window with a display label such as ``hap1: Deletion``."""
     label = F.initcap("event_type")
     label = F.when(F.col("hap") == "", label).otherwise(F.concat("hap", F.lit(": "), label))
-    found = gaps_in_windows(regions, sv_gaps(blocks), **options)
+    found = gaps_in_windows(regions, blocks if isinstance(blocks, Lookup) else sv_gaps(blocks), **options)
     return found.select(
         "region_id", "sample_id", "hap", "event_type", "ref_start", "ref_end", "asm_start", "asm_end",
         F.col("ref_gap_size").alias("gap_size"), label.alias("label"),

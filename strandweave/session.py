@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -39,3 +39,10 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     if spark.sparkContext.master.startswith("local"):
         return tempfile.mkdtemp(prefix=f"spark-{label}-") + "/data"
     raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to a new scratch folder and read back, so that it is worked out once and stays as it is."""
+    path = scratch_folder(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
