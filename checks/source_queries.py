@@ -5,6 +5,9 @@ Files go to a new scratch folder of the session for every run.
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks import sql as S
@@ -17,6 +20,7 @@ from strandweave.plans import mapping as M
 from strandweave.plans.phasing import phase_and_tag
 from strandweave.plans.subset import subset_sequences, variant_manifest
 from strandweave.session import scratch_folder
+from strandweave.sources.lookup import open_lookup
 from strandweave.sources import alignments, paf, regions, samples, sequences, writers
 
 BIN = 256
@@ -112,6 +116,31 @@ def q1(spark, d):
     )
 
 
+@check("q1_lookup_tables", f"""{ctes('blocks')}, levels AS (SELECT UNNEST([0, 15, 40, 70]) AS level),
+kept AS (SELECT b.* EXCLUDE (hap), b.hap || ':' || l.level AS hap FROM blocks b JOIN levels l ON b.mapq >= l.level), {S.PREV}, {S.PFIELDS}, {S.GAPS}
+SELECT 'blocks' AS kind, hap, ref_chrom, 0 AS level, CAST(COUNT(*) AS BIGINT) AS n, CAST(SUM(ref_end - ref_start) AS BIGINT) AS bases FROM blocks GROUP BY ALL
+UNION ALL SELECT 'ops', hap, ref_chrom, 0, CAST(COUNT(*) AS BIGINT), CAST(SUM(CASE WHEN block_seq % 3 <> 0 THEN ref_end - ref_start ELSE 1 END) AS BIGINT) FROM blocks GROUP BY ALL
+UNION ALL SELECT 'gaps', SPLIT_PART(hap, ':', 1), ref_chrom, CAST(SPLIT_PART(hap, ':', 2) AS INTEGER), CAST(COUNT(*) AS BIGINT),
+  CAST(SUM(ref_gap_size) AS BIGINT) FROM gaps GROUP BY ALL""")
+def q1_tables(spark, d):
+    """What ``build_mapping`` stores for lookups: blocks, CIGAR entries and the gaps of four thresholds."""
+    parts = []
+    for hap in ("hap1", "hap2"):
+        out = scratch_folder(spark, "q1")
+        M.build_mapping(spark, [_paf(spark, d, "q1", hap)], out, "s0", hap, bin_width=256, buckets=4)
+        found = open_lookup(spark, f"{out}/lookup")
+        levels = F.explode(F.array(*[F.lit(m) for m in (0, 15, 40, 70)]))
+        gaps = found.gaps.withColumn("level", levels).where("level <= upto and (over is null or level > over)")
+        tables = {
+            "blocks": (found.blocks.where("bin = first_bin").withColumn("level", F.lit(0)), F.col("ref_end") - F.col("ref_start")),
+            "ops": (found.ops.dropDuplicates(["block_no", "entry_start"]).withColumn("level", F.lit(0)), F.col("entry_end") - F.col("entry_start")),
+            "gaps": (gaps, F.col("ref_gap_size")),
+        }
+        parts += [df.groupBy(F.lit(kind).alias("kind"), "hap", "ref_chrom", "level").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bases"))
+                  for kind, (df, size) in tables.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # --- reads ---------------------------------------------------------------------------
 
 def _sam(spark, d, label):

@@ -167,7 +167,7 @@ def _stored_alignments(regions: DataFrame, lookup: Lookup, min_mapq: int) -> Dat
         target = F.col("lo") if past else F.col("hi")
         inside = C.entry_offset(F.col("sizes"), F.col("codes"), F.col("entry_start") - F.col("ref_start"), F.col("asm"), target, past)
         # The row of one keeps the fold below from being copied into every filter above.
-        found = found.withColumn(name, F.explode(F.array(F.coalesce(inside, "asm_total"))))
+        found = found.withColumn(name, F.explode_outer(F.array(F.coalesce(inside, "asm_total"))))
         cut = found.select(*pairs.columns, *(["q_lo"] if name == "q_hi" else []), name)
     return whole.unionByName(cut)
 

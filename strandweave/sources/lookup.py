@@ -73,7 +73,10 @@ def write_lookup(blocks: DataFrame, gaps: DataFrame, path: str, bin_width: int =
     """Stores the three tables under ``path``. ``gaps`` come from ``quality_gaps``.
 
     Choose ``bin_width`` near the length of windows and blocks, and ``buckets``
-    so that a bucket of a chromosome is a file of some hundred megabytes.
+    so that a bucket of a chromosome is a file of some hundred megabytes and
+    there are no fewer than ``spark.sql.shuffle.partitions``. For Spark to leave
+    the buckets where they are, ``spark.sql.requireAllClusterKeysForCoPartition``
+    must be false, as ``local_session`` sets it; else it shuffles both sides.
     """
     spark = blocks.sparkSession
     numbered = blocks.withColumn("block_no", F.monotonically_increasing_id())
@@ -108,8 +111,7 @@ def open_lookup(spark: SparkSession, path: str) -> Lookup:
                 f"CREATE TABLE {_name(path, kind)} ({columns}) USING parquet PARTITIONED BY (ref_chrom) "
                 f"CLUSTERED BY (bin) SORTED BY ({', '.join(_SORT[kind])}) INTO {rows[kind].buckets} BUCKETS LOCATION '{path}/{kind}'"
             )
-            if spark.conf.get("spark.sql.catalogImplementation", "in-memory") == "hive":
-                spark.sql(f"ALTER TABLE {_name(path, kind)} RECOVER PARTITIONS")
+            spark.sql(f"ALTER TABLE {_name(path, kind)} RECOVER PARTITIONS")
     return Lookup(spark, path, rows["blocks"].bin_width, rows["blocks"].buckets)
 
 
