@@ -3,8 +3,8 @@
 A rule is a host and a path, like ``example.com/de/``; it fits the host and all
 its subdomains where the path starts with the rule's. Each URL is expanded into
 the expressions that a rule can have been filed under: every suffix of its host
-after a dot, with every prefix of its path that ends in a slash. Expressions meet
-rules by the first four bytes of their digests; then the full digest, the host
+after a dot, with every prefix of its path that ends in a slash; but no host with more
+labels and no path with more slashes than a rule has. Expressions meet rules by the first four bytes of their digests; then the full digest, the host
 and the path are confirmed. The longest rule wins.
 """
 
@@ -33,14 +33,16 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def host_suffixes(host: Column) -> Column:
-    labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def host_suffixes(host: Column, labels: int) -> Column:
+    """The suffixes of at most ``labels`` labels, the host itself among them if it has no more."""
+    parts = F.split(F.substring_index(host, ".", -labels), r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
 
 
-def path_prefixes(path: Column) -> Column:
-    """The empty path and all prefixes that end in a slash."""
-    parts = F.split(path, "/")
+def path_prefixes(path: Column, slashes: int) -> Column:
+    """The empty path and all prefixes of at most ``slashes`` slashes that end in one."""
+    head = F.substring_index(path, "/", slashes)
+    parts = F.split(F.when(F.length(head) < F.length(path), F.concat(head, F.lit("/"))).otherwise(path), "/")
     return F.transform(
         F.sequence(F.lit(0), F.size(parts) - 1),
         lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))))
@@ -76,16 +78,20 @@ def judge(pages: DataFrame, rules: DataFrame, otherwise: str = "allow") -> DataF
     the longer host and path together win, then the longer host. Repeated rows
     and null ids are judged like any other.
 
-    Different hosts and paths are expanded once, however many pages share them.
+    Different hosts and paths are expanded once, however many pages share them,
+    and no deeper than the longest rule goes: two numbers come back for that.
     Rules are joined as Spark sees fit by their size.
     """
     url = F.col("url").cast("string")
     rows = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
     places = rows.where("host <> ''").select("host", "path").distinct()
-    asked = places.select("host", "path", F.explode(host_suffixes(F.col("host"))).alias("_h"))
-    asked = asked.select("host", "path", "_h", F.explode(path_prefixes(F.col("path"))).alias("_p"))
+    filed = file_rules(rules)
+    count = lambda text, sign: F.max(F.length(text) - F.length(F.replace(F.col(text), F.lit(sign), F.lit(""))))
+    dots, slashes = filed.agg(count("rule_host", "."), count("rule_path", "/")).first()
+    asked = places.select("host", "path", F.explode(host_suffixes(F.col("host"), (dots or 0) + 1)).alias("_h"))
+    asked = asked.select("host", "path", "_h", F.explode(path_prefixes(F.col("path"), slashes or 0)).alias("_p"))
     asked = asked.withColumn("_full", digest(F.col("_h"), F.col("_p"))).withColumn("short", short(F.col("_full")))
-    hits = asked.join(file_rules(rules), "short").where(
+    hits = asked.join(filed, "short").where(
         (F.col("_full") == F.col("full")) & (F.col("_h") == F.col("rule_host")) & F.startswith("path", "rule_path"))
     best = hits.groupBy("host", "path").agg(F.max(F.struct(
         (F.length("rule_host") + F.length("rule_path")).alias("size"), F.length("rule_host").alias("host_size"),

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 from strandweave.llm import html_extract, html_tree, url_filter
@@ -58,6 +59,16 @@ def test_blocks():
     assert text_of("a < b <p title='>'>c <") == "a < b\n\nc <"
 
 
+def test_long_urls_cost_what_their_rules_do(spark):
+    """A path of 100,000 slashes and a host of 50,000 labels are expanded no deeper than the rules."""
+    rows = [(1, "http://a.org/fr/" + "x/" * 100_000), (2, "http://" + "a." * 50_000 + "example.com/de/" + "/" * 1000), (3, "http://a.org/f" + "/" * 100_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    start = time.time()
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(pages, url_filter.default_rules(spark)).collect()}
+    assert got == {1: ("org/fr/", "allow"), 2: ("example.com/de/", "block"), 3: (None, "allow")}
+    assert time.time() - start < 30
+
+
 def test_long_and_broken_pages_end():
     for piece in ("<div>", "<b>", '<a href="', "<!", "<svg>", "<li>", "<p>x ", "<a '", "<!--"):
         text_of(piece * 20_000)
