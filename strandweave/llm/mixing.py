@@ -24,9 +24,9 @@ def text_size(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def doc_hash(doc_id: Column) -> Column:
-    """60 bits of the MD5 of the id as text (null: of the empty text), as a long."""
-    digest = F.md5(F.coalesce(doc_id.cast("string"), F.lit("")))
+def doc_hash(doc_id: Column, text: Column) -> Column:
+    """60 bits of the MD5 of the id as text, a line end and the text (null: empty), as a long."""
+    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("\n"), F.coalesce(text.cast("string"), F.lit(""))))
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
@@ -119,8 +119,8 @@ def plan(rows: DataFrame, weights: tuple[float, ...], max_epochs: float) -> Data
 
 
 def _sized(docs: DataFrame) -> DataFrame:
-    rows = docs.select("doc_id", "source", text_size(F.col("text")).alias("size"))
-    return save(rows.withColumn("h", doc_hash(F.col("doc_id"))), "sizes")
+    h = doc_hash(F.col("doc_id"), F.col("text"))
+    return save(docs.select("doc_id", "source", text_size(F.col("text")).alias("size"), h.alias("h")), "sizes")
 
 
 def _times() -> Column:
@@ -131,9 +131,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_epoch
     """Per document ``doc_id, source, size, source_size, target, taken``.
 
     ``taken`` is ``size`` times how often the mix holds the document. Null texts
-    have size 0; a null source is a source like any other, the last; null ids
-    share one hash and so one fate within a source, as do repeated rows. A source
-    of size 0 has target 0. An empty table gives no rows.
+    have size 0; a null source is a source like any other, the last. Rows with
+    the same id and the same text share one hash and so one fate within a source;
+    null or repeated ids alone do not. A source of size 0 has target 0. An empty
+    table gives no rows.
     """
     rows = _sized(docs)
     return rows.join(plan(rows, weights, max_epochs), F.col("source").eqNullSafe(F.col("_s"))).select(
@@ -143,6 +144,6 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_epoch
 def repeat(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_epochs: float = 3.0) -> DataFrame:
     """The rows of ``docs`` with all their columns, each as often as ``mix`` takes it."""
     per_source = plan(_sized(docs), weights, max_epochs)
-    rows = docs.select(F.struct("*").alias("_row"), F.col("source"), doc_hash(F.col("doc_id")).alias("h"))
+    rows = docs.select(F.struct("*").alias("_row"), F.col("source"), doc_hash(F.col("doc_id"), F.col("text")).alias("h"))
     taken = rows.join(per_source, F.col("source").eqNullSafe(F.col("_s"))).where(_times() > 0)
     return taken.select("_row", F.explode(F.sequence(F.lit(1), _times().cast("int")))).select("_row.*")

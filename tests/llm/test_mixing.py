@@ -25,15 +25,16 @@ def brute(rows, weights=(5, 2, 1), most=3):
         full |= over
     for s in names:
         target[s] = most * total[s] if s in full else price * weight[s]
+    digest = lambda d, t: int(hashlib.md5((("" if d is None else str(d)) + "\n" + (t or "")).encode()).hexdigest()[:15], 16)
     times = {}
     for s in names:
         if not total[s]:
             continue
         copies = int(target[s] // total[s])
         rest, by_hash = target[s] - copies * total[s], defaultdict(int)
-        for (d, _, _, q), n in zip(rows, size):
+        for (d, t, _, q), n in zip(rows, size):
             if q == s and n:
-                by_hash[int(hashlib.md5(("" if d is None else str(d)).encode()).hexdigest()[:15], 16)] += n
+                by_hash[digest(d, t)] += n
         before = 0
         for h in sorted(by_hash):
             n = by_hash[h]
@@ -41,8 +42,8 @@ def brute(rows, weights=(5, 2, 1), most=3):
             times[s, h] = copies + more
             before += n
     out = Counter()
-    for (d, _, _, s), n in zip(rows, size):
-        h = int(hashlib.md5(("" if d is None else str(d)).encode()).hexdigest()[:15], 16)
+    for (d, t, _, s), n in zip(rows, size):
+        h = digest(d, t)
         out[d, n, total[s], round(target[s], 6), n * times.get((s, h), 0)] += 1
     return out
 
@@ -68,3 +69,16 @@ def test_no_documents_and_no_words(spark):
     assert mixing.mix(odd.docs(spark, [])).collect() == []
     got = mixing.mix(odd.docs(spark, [(1, None, "en", "a"), (2, "", "en", None)])).collect()
     assert {(r.doc_id, r["size"], r.target, r.taken) for r in got} == {(1, 0, 0.0, 0), (2, 0, 0.0, 0)}
+
+
+def test_null_and_repeated_ids_come_near_their_targets(spark):
+    rows = [(None if i % 2 else 7, f"some words of text {i}", "en", "wxyz"[i % 4]) for i in range(800)]
+    got = mixing.mix(odd.docs(spark, rows)).collect()
+    assert len(got) == 800
+    by_target = Counter()
+    for r in got:
+        by_target[round(r.target, 6)] += r.taken
+    expect = Counter()
+    for s in "wxyz":
+        expect[round({"w": 5, "x": 2, "y": 1, "z": 5}[s] / 13 * 4000, 6)] += {"w": 5, "x": 2, "y": 1, "z": 5}[s] / 13 * 4000
+    assert all(abs(by_target[t] - expect[t]) <= 10 for t in expect) and set(by_target) == set(expect)
