@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from html import unescape
 
+import numpy as np
+
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+)>|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -236,69 +238,180 @@ class Tree:
             self.kids[int(parent)].append(i)
 
 
+class _Shapes:
+    """Subtrees of two trees by number: equal subtrees have one number, whichever tree they are in."""
+
+    def __init__(self):
+        self.known: dict[tuple, int] = {}
+        self.tag: list[str] = []
+        self.kids: list[tuple[int, ...]] = []
+        self.size: list[int] = []
+
+    def of(self, tree) -> list[int]:
+        out = [0] * len(tree.tags)
+        for i in range(len(out) - 1, -1, -1):  # children come after their parents
+            kids = tuple(out[k] for k in tree.kids[i])
+            shape = (tree.tags[i], kids)
+            if shape not in self.known:
+                self.known[shape] = len(self.tag)
+                self.tag.append(tree.tags[i])
+                self.kids.append(kids)
+                self.size.append(1 + sum(self.size[k] for k in kids))
+            out[i] = self.known[shape]
+        return out
+
+    def ends(self, left, right) -> tuple[int, int]:
+        """How many equal subtrees two child lists begin and end with; to match these is a best choice.
+
+        Leaves at both ends go first, then other subtrees from the end, then from the start.
+        """
+        n = min(len(left), len(right))
+        lo = hi = 0
+        while lo < n and left[lo] == right[lo] and not self.kids[left[lo]]:
+            lo += 1
+        while hi < n - lo and left[-1 - hi] == right[-1 - hi]:
+            hi += 1
+        while lo < n - hi and left[lo] == right[lo]:
+            lo += 1
+        return lo, hi
+
+
+#: Cells of a table that is kept whole; a larger one is halved, so that only rows are held.
+_CELLS = 1 << 20
+#: Tables so small that plain loops are quicker.
+_SHORT = 400
+
+
+def _last_row(weight: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+    """Most matched nodes of all ``xs`` with the first ``0, 1, ...`` of ``ys``; ``weight`` is by distinct shape."""
+    best = np.zeros(len(ys) + 1, np.int64)
+    for x in xs:
+        best[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + weight[x][ys]))
+    return best
+
+
+def _matches(weight: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> list[tuple[int, int]]:
+    """Places of ``xs`` and ``ys`` that are matched, in linear memory."""
+    out, todo = [], [(0, len(xs), 0, len(ys))]
+    while todo:
+        a, b, c, d = todo.pop()
+        if a == b or c == d:
+            continue
+        if (b - a) * (d - c) > _CELLS and b - a > 1:
+            mid = (a + b) // 2
+            before = _last_row(weight, xs[a:mid], ys[c:d])
+            after = _last_row(weight, xs[mid:b][::-1], ys[c:d][::-1])[::-1]
+            cut = c + int((before + after).argmax())
+            todo += [(a, mid, c, cut), (mid, b, cut, d)]
+            continue
+        best = np.zeros((b - a + 1, d - c + 1), np.int64)
+        for i in range(a, b):
+            row = np.maximum(best[i - a, 1:], best[i - a, :-1] + weight[xs[i]][ys[c:d]])
+            best[i - a + 1, 1:] = np.maximum.accumulate(row)
+        i, j = b - a, d - c
+        while i and j:
+            w = weight[xs[a + i - 1], ys[c + j - 1]]
+            if w and best[i, j] == best[i - 1, j - 1] + w:
+                i, j = i - 1, j - 1
+                out.append((a + i, c + j))
+            elif best[i, j] == best[i - 1, j]:
+                i -= 1
+            else:
+                j -= 1
+    return out
+
+
+def _few(xs, ys, weigh) -> tuple[int, list[tuple[int, int]]]:
+    """Matched nodes and matches of two short lists of shapes."""
+    weight = [[weigh(x, y) for y in ys] for x in xs]
+    best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+    for i, w in enumerate(weight):
+        row, above = best[i + 1], best[i]
+        for j in range(len(ys)):
+            row[j + 1] = max(above[j + 1], row[j], above[j] + w[j])
+    out, i, j = [], len(xs), len(ys)
+    while i and j:
+        if weight[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + weight[i - 1][j - 1]:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        elif best[i][j] == best[i - 1][j]:
+            i -= 1
+        else:
+            j -= 1
+    return best[-1][-1], out
+
+
 def align(page, seed) -> dict[int, int]:
     """Nodes of ``page`` to nodes of ``seed`` by simple tree matching.
 
     Two nodes match if their tags are equal; among the children, matches keep
-    their order and the number of matched nodes is greatest. Leaves with one tag
-    at the ends of two child lists are matched at once, as no other choice gives
-    more. Pairs wait on a list for those below them, so trees may be of any depth.
+    their order and the number of matched nodes is greatest. Equal subtrees at
+    the ends of two child lists are matched at once, as no other choice gives
+    more. What is left is weighed once for each two different shapes, however
+    often they stand in the lists, and aligned row by row in linear memory.
+    Pairs wait on a list for those below them, so trees may be of any depth.
     """
-    memo: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
-    waiting: dict[tuple[int, int], tuple] = {}
-    todo = [(0, 0)]
-    tags, seed_tags = page.tags, seed.tags
+    shapes = _Shapes()
+    left_of, right_of = shapes.of(page), shapes.of(seed)
+    memo: dict[tuple[int, int], int] = {}
 
-    def leaves(x, y):
-        return tags[x] == seed_tags[y] and not page.kids[x] and not seed.kids[y]
+    def weights(xs, ys):
+        """Distinct shapes' weights, and the lists as numbers of distinct shapes."""
+        a, at_x = np.unique(np.array(xs, np.int64), return_inverse=True)
+        b, at_y = np.unique(np.array(ys, np.int64), return_inverse=True)
+        return np.array([[weigh(x, y) for y in b.tolist()] for x in a.tolist()], np.int64).reshape(len(a), len(b)), at_x, at_y
 
-    while todo:
-        at = todo[-1]
-        if at in memo:
-            todo.pop()
-            continue
-        if at not in waiting:
-            left, right = page.kids[at[0]], seed.kids[at[1]]
-            pairs, tail = [], []
-            lo, hi_a, hi_b = 0, len(left), len(right)
-            while lo < min(hi_a, hi_b) and leaves(left[lo], right[lo]):
-                pairs.append((left[lo], right[lo]))
-                lo += 1
-            while lo < min(hi_a, hi_b) and leaves(left[hi_a - 1], right[hi_b - 1]):
-                hi_a, hi_b = hi_a - 1, hi_b - 1
-                tail.append((left[hi_a], right[hi_b]))
-            xs, ys = left[lo:hi_a], right[lo:hi_b]
-            below = [(x, y) for x in xs for y in ys if tags[x] == seed_tags[y] and page.kids[x] and seed.kids[y] and (x, y) not in memo]
-            waiting[at] = pairs, tail, xs, ys
+    def weigh(x, y):
+        if shapes.tag[x] != shapes.tag[y]:
+            return 0
+        if x == y:
+            return shapes.size[x]
+        return memo[x, y]
+
+    def middle(x, y):
+        left, right = shapes.kids[x], shapes.kids[y]
+        lo, hi = shapes.ends(left, right)
+        return left[lo : len(left) - hi], right[lo : len(right) - hi], lo, hi
+
+    def fill(x, y):
+        todo = [(x, y)]
+        while todo:
+            at = todo[-1]
+            if at in memo:
+                todo.pop()
+                continue
+            xs, ys, lo, hi = middle(*at)
+            below = [(a, b) for a in set(xs) for b in set(ys) if a != b and shapes.tag[a] == shapes.tag[b] and (a, b) not in memo]
             if below:
                 todo += below
                 continue
-        pairs, tail, xs, ys = waiting.pop(at)
-        size = 1 + len(pairs) + len(tail)
-        if xs and ys:
-            weight = [[memo[x, y][0] if (x, y) in memo else int(tags[x] == seed_tags[y]) for y in ys] for x in xs]
-            best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-            for i in range(len(xs)):
-                row, above, w = best[i + 1], best[i], weight[i]
-                for j in range(len(ys)):
-                    row[j + 1] = max(above[j + 1], row[j], above[j] + w[j])
-            i, j = len(xs), len(ys)
-            size += best[i][j]
-            while i and j:
-                if weight[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + weight[i - 1][j - 1]:
-                    i, j = i - 1, j - 1
-                    pairs.append((xs[i], ys[j]))
-                elif best[i][j] == best[i - 1][j]:
-                    i -= 1
+            kids = shapes.kids[at[0]]
+            size = 1 + sum(shapes.size[k] for k in kids[:lo]) + sum(shapes.size[k] for k in kids[len(kids) - hi :])
+            if xs and ys:
+                if len(xs) * len(ys) <= _SHORT:
+                    size += _few(xs, ys, weigh)[0]
                 else:
-                    j -= 1
-        memo[at] = size, pairs + tail
-        todo.pop()
+                    table, at_x, at_y = weights(xs, ys)
+                    size += int(_last_row(table, at_x, at_y)[-1])
+            memo[at] = size
+            todo.pop()
 
-    out, stack = {0: 0}, [(0, 0)]
+    out, stack = {}, [(0, 0)]
     while stack:
-        pair = stack.pop()
-        for x, y in memo.get(pair, (0, ()))[1]:
-            out[x] = y
-            stack.append((x, y))
+        x, y = stack.pop()
+        out[x] = y
+        left, right = page.kids[x], seed.kids[y]
+        if left_of[x] == right_of[y]:
+            stack += zip(left, right, strict=True)
+            continue
+        fill(left_of[x], right_of[y])
+        xs, ys, lo, hi = middle(left_of[x], right_of[y])
+        stack += zip(left[:lo], right[:lo], strict=True)
+        stack += zip(left[len(left) - hi :], right[len(right) - hi :], strict=True)
+        if xs and ys:
+            if len(xs) * len(ys) <= _SHORT:
+                found = _few(xs, ys, weigh)[1]
+            else:
+                found = _matches(*weights(xs, ys))
+            stack += [(left[lo + i], right[lo + j]) for i, j in found]
     return out
