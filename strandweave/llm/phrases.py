@@ -33,7 +33,7 @@ MIN_COUNT = 10
 MAX_WORDS = 3
 TOP = 2000
 SHARD = 500_000
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 NO_LANG = "und"
 _BREAKS = rb"[.,;:!?\x0A-\x0D]"
 _BREAK = re.compile(_BREAKS)
@@ -53,7 +53,7 @@ def block_of(blob: bytes) -> tuple[pa.Array, np.ndarray]:
     offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
     words = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[inside]))])
     coded = words.dictionary_encode()
-    piece = np.cumsum(kind == 1)[starts] if len(starts) else np.empty(0, np.int64)
+    piece = np.cumsum(kind == 1, dtype=np.int32)[starts] if len(starts) else np.empty(0, np.int32)
     gaps = np.concatenate([[0], np.cumsum(np.diff(piece) > 0)]) if len(starts) else np.empty(0, np.int64)
     ids = np.full(len(starts) + (int(gaps[-1]) if len(gaps) else 0), -1, np.int32)
     ids[np.arange(len(starts)) + gaps] = coded.indices.to_numpy()
@@ -373,6 +373,9 @@ def rank(counts: DataFrame, sizes: DataFrame, cover: int = 50, top: int = TOP) -
     inner = found.where(F.size("w") > 2).select("lang", F.explode(F.expr(spans)).alias("phrase"), "a")
     inner = inner.groupBy("lang", "phrase").agg(F.max("a").alias("_longer"))
     kept = scored.join(inner, ["lang", "phrase"], "left").where(F.coalesce(100 * F.col("_longer") < cover * F.col("a"), F.lit(True)))
-    order = Window.partitionBy("lang").orderBy(F.col("best.score").desc(), F.col("a").desc(), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = [F.col("best.score").desc(), F.col("a").desc(), "phrase"]
+    # First the best of each of 256 parts of a language, so that no task sorts a whole language.
+    part = kept.withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(256)))
+    part = part.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*order))).where(F.col("rank") <= top)
+    ranked = part.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return ranked.join(sizes, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "best.l", "best.r", "n", F.col("best.score").alias("score"))
