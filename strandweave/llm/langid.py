@@ -129,6 +129,11 @@ def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, keep: tuple[s
     return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
 
+def has_letter(text) -> F.Column:
+    """Whether a text holds a letter, of any script; false for null."""
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 def held_out(doc_id) -> F.Column:
     """Documents that are not learnt from: CRC-32 of the id as text leaves 1 when divided by 3 (false for null)."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))

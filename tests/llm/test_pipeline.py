@@ -69,3 +69,10 @@ def test_every_stage_and_the_whole_run(spark, tmp_path):
     assert Counter(r.doc_id for r in whole if r.piece == 0) == Counter(r.doc_id for r in got)
     same = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert Counter((r.doc_id, r.piece, r.ids_crc32) for r in same) == Counter((r.doc_id, r.piece, r.ids_crc32) for r in whole)
+
+
+def test_without_labels_every_document_with_a_letter_stays(spark, tmp_path):
+    rows = [(d, t, None, s) for d, t, _, s in odd.texts()]
+    docs = odd.docs(spark, rows)
+    got = Counter((r.doc_id, r.text) for r in STAGES["language_id"](spark, docs, str(tmp_path)).collect())
+    assert got == Counter((d, t) for d, t, *_ in rows if any(c.isalpha() for c in t or "")) and len(got) > 50
