@@ -15,11 +15,17 @@ from strandweave.llm.common import save, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which no language is found: null texts and texts without a letter."""
+    """Drops documents that can have no language: null texts and texts without a letter.
+
+    Where there is no label to learn from, no language can be told; then, too,
+    every document with a letter stays.
+    """
     labelled = docs.where(~langid.held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
     langs, matrix = langid.fit(labelled.select("doc_id", "text", "lang"))
     rows = docs.select(F.struct("*").alias("_row"))
-    return langid.predict(rows, langs, matrix, keep=("_row",), inside="_row").where(F.col("lang_pred") != langid.UNKNOWN).select("_row.*")
+    found = langid.predict(rows, langs, matrix, keep=("_row",), inside="_row")
+    unknown = F.col("lang_pred") == langid.UNKNOWN
+    return found.where(~unknown | (F.lit(not langs) & langid.has_letter(F.col("_row.text")))).select("_row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
