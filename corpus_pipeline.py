@@ -24,7 +24,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     langs, matrix = langid.fit(labelled.select("doc_id", "text", "lang"))
     rows = docs.select(F.struct("*").alias("_row"))
     found = langid.predict(rows, langs, matrix, keep=("_row",), inside="_row")
-    unknown = F.col("lang_pred") == langid.UNKNOWN
+    unknown = (F.col("lang_pred") == langid.UNKNOWN) & (F.col("score") == 0)
     return found.where(~unknown | (F.lit(not langs) & langid.has_letter(F.col("_row.text")))).select("_row.*")
 
 
