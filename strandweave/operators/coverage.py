@@ -16,24 +16,21 @@ def binned_coverage(
     """Reads touching each bin of each view, in total and per haplotype.
 
     ``views`` holds ``key, view_start, view_end``; ``overlaps`` the same columns
-    with the read's ``start, end, hp``. Each read adds one at its first bin and
-    takes one away after its last, so it sends two rows, not one per bin; these
-    are summed map-side and a running sum over the ``num_bins`` bins of a view
-    gives the depth. Every bin appears, empty ones too; the last bins of a short
-    view may end before they start.
+    with the read's ``start, end, hp``; a key is not null. Each read adds one at
+    its first bin and takes one away after its last. Only these edges are
+    shuffled, summed map-side; a view gets the list of its steps, at most one
+    per bin, and is filled up to ``num_bins`` bins where the list arrives. A
+    running sum gives the depth. Every bin appears, empty ones too; the last
+    bins of a short view may end before they start.
     """
     key = list(key)
     if num_bins < 1:
         raise ValueError("num_bins must be >= 1")
     span = F.col("view_end") - F.col("view_start")
     size = F.greatest(F.lit(1).cast("bigint"), ((span + (num_bins - 1)) - (span + (num_bins - 1)) % num_bins) / num_bins).cast("bigint")
-    shown = views.filter(span > 0)
+    view = [*key, "view_start", "view_end"]
+    shown = views.filter(span > 0).select(*view).distinct()
     zero = F.lit(0).cast("bigint")
-    frame = shown.select(
-        *key, "view_start", "view_end",
-        F.explode(F.sequence(F.lit(0), F.lit(num_bins - 1))).alias("bin"),
-        zero.alias("d"), zero.alias("d1"), zero.alias("d2"),
-    )
 
     vs, ve = F.col("view_start"), F.col("view_end")
     lo = F.greatest("start", "view_start") - vs
@@ -58,14 +55,15 @@ def binned_coverage(
         F.when(F.col("hp") == 1, F.col("e.d")).otherwise(zero).alias("d1"),
         F.when(F.col("hp") == 2, F.col("e.d")).otherwise(zero).alias("d2"),
     )
-    delta = (
-        frame.unionByName(edges)
-        .groupBy(*key, "view_start", "view_end", "bin")
-        .agg(F.sum("d").alias("d"), F.sum("d1").alias("d1"), F.sum("d2").alias("d2"))
-    )
-    upto = Window.partitionBy(*key, "view_start", "view_end").orderBy("bin").rowsBetween(
-        Window.unboundedPreceding, 0
+    steps = edges.groupBy(*view, "bin").agg(F.sum("d").alias("d"), F.sum("d1").alias("d1"), F.sum("d2").alias("d2"))
+    steps = steps.groupBy(*view).agg(F.collect_list(F.struct("bin", "d", "d1", "d2")).alias("steps"))
+    blank = F.transform(
+        F.sequence(F.lit(0), F.lit(num_bins - 1)),
+        lambda i: F.struct(i.alias("bin"), zero.alias("d"), zero.alias("d1"), zero.alias("d2")),
     )
+    filled = shown.join(steps, view, "left").select(*view, F.explode(F.concat(F.coalesce("steps", F.array().cast(steps.schema["steps"].dataType)), blank)).alias("s"))
+    delta = filled.groupBy(*view, F.col("s.bin").alias("bin")).agg(F.sum("s.d").alias("d"), F.sum("s.d1").alias("d1"), F.sum("s.d2").alias("d2"))
+    upto = Window.partitionBy(*view).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     start = vs + F.col("bin") * size
     return delta.select(
         *key, "bin", start.alias("bin_start"), F.least(start + size, ve).alias("bin_end"),
