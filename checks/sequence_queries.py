@@ -11,7 +11,7 @@ from strandweave.functions import dna
 from strandweave.operators import kmer_match as K
 from strandweave.operators.sequences import chunk_sequences, resolve_names, slice_sequences
 from strandweave.plans import dotplots as D
-from strandweave.plans.subset import distinct_regions, subset_sequences
+from strandweave.plans.subset import distinct_regions, subset_parts, subset_sequences
 
 KMER = 15
 CHUNK = 700
@@ -164,6 +164,20 @@ def q12(spark, d):
     return subset_sequences(asked, chunk_sequences(_genome(spark, d), CHUNK), CHUNK).drop("genome")
 
 
+@check("q12_sequence_parts", f"""{ctes('seqs')}, cut AS (SELECT doc_id AS ord, 'd' || doc_id || ':' || (1 + doc_id % 90) || '-' || (4000 + doc_id) AS name,
+  SUBSTRING(seq, CAST(1 + doc_id % 90 AS BIGINT), CAST(4000 + doc_id - doc_id % 90 AS BIGINT)) AS s FROM seqs)
+SELECT ord, name, part_no, SUBSTRING(s, CAST(part_no * 120 + 1 AS BIGINT), 120) AS bases
+FROM (SELECT *, UNNEST(RANGE(CAST(CEIL(LENGTH(s) / 120.0) AS BIGINT))) AS part_no FROM cut)""")
+def q12_parts(spark, d):
+    """Long regions as parts of 120 letters, none longer, over chunks of another size."""
+    at = F.col("doc_id")
+    asked = V.seqs(spark, d).select(
+        at.alias("ord"), F.lit("g").alias("genome"), F.concat(F.lit("d"), at.cast("string")).alias("chrom"),
+        (1 + at % 90).alias("start"), (4000 + at).alias("end"),
+    )
+    return subset_parts(asked, chunk_sequences(_genome(spark, d), CHUNK), CHUNK, 120).drop("genome")
+
+
 @check("a11_distinct_regions", f"""{ctes('seqs')} SELECT 'c' || (doc_id % 70) AS region, MIN(doc_id) AS ord FROM seqs GROUP BY ALL""")
 def a11_regions(spark, d):
     texts = V.seqs(spark, d).select(

@@ -18,7 +18,7 @@ from checks.views import ctes
 from strandweave.operators.sequences import chunk_sequences
 from strandweave.plans import mapping as M
 from strandweave.plans.phasing import phase_and_tag
-from strandweave.plans.subset import subset_sequences, variant_manifest
+from strandweave.plans.subset import subset_parts, subset_sequences, variant_manifest
 from strandweave.session import scratch_folder
 from strandweave.sources.lookup import open_lookup
 from strandweave.sources import alignments, paf, regions, samples, sequences, writers
@@ -304,6 +304,23 @@ def k6(spark, d):
     return sequences.read_fasta(spark, path).select("name", "seq")
 
 
+@check("k6_wrapped_fasta", f"""{ctes('seqs')}, cut AS (SELECT doc_id, SUBSTRING(seq, 3, CAST(898 + doc_id % 50 AS BIGINT)) AS s FROM seqs WHERE LENGTH(seq) > 2)
+SELECT line, CAST(COUNT(*) AS BIGINT) AS n FROM (SELECT '>d' || doc_id || ':3-' || (900 + doc_id % 50) AS line FROM cut
+  UNION ALL SELECT SUBSTRING(s, CAST(i * 60 + 1 AS BIGINT), 60) FROM (SELECT s, UNNEST(RANGE(CAST(CEIL(LENGTH(s) / 60.0) AS BIGINT))) AS i FROM cut)) GROUP BY line""")
+def k6_wrapped(spark, d):
+    """The lines of a FASTA file whose records were written part by part."""
+    s = V.seqs(spark, d)
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    chunks = chunk_sequences(s.select(F.lit("g").alias("genome"), name.alias("name"), "seq"), 100)
+    asked = s.filter(F.length("seq") > 2).select(
+        F.col("doc_id").alias("ord"), F.lit("g").alias("genome"), name.alias("chrom"),
+        F.lit(3).cast("bigint").alias("start"), (900 + F.col("doc_id") % 50).alias("end"),
+    )
+    path = scratch_folder(spark, "k6")
+    writers.write_fasta_parts(subset_parts(asked, chunks, 100, 240), path)
+    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @check("s11_sample_sheet", """SELECT c_name AS sample_id, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'r' || c_custkey || '.bam' END AS reads_bam,
   CASE WHEN c_custkey % 2 = 0 THEN 'r' || c_custkey || '.cram' ELSE '' END AS reads_cram,
   CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS cohort FROM customer""")

@@ -49,6 +49,32 @@ def slice_sequences(
     return spans.join(whole, key, "left")
 
 
+def slice_parts(
+    spans: DataFrame, chunks: DataFrame, key: Sequence[str] = ("region_id",), size: int = CHUNK, part: int = CHUNK
+) -> DataFrame:
+    """``key, part_no, bases``: the slices of ``slice_sequences`` in pieces of ``part`` letters, counted from each slice's start.
+
+    No row holds more than ``part`` letters, however long a slice is; a piece is
+    put together from the chunks that it touches. Spans without letters, past
+    the end or of unknown names, have no rows.
+    """
+    key = list(key)
+    lo, hi = F.greatest("start", F.lit(1).cast("bigint")), F.col("end")
+    step = lambda p, n: F.floor(p / F.lit(n)).cast("bigint")
+    touched = spans.filter(hi >= lo).select(*dict.fromkeys([*key, "genome", "name"]), lo.alias("lo"), hi.alias("hi"))
+    touched = touched.withColumn("chunk", F.explode(F.sequence(step(F.col("lo") - 1, size), step(F.col("hi") - 1, size))))
+    before = F.col("chunk").cast("bigint") * size
+    found = touched.join(chunks, ["genome", "name", "chunk"]).select(
+        *key, "lo", "bases", before.alias("before"), F.greatest(F.col("lo"), before + 1).alias("a"), F.least(F.col("hi"), before + F.length("bases")).alias("b")
+    ).filter("b >= a")
+    cut = found.withColumn("part_no", F.explode(F.sequence(step(F.col("a") - F.col("lo"), part), step(F.col("b") - F.col("lo"), part))))
+    first = F.greatest("a", F.col("lo") + F.col("part_no") * part)
+    last = F.least("b", F.col("lo") + (F.col("part_no") + 1) * part - 1)
+    pieces = cut.select(*key, "part_no", first.alias("a"), F.substring("bases", (first - F.col("before")).cast("int"), (last - first + 1).cast("int")).alias("bases"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("a", "bases"))), lambda x: x["bases"]), "")
+    return pieces.groupBy(*key, "part_no").agg(joined.alias("bases"))
+
+
 def resolve_names(regions: DataFrame, contigs: DataFrame) -> DataFrame:
     """Sequence and local bounds for each region; unresolved regions are left out.
 

@@ -2,40 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandweave.functions.regions import parse_region_greedy
 
 
-def largest_per_chrom(variants: DataFrame) -> DataFrame:
-    """Largest variant of each chromosome; the earlier one on ties."""
+def largest_per_chrom(variants: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Largest variant of each chromosome (and of each ``by``); the earlier one on ties."""
     row = F.struct((-F.col("size")).alias("rank"), "var_seq", F.struct(*variants.columns).alias("v"))
-    return variants.groupBy("chrom").agg(F.min(row).alias("m")).select("m.v.*")
+    return variants.groupBy(*by, "chrom").agg(F.min(row).alias("m")).select("m.v.*")
 
 
-def select_variants(variants: DataFrame, k: int = 10) -> DataFrame:
-    """At most ``k`` large variants spread over chromosomes.
+def select_variants(variants: DataFrame, k: int = 10, by: Sequence[str] = ()) -> DataFrame:
+    """At most ``k`` large variants spread over chromosomes, for each ``by`` (such as ``sample_id``) on its own.
 
     First the largest of each chromosome, largest first, then the largest of
     the remaining ones whose ``(chrom, pos)`` was not taken. When there are no
     more than ``k`` variants all are kept in order of size. ``pick_ord`` gives
     the final order.
     """
-    size_order = [F.desc("size"), F.asc("var_seq")]
+    by, size_order = list(by), [F.desc("size"), F.asc("var_seq")]
+    every = Window.partitionBy(*by)
+
+    def front_of(df: DataFrame, n: int, *order) -> DataFrame:
+        """The first ``n`` rows of each ``by``; tasks cut down to ``n`` before anything is moved."""
+        if not by:
+            return df.orderBy(*order).limit(n)
+        return df.withColumn("__rn", F.row_number().over(every.orderBy(*order))).filter(F.col("__rn") <= n).drop("__rn")
+
     # Only the k largest of the chromosome tops are taken in the first pass.
-    first = largest_per_chrom(variants).orderBy(*size_order).limit(k).select(
-        "chrom", F.col("pos").alias("top_pos"), F.col("var_seq").alias("top_seq")
+    first = front_of(largest_per_chrom(variants, by), k, *size_order).select(
+        *by, "chrom", F.col("pos").alias("top_pos"), F.col("var_seq").alias("top_seq")
     )
-    rows = variants.join(first, "chrom", "left").withColumn(
+    rows = variants.join(first, [*by, "chrom"], "left").withColumn(
         "pass",
         F.when(F.col("top_seq") == F.col("var_seq"), 0)
         .when(F.col("top_pos") == F.col("pos"), 2)
         .otherwise(1),
     )
     # One row more than k tells whether there was a choice to make.
-    front = rows.orderBy("pass", *size_order).limit(k + 1)
-    every = Window.partitionBy()
+    front = front_of(rows, k + 1, "pass", *size_order)
     ranked = (
         front.withColumn("n", F.count(F.lit(1)).over(every))
         .withColumn("rn", F.row_number().over(every.orderBy("pass", *size_order)))
@@ -46,7 +55,7 @@ def select_variants(variants: DataFrame, k: int = 10) -> DataFrame:
     return ranked.withColumn(
         "pick_ord",
         F.when(F.col("n") <= k, F.row_number().over(by_size)).otherwise(F.row_number().over(by_place)),
-    ).select(*variants.columns, "pick_ord").orderBy("pick_ord")
+    ).select(*variants.columns, "pick_ord").orderBy(*by, "pick_ord")
 
 
 def chromosome_count(variants: DataFrame) -> DataFrame:

@@ -129,3 +129,17 @@ def write_fasta(seqs: DataFrame, path: str) -> None:
     seqs.filter(F.col("bases").isNotNull()).select(
         F.concat(F.lit(">"), F.col("name"), F.lit("\n"), F.col("bases")).alias("value")
     ).write.mode("overwrite").text(path)
+
+
+def write_fasta_parts(parts: DataFrame, path: str, width: int = 60) -> None:
+    """Records of ``ord, name, part_no, bases`` with lines of ``width`` letters, in order of ``ord``.
+
+    Parts follow each other without a break: every part but a record's last has
+    a multiple of ``width`` letters. A record lies in one file, and files follow
+    in order; its parts stream through the task that writes it, so no row is
+    longer than a part.
+    """
+    lines = F.regexp_replace("bases", f"(.{{{width}}})(?=.)", "$1\n")
+    text = F.when(F.col("part_no") == 0, F.concat(F.lit(">"), "name", F.lit("\n"), lines)).otherwise(lines)
+    spread = parts.filter(F.length("bases") > 0).select("ord", "name", "part_no", text.alias("value"))
+    spread.repartitionByRange("ord", "name").sortWithinPartitions("ord", "name", "part_no").select("value").write.mode("overwrite").text(path)
