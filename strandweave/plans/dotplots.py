@@ -10,6 +10,8 @@ from strandweave.operators.intervals import best_cluster, cluster_intervals
 from strandweave.operators.kmer_match import dotplot_matches, dotplot_summary, kmer_counts, match_counts, summarise
 from strandweave.operators.sequences import CHUNK, slice_sequences
 from strandweave.plans.mapping import translated_intervals
+from strandweave.session import stored
+from strandweave.sources.lookup import Lookup
 
 # Fixed value: the three comparisons, first sequence on the horizontal axis.
 COMPARISONS = (("ref", "hap1"), ("ref", "hap2"), ("hap1", "hap2"))
@@ -30,7 +32,7 @@ def buffered_regions(regions: DataFrame, buffer: float = 1.0, limit: int | None
 
 
 def dotplot_spans(
-    regions: DataFrame, blocks: DataFrame, buffer: float = 1.0, limit: int | None = None, **options
+    regions: DataFrame, blocks: DataFrame | Lookup, buffer: float = 1.0, limit: int | None = None, **options
 ) -> DataFrame:
     """``region_id, sample_id, side, name, start, end``: what to cut from each genome.
 
@@ -115,15 +117,16 @@ def side_summary(sides: DataFrame, k: int) -> DataFrame:
 
 
 def dotplot(
-    regions: DataFrame, blocks: DataFrame, chunks: DataFrame, k: int = 31, buffer: float = 1.0,
+    regions: DataFrame, blocks: DataFrame | Lookup, chunks: DataFrame, k: int = 31, buffer: float = 1.0,
     cap: int | None = None, chunk_size: int = CHUNK, **options,
 ) -> tuple[DataFrame, DataFrame]:
     """``(matches, summary)`` of the three comparisons of every region.
 
     ``cap`` limits the matches of a pair and ``limit`` the padded window; without
-    them nothing is left out.
+    them nothing is left out. The sides are stored once: matches and summary
+    both start from them.
     """
-    sides = dotplot_sides(dotplot_spans(regions, blocks, buffer, **options), chunks, chunk_size)
+    sides = stored(dotplot_sides(dotplot_spans(regions, blocks, buffer, **options), chunks, chunk_size), "sides")
     pairs = dotplot_pairs(sides)
     summary = side_summary(sides, k) if cap is None else dotplot_summary(pairs, k, cap)
     return dotplot_matches(pairs.select("pair_id", "seq1", "seq2"), k, cap), summary
