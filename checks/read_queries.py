@@ -16,6 +16,8 @@ from strandweave.operators import phasing as ph
 from strandweave.operators.cigar_index import cigar_features, visible_indels
 from strandweave.plans import reads as P
 from strandweave.plans.phasing import phase_and_tag
+from strandweave.session import scratch_folder
+from strandweave.sources import read_store
 from strandweave.sources.alignments import label_tracks
 
 BIN = 1024
@@ -31,6 +33,31 @@ def j2(spark, d):
     return P.reads_in_regions(V.spans(spark, d), V.reads(spark, d), BIN).select("region_id", "read_seq", "track")
 
 
+_STORES: dict[tuple[str, str], str] = {}
+
+
+def _store(spark, d):
+    """All reads as a read store, written once per application and data folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORES:
+        _STORES[key] = scratch_folder(spark, "reads")
+        read_store.write_reads(V.reads(spark, d), _STORES[key], BIN)
+    return _STORES[key]
+
+
+@check("s4_read_store_window", f"""{ctes('reads')} SELECT read_seq, name, track, start_pos, end_pos, cigar FROM reads
+WHERE chrom = 'chr2' AND track IN ('ref', 'hap2') AND start_pos <= 60000 AND end_pos >= 9001""")
+def s4_window(spark, d):
+    found = read_store.read_window(spark, _store(spark, d), "chr2", 9001, 60_000, ["s0"], ["ref", "hap2"], BIN)
+    return found.select("read_seq", "name", "track", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "cigar")
+
+
+@check("s4_read_store_join", f"""{ctes('reads', 'spans')}, {S.OVER} SELECT region_id, read_seq, track FROM over_reads""")
+def s4_join(spark, d):
+    stored = read_store.open_reads(spark, _store(spark, d)).where(sam.is_mapped(F.col("flags")))
+    return read_store.reads_of_regions(V.spans(spark, d), stored, BIN).select("region_id", "read_seq", "track")
+
+
 @check("f17_flags", f"""{ctes('reads')} SELECT read_seq, (flags & 4) <> 0 AS unmapped, (flags & 16) <> 0 AS is_reverse,
   (flags & 256) <> 0 AS is_secondary FROM reads""")
 def f17(spark, d):
