@@ -4,21 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandweave.sources.lines import file_column, file_table, read_lines, with_line_order
+from strandweave.sources.lines import FILE_SHIFT, file_column, read_lines, with_line_order
 
 BLOCK_COLUMNS = [
     "sample_id", "hap", "block_seq", "ref_chrom", "ref_start", "ref_end", "asm_chrom", "asm_start",
     "asm_end", "strand", "mapq", "matches", "block_len", "cigar", "tp",
 ]
 
-# Fixed schema of the JSON lookup form.
-JSON_BLOCKS = (
-    "map<string,array<struct<rs:bigint,re:bigint,ac:string,`as`:bigint,ae:bigint,"
-    "st:string,mq:int,cg:string,tp:string>>>"
-)
+# Fixed schema of one item of the JSON lookup form.
+JSON_BLOCK = "struct<rs:bigint,re:bigint,ac:string,`as`:bigint,ae:bigint,st:string,mq:int,cg:string,tp:string>"
+#: What stands before an item's opening brace, and its fields; the braces of the document itself follow nothing.
+JSON_ITEM = r"(?s)^(.*[\[,])\s*\{([^{]*)$"
+JSON_CHROM = r'(?s)^(?:.*[{,\s])?"((?:[^"\\]|\\.)*)"\s*:\s*\['
 
 
 def tag_value(fields: Column, tag: str) -> Column:
@@ -59,22 +59,34 @@ def read_paf(
 def read_mapping_json(
     spark: SparkSession, path: str, sample_id: str = "", hap: str = ""
 ) -> DataFrame:
-    """Blocks from JSON lookup documents; the place in each list is the tie order.
+    """Blocks from JSON lookup documents; ``block_seq`` rises with the place in each list.
 
-    A folder of documents is read in order of file name.
+    A folder of documents is read in order of file name. Documents are cut at
+    closing braces while they are read, so a row holds one item and a plain file
+    is split over tasks; each item takes the chromosome opened last before it.
+    Names that hold braces are an error.
     """
-    docs = spark.read.text(path, wholetext=True).select(
-        "value", file_column().alias("file_path")
+    cut = spark.read.text(path, lineSep="}").select(
+        "value", file_column().alias("file_path"), F.col("_metadata.file_block_start").alias("block_start")
     )
-    chroms = docs.join(file_table(spark, [path]), "file_path").select(
-        "file_ord", F.explode(F.from_json("value", JSON_BLOCKS)).alias("ref_chrom", "list")
-    )
-    b = chroms.select("file_ord", "ref_chrom", F.posexplode("list").alias("place", "b"))
+    rows = with_line_order(cut, path, "block_seq")
+    head, body = F.regexp_extract("value", JSON_ITEM, 1), F.regexp_extract("value", JSON_ITEM, 2)
+    before = F.when(body != "", head).otherwise(F.col("value"))
+    named = F.concat(F.lit('["'), F.regexp_extract(before, JSON_CHROM, 1), F.lit('"]'))
+    opened = F.when(before.rlike(JSON_CHROM), F.from_json(named, "array<string>")[0])
+    file = F.shiftright("block_seq", FILE_SHIFT).alias("file_ord")
+    names = rows.select(file, F.col("block_seq").alias("__from"), opened.alias("ref_chrom")).where("ref_chrom is not null")
+    following = Window.partitionBy("file_ord").orderBy("__from")
+    names = names.withColumn("__to", F.lead("__from").over(following))
+    item = F.from_json(F.concat(F.lit("{"), body, F.lit("}")), JSON_BLOCK, {"mode": "FAILFAST"})
+    items = rows.where(body != "").select(file, "block_seq", item.alias("b"))
+    inside = (F.col("block_seq") >= F.col("__from")) & (F.col("__to").isNull() | (F.col("block_seq") < F.col("__to")))
+    b = items.join(names, "file_ord").where(inside)
     empty = F.lit("")
     return b.select(
         F.lit(sample_id).alias("sample_id"),
         F.lit(hap).alias("hap"),
-        (F.shiftleft("file_ord", 32) + F.col("place")).alias("block_seq"),
+        "block_seq",
         "ref_chrom", F.col("b.rs").alias("ref_start"), F.col("b.re").alias("ref_end"),
         F.col("b.ac").alias("asm_chrom"), F.col("b.as").alias("asm_start"),
         F.col("b.ae").alias("asm_end"), F.col("b.st").alias("strand"), F.col("b.mq").alias("mapq"),

@@ -81,6 +81,26 @@ def test_fasta_fai_and_sheet(spark, tmp_path):
     assert rows_of(sheet, "sample_id", "reads_bam", "reads_cram", "extra") == [("A", "", "x.cram", ""), ("B", "y.bam", "", "z")]
 
 
+def test_lookup_json_is_read_item_by_item(spark, tmp_path):
+    """White space, empty lists, escapes, files without items, and more bytes than a split."""
+    item = lambda i, cg="5M": {"rs": i, "re": i + 5, "ac": f'c"{i}\\', "as": i, "ae": i + 5, "st": "+", "mq": 60, "cg": cg}
+    docs = [
+        {}, {"chr0": []}, {"chr1": [item(1), item(2)], "none": [], 'odd "name" [x]: é\\': [item(3)], "end": []},
+        {"a": [item(i, "1M2D" * 50) for i in range(2000)], "b": [item(7)]}, {"chr1": [{k: v for k, v in item(9).items() if k != "cg"}]},
+    ]
+    (tmp_path / "json").mkdir()
+    for i, doc in enumerate(docs):
+        text = json.dumps(doc, indent=2 if i == 2 else None, ensure_ascii=i != 2, separators=(",", ":") if i == 3 else None)
+        (tmp_path / "json" / f"{i}.json").write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        found = paf.read_mapping_json(spark, str(tmp_path / "json"))
+        got = [(r.ref_chrom, r.ref_start, r.asm_chrom, r.cigar) for r in found.orderBy("block_seq").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [(chrom, b["rs"], b["ac"], b.get("cg", "")) for doc in docs for chrom, blocks in doc.items() for b in blocks]
+
+
 def _sam(name, flag, pos, mate="*", mate_pos=0, sa=None):
     tags = [f"SA:Z:{sa}"] if sa else []
     return "\t".join([name, str(flag), "chr1", str(pos), "60", "50M", mate, str(mate_pos), "0", "*", "*", "AS:i:9", *tags])
