@@ -39,7 +39,7 @@ _STORES: dict[tuple[str, str], str] = {}
 def _store(spark, d):
     """All reads as a read store, written once per application and data folder."""
     key = (spark.sparkContext.applicationId, d)
-    if key not in _STORES:
+    if key not in _STORES or not V.is_stored(spark, _STORES[key]):
         _STORES[key] = scratch_folder(spark, "reads")
         read_store.write_reads(V.reads(spark, d), _STORES[key], BIN)
     return _STORES[key]

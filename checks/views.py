@@ -118,13 +118,19 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, "blocks")
 
 
+def is_stored(spark: SparkSession, path: str) -> bool:
+    """Whether a finished Parquet folder is there."""
+    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(file)
+
+
 _LOOKUPS: dict[tuple[str, str], Lookup] = {}
 
 
 def lookup(spark: SparkSession, sf_dir: str) -> Lookup:
-    """The blocks' stored lookup; an application stores it once per data folder."""
+    """The blocks' stored lookup; an application stores it once per data folder, and again if it has been cleared away."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _LOOKUPS:
+    if key not in _LOOKUPS or not is_stored(spark, f"{_LOOKUPS[key].path}/layout"):
         _LOOKUPS[key] = build_lookup(blocks(spark, sf_dir), scratch_folder(spark, "lookup"), bin_width=256, buckets=8)
     return _LOOKUPS[key]
 
