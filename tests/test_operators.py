@@ -191,6 +191,53 @@ def test_kmer_matches(spark):
     assert one.first()[0] == "NaCgT"
 
 
+def _matches_by_hand(name, a, b, k):
+    rc = lambda s: s[::-1].translate(str.maketrans("ACGTacgt", "TGCAtgca"))
+    out = []
+    for i in range(len(a) - k + 1):
+        x = a[i:i + k]
+        if "N" not in x:
+            out += [(name, i, j, 2 if x == rc(x) else 1) for j in range(len(b) - k + 1) if b[j:j + k] == x]
+            out += [(name, i, j, -1) for j in range(len(b) - k + 1) if b[j:j + k] == rc(x) != x]
+    return out
+
+
+def test_kmer_matches_short_and_long(spark, monkeypatch):
+    """Pairs matched in their task and pairs joined by k-mer give the same, for odd letters and long k-mers too."""
+    monkeypatch.setattr(K, "WHOLE", 60)
+    monkeypatch.setattr(K, "BATCH", 7)
+    rng = random.Random(5)
+    word = "".join(rng.choice("ACGTacgtN\u00e9\U0001f9ecxyzw") for _ in range(45)) + "ACGT" * 18
+    pairs = [("short", "AATTGC" * 9, "GCAATT" * 9), ("long", "AATTGC" * 12, "GCAATT" * 9), ("odd", "x" + word[:50], word[:50]),
+             ("oddlong", "x" + word, word), ("none", None, "ACGT"), ("empty", "", "")]
+    df = spark.createDataFrame(pairs, "pair_id string, seq1 string, seq2 string")
+    for k in (1, 4, 23, 40):
+        expect = [_matches_by_hand(n, a or "", b or "", k) for n, a, b in pairs]
+        assert rows_of(K.dotplot_matches(df, k), "pair_id", "i", "j", "match_type") == sorted(sum(expect, []))
+        assert rows_of(K.dotplot_matches(df, k, 9), "pair_id", "i", "j", "match_type") == sorted(sum((e[:9] for e in expect), []))
+        kinds = {r["pair_id"]: (r["forward"], r["reverse"], r["palindrome"]) for r in K.dotplot_summary(df, k).collect()}
+        assert kinds == {p[0]: tuple(sum(x[3] == t for x in e) for t in (1, -1, 2)) for p, e in zip(pairs, expect, strict=True)}
+
+
+def test_kmer_matches_do_not_shuffle_kmers(spark):
+    """What moves are the texts of the pairs: no exchange lies above the matching of short ones."""
+    df = spark.createDataFrame([("p", "ACGT" * 30, "CGTA" * 30)], "pair_id string, seq1 string, seq2 string")
+    plan = K.dotplot_matches(df, 5, 10)._jdf.queryExecution().executedPlan().toString()
+    short = plan[:plan.index("MapInArrow")]
+    assert "Exchange" not in short
+
+
+def test_shingle_extent(spark):
+    """Sums of each piece, and no sort of k-mers below the final grouping."""
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choice("ACGTN" if i else "N") for _ in range(n))) for i, n in enumerate((40, 1700, 513, 3, 512))]
+    df = spark.createDataFrame(rows, "doc_id long, seq string")
+    k = K.shingle(df, 5, "seq", "pos", ("doc_id",)).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("kmer").alias("lo"), F.max("kmer").alias("hi"), F.sum("pos").alias("places"))
+    cols = ("doc_id", "n", "lo", "hi", "places")
+    assert rows_of(K.shingle_extent(df, 5, "seq", ("doc_id",)), *cols) == rows_of(k, *cols)
+
+
 def test_selection_keeps_all_when_few(spark):
     rows = [(0, "a", 5, 10), (1, "a", 5, 30), (2, "b", 1, 20), (3, "a", 9, 25)]
     df = spark.createDataFrame(rows, "var_seq long, chrom string, pos long, size long")
