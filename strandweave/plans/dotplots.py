@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.functions.regions import buffered_window, format_region, one_based, parse_region_greedy
 from strandweave.operators.intervals import best_cluster, cluster_intervals
-from strandweave.operators.kmer_match import dotplot_matches, dotplot_summary, kmer_counts, match_counts, summarise
+from strandweave.operators.kmer_match import dotplot_matches, dotplot_summary
 from strandweave.operators.sequences import CHUNK, slice_sequences
 from strandweave.plans.mapping import translated_intervals
 from strandweave.session import stored
@@ -75,45 +75,16 @@ def dotplot_sides(spans: DataFrame, chunks: DataFrame, chunk_size: int = CHUNK)
     return cut.select("region_id", "side", F.upper(F.coalesce("bases", F.lit(""))).alias("bases"))
 
 
-def _wide(sides: DataFrame, value: Column, missing: Column) -> DataFrame:
-    """``pair_id, region_id, comparison, v1, v2``: ``value`` of both sides of each comparison."""
-    side = lambda s: F.max(F.when(F.col("side") == s, value)).alias(s)
+def dotplot_pairs(sides: DataFrame) -> DataFrame:
+    """``pair_id, region_id, comparison, seq1, seq2`` for the three comparisons."""
+    side = lambda s: F.max(F.when(F.col("side") == s, F.col("bases"))).alias(s)
     wide = sides.groupBy("region_id").agg(side("ref"), side("hap1"), side("hap2"))
-    own = lambda s: F.coalesce(F.col(s), missing)
+    own = lambda s: F.coalesce(F.col(s), F.lit(""))
     each = F.explode(F.array(*[
-        F.struct(F.lit(f"{a}/{b}").alias("comparison"), own(a).alias("v1"), own(b).alias("v2")) for a, b in COMPARISONS
+        F.struct(F.lit(f"{a}/{b}").alias("comparison"), own(a).alias("seq1"), own(b).alias("seq2")) for a, b in COMPARISONS
     ]))
-    return wide.select("region_id", each.alias("p")).select(_pair("p.comparison"), "region_id", "p.comparison", "p.v1", "p.v2")
-
-
-def _pair(comparison: str) -> Column:
-    return F.concat_ws("|", F.col("region_id").cast("string"), comparison).alias("pair_id")
-
-
-def dotplot_pairs(sides: DataFrame) -> DataFrame:
-    """``pair_id, region_id, comparison, seq1, seq2`` for the three comparisons."""
-    return _wide(sides, F.col("bases"), F.lit("")).withColumnsRenamed({"v1": "seq1", "v2": "seq2"})
-
-
-def _side_counts(counts: DataFrame, which: int) -> DataFrame:
-    """``pair_id, kmer, n`` of the first (0) or second (1) side of every comparison."""
-    uses = F.create_map(*[
-        x for s in ("ref", "hap1", "hap2")
-        for x in (F.lit(s), F.array(*[F.lit("/".join(c)) for c in COMPARISONS if c[which] == s]).cast("array<string>"))
-    ])
-    rows = counts.select("region_id", "kmer", "n", F.explode(uses[F.col("side")]).alias("comparison"))
-    return rows.select(_pair("comparison"), "kmer", "n")
-
-
-def side_summary(sides: DataFrame, k: int) -> DataFrame:
-    """Match counts of the three comparisons of every region.
-
-    Each side is cut into k-mers and counted once, however many comparisons use it.
-    """
-    counts = kmer_counts(sides, k, "bases", ("region_id", "side"))
-    found = match_counts(_side_counts(counts, 0), _side_counts(counts, 1))
-    sizes = _wide(sides, F.length("bases"), F.lit(0)).withColumnsRenamed({"v1": "seq1_len", "v2": "seq2_len"})
-    return summarise(sizes.select("pair_id", "seq1_len", "seq2_len"), found, k)
+    pair = F.concat_ws("|", F.col("region_id").cast("string"), "p.comparison").alias("pair_id")
+    return wide.select("region_id", each.alias("p")).select(pair, "region_id", "p.comparison", "p.seq1", "p.seq2")
 
 
 def dotplot(
@@ -127,9 +98,8 @@ def dotplot(
     both start from them.
     """
     sides = stored(dotplot_sides(dotplot_spans(regions, blocks, buffer, **options), chunks, chunk_size), "sides")
-    pairs = dotplot_pairs(sides)
-    summary = side_summary(sides, k) if cap is None else dotplot_summary(pairs, k, cap)
-    return dotplot_matches(pairs.select("pair_id", "seq1", "seq2"), k, cap), summary
+    pairs = dotplot_pairs(sides).select("pair_id", "seq1", "seq2")
+    return dotplot_matches(pairs, k, cap), dotplot_summary(pairs, k, cap)
 
 
 def region_text(spans: DataFrame) -> DataFrame:
