@@ -58,6 +58,13 @@ def with_predecessor(
     Order is ``(ref_start, block_seq)``; the remaining columns only settle rows
     that carry the same number. CIGARs do not take part.
     """
+    return _with_predecessors(blocks, [(None, "prev")], bin_width, split_rows)
+
+
+def _with_predecessors(
+    blocks: DataFrame, levels: Sequence[tuple[int | None, str]], bin_width: int, split_rows: int
+) -> DataFrame:
+    """For each ``(min_mapq, name)`` the predecessor among the blocks of that quality (None: among all)."""
     slim = blocks.select(*ASSEMBLY, "block_seq", *FLANK)
     rank = F.struct(
         (-F.col("ref_end")).alias("far"), "ref_start", "block_seq", "asm_chrom", "asm_start",
@@ -65,8 +72,8 @@ def with_predecessor(
     )
     order = ["ref_start", "block_seq", "ref_end", "asm_chrom", "asm_start", "asm_end", "strand", "mapq"]
     return running(
-        slim, ASSEMBLY, order, rank, "prev", F.min,
-        bin_width=bin_width, tie="block_seq", split_rows=split_rows,
+        slim, ASSEMBLY, order, [rank if m is None else F.when(F.col("mapq") >= m, rank) for m, _ in levels],
+        [name for _, name in levels], F.min, bin_width=bin_width, tie="block_seq", split_rows=split_rows,
     )
 
 
@@ -87,13 +94,11 @@ def sv_gaps(
         found = with_predecessor(blocks.filter(F.col("mapq") >= min_mapq), bin_width, split_rows)
         found = found.withColumn("min_mapq", F.lit(min_mapq))
     else:
-        levels = F.array(*[F.lit(m) for m in sorted(set(min_mapq))])
-        kept = F.filter(levels, lambda m: m <= F.col("mapq"))
-        spread = blocks.withColumn("min_mapq", F.explode(kept)).withColumn(
-            "hap", F.struct("hap", "min_mapq")
-        )
-        found = with_predecessor(spread, bin_width, split_rows)
-        found = found.withColumn("min_mapq", F.col("hap.min_mapq")).withColumn("hap", F.col("hap.hap"))
+        levels = [(m, f"prev_{i}") for i, m in enumerate(sorted(set(min_mapq)))]
+        found = _with_predecessors(blocks.filter(F.col("mapq") >= levels[0][0]), levels, bin_width, split_rows)
+        each = F.array(*[F.struct(F.lit(m).alias("min_mapq"), F.col(name).alias("prev")) for m, name in levels])
+        found = found.select(*ASSEMBLY, "block_seq", *FLANK, F.explode(each).alias("at")).select("*", "at.*")
+        found = found.filter(F.col("min_mapq") <= F.col("mapq"))
     nxt = F.struct(*FLANK)
     gaps = found.filter(F.col("prev").isNotNull() & E.is_gap(F.col("prev"), nxt))
     return gaps.select(

@@ -48,3 +48,19 @@ def expand_cigar(cigar):
 
 def random_cigar(rng: random.Random, n_ops: int) -> str:
     return "".join(f"{rng.randint(1, 9)}{rng.choice('MIDNS=XHP')}" for _ in range(n_ops))
+
+
+def shuffled_bytes(df) -> int:
+    """Bytes written to shuffles while all rows of ``df`` are made."""
+    sc = df.sparkSession.sparkContext
+    store = sc._jsc.sc().statusStore()
+
+    def total():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        none = sc._gateway.new_array(sc._jvm.double, 0)
+        stages = store.stageList(None, False, False, none, None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = total()
+    df.write.format("noop").mode("overwrite").save()
+    return total() - before

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from helpers import blocks_df, expand_cigar, random_cigar, regions_df, rows_of
+from helpers import blocks_df, expand_cigar, random_cigar, regions_df, rows_of, shuffled_bytes
 from pyspark.sql import functions as F
 
 from strandweave.functions import cigar as C
@@ -224,3 +224,31 @@ def test_annotations(spark):
     blocks = [("chr3", 0, 100, "c", 0, 100, "+", 60), ("chr3", 500, 600, "c", 100, 200, "+", 60)]
     got = M.sv_annotations(regions_df(spark, [("chr3", 0, 700)]), blocks_df(spark, blocks))
     assert rows_of(got, "label", "gap_size") == [("hap1: Deletion", 400)]
+
+
+def test_predecessor_moves_blocks_once(spark):
+    """However many thresholds, a block is moved once and without the value it stands for."""
+    rng = random.Random(9)
+    rows = [("chr%d" % (i % 2), i * 30, i * 30 + rng.randint(10, 60), "c%d" % rng.randint(0, 1), i * 30, i * 30 + 20, "+", rng.randint(0, 60))
+            for i in range(20_000)]
+    blocks = blocks_df(spark, rows)
+    one = shuffled_bytes(M.with_predecessor(blocks, 4096))
+    assert one < 100 * len(rows), one
+    many = shuffled_bytes(M.sv_gaps(blocks, [0, 20, 50], 4096))
+    assert many < 1.3 * one, (many, one)
+
+
+def test_predecessor_of_crowded_and_other_bins(spark):
+    """Some bins hold more rows than ``split_rows``, others do not; null keys and places take no part."""
+    rng = random.Random(4)
+    rows = [("chr1", p, p + rng.randint(1, 30), "c", 0, 9, "+", rng.choice([0, 30, 60]))
+            for p in [*(rng.randint(0, 3) for _ in range(60)), *(rng.randint(64, 900) for _ in range(60))]]
+    blocks = blocks_df(spark, rows).unionByName(blocks_df(spark, [(None, 1, 2, "c", 0, 9, "+", 60)]))
+    prev = {r["block_seq"]: r["p"] for r in M.with_predecessor(blocks, 64, 10).select("block_seq", F.col("prev.block_seq").alias("p")).collect()}
+    line = sorted((r[1], i) for i, r in enumerate(rows))
+    best, expect = None, {}
+    for start, i in line:
+        expect[i] = best
+        if best is None or rows[i][2] > rows[best][2]:
+            best = i
+    assert prev == expect
