@@ -27,10 +27,15 @@ BIN = 256
 BLOCK = "ref_chrom, ref_start, ref_end, asm_chrom, asm_start, asm_end, strand, mapq"
 
 
-def _paf(spark, d, label, only=None):
-    """Blocks as PAF text with a comment, a short line, repeated tags and a colon in a tag."""
+def _paf(spark, d, label, only=None, in_order=False):
+    """Blocks as PAF text with a comment, a short line, repeated tags and a colon in a tag.
+
+    A file has no block numbers but its lines. Where these decide, as between
+    blocks of one start, lines are written ``in_order`` of the table's numbers.
+    """
     b = V.blocks(spark, d)
     b = b if only is None else b.filter(F.col("hap") == only)
+    b = b.orderBy(*S.ORDER.split(", ")) if in_order else b
     text = lambda *cs: [F.col(c).cast("string") for c in cs]
     row = F.concat_ws(
         "\t", "asm_chrom", F.lit("999999999"), *text("asm_start", "asm_end"), "strand", "ref_chrom", F.lit("999999999"),
@@ -127,7 +132,7 @@ def q1_tables(spark, d):
     parts = []
     for hap in ("hap1", "hap2"):
         out = scratch_folder(spark, "q1")
-        M.build_mapping(spark, [_paf(spark, d, "q1", hap)], out, "s0", hap, bin_width=256, buckets=4)
+        M.build_mapping(spark, [_paf(spark, d, "q1", hap, in_order=True)], out, "s0", hap, bin_width=256, buckets=4)
         found = open_lookup(spark, f"{out}/lookup")
         levels = F.explode(F.array(*[F.lit(m) for m in (0, 15, 40, 70)]))
         gaps = found.gaps.withColumn("level", levels).where("level <= upto and (over is null or level > over)")

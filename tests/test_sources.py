@@ -140,3 +140,19 @@ def test_hits_file_has_its_header(spark, tmp_path):
     assert rows_of(back, "event_type", "ref_start", "ref_end") == [
         ("alignment", "300", "350"), ("alignment", "50", "100"), ("deletion", "100", "300"),
     ]
+
+
+def test_lookup_tables_of_blocks_with_one_start(spark, tmp_path):
+    """Which of two blocks of one start comes first is told by their numbers, not by where the table has them."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    rows = [(1, 111, 25, 2, 1.0, "N", "F"), (1, 0, 25, 1, 1.0, "N", "F"), (0, 0, 25, 1, 1.0, "N", "F"), (0, 0, 25, 3, 1.0, "N", "O")]
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = entry.queries()["q1_lookup_tables"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    rel = con.sql(entry.oracle_sql()["q1_lookup_tables"])
+    assert sorted(tuple(r) for r in df.select(*rel.columns).collect()) == sorted(rel.fetchall())
