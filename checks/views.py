@@ -131,7 +131,8 @@ def lookup(spark: SparkSession, sf_dir: str) -> Lookup:
     """The blocks' stored lookup; an application stores it once per data folder, and again if it has been cleared away."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _LOOKUPS or not is_stored(spark, f"{_LOOKUPS[key].path}/layout"):
-        _LOOKUPS[key] = build_lookup(blocks(spark, sf_dir), scratch_folder(spark, "lookup"), bin_width=256, buckets=8)
+        buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))  # fewer would make few, large tasks
+        _LOOKUPS[key] = build_lookup(blocks(spark, sf_dir), scratch_folder(spark, "lookup"), bin_width=256, buckets=buckets)
     return _LOOKUPS[key]
 
 

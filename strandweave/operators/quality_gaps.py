@@ -15,6 +15,7 @@ from bisect import bisect_left
 from collections.abc import Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +53,43 @@ class Frontier:
                 return
 
 
+class _Rows:
+    """Batches in order, each behind the earlier rows that are still in the front; the front holds row numbers.
+
+    Only the numbers that decide are made Python objects; rows are taken by number.
+    """
+
+    def __init__(self, batches, names: Sequence[str], same: Sequence[str]):
+        self.batches, self.names, self.same = batches, list(names), list(same)
+        self.front, self.here, self.table = Frontier(), None, None
+
+    def __iter__(self):
+        """``(first row number, whether each row opens a new run or key)`` of each batch; ``table`` holds the rows."""
+        for batch in self.batches:
+            if not batch.num_rows:
+                continue
+            fresh = None
+            for c in self.same:
+                col = batch.column(c)
+                other = pc.not_equal(col.slice(1), col.slice(0, len(col) - 1))
+                fresh = other if fresh is None else pc.or_(fresh, other)
+            first = tuple(batch.column(c)[0].as_py() for c in self.same)
+            given = pa.Table.from_batches([batch]).select(self.names)
+            kept = [row for _, _, row in self.front.items]
+            base = len(kept)
+            self.table = pa.concat_tables([self.table.take(pa.array(kept, pa.int64())), given]).combine_chunks() if base else given
+            self.front.items = [(q, reach, i) for i, (q, reach, _) in enumerate(self.front.items)]
+            yield base, [first != self.here, *fresh.to_pylist()]
+            self.here = tuple(batch.column(c)[len(batch) - 1].as_py() for c in self.same)
+
+    def numbers(self, name: str) -> list:
+        return self.table.column(name).to_pylist()
+
+    def take(self, rows: Sequence[int], columns: Sequence[str]) -> list[pa.Array]:
+        found = self.table.select(columns).take(pa.array(rows, pa.int64())).combine_chunks()
+        return [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in found.columns]
+
+
 def predecessors(blocks: DataFrame, keys: Sequence[str], flank: Sequence[str], run_rows: int = RUN_ROWS) -> DataFrame:
     """``keys, block_seq, over, upto, prev, nxt``: each block's touching or clear predecessor at thresholds ``over < t <= upto``.
 
@@ -73,32 +111,25 @@ def predecessors(blocks: DataFrame, keys: Sequence[str], flank: Sequence[str], r
     placed = solid.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = stored(placed.withColumn("run", F.shiftright(F.monotonically_increasing_id(), bits)), "runs")
 
-    at = {c: i for i, c in enumerate(["run", *columns])}
-    key_at, flank_at = [at[c] for c in keys], [at[c] for c in flank]
-    reach, quality = at["ref_end"], at["mapq"]
     kind = lambda names, frame: ", ".join(f"`{c}` {frame.schema[c].dataType.simpleString()}" for c in names)
-
-    def rows_of(batch: pa.RecordBatch):
-        return zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True)
+    same, every = ["run", *keys], ["run", *columns]
 
     def reduce_runs(batches):
         """What is left of each run (and of each part of it that a task reads)."""
-        here, front = None, Frontier()
+        rows = _Rows(batches, every, same)
 
         def left():
-            rows = [row for _, _, row in front.items]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-
-        types = names = None
-        for batch in batches:
-            types, names = batch.schema.types, batch.schema.names
-            for row in rows_of(batch):
-                now = (row[0], *(row[i] for i in key_at))
-                if now != here:
+            kept = [row for _, _, row in rows.front.items]
+            if kept:
+                yield pa.RecordBatch.from_arrays(rows.take(kept, every), every)
+
+        for base, fresh in rows:
+            quality, reach = rows.numbers("mapq"), rows.numbers("ref_end")
+            for i, new in enumerate(fresh, base):
+                if new:
                     yield from left()
-                    here, front = now, Frontier()
-                front.add(row[quality], row[reach], row)
+                    rows.front = Frontier()
+                rows.front.add(quality[i], reach[i], i)
         yield from left()
 
     found = placed.select("run", *columns).mapInArrow(reduce_runs, kind(["run", *columns], placed))
@@ -117,27 +148,27 @@ def predecessors(blocks: DataFrame, keys: Sequence[str], flank: Sequence[str], r
         f"{kind([*keys, 'block_seq'], placed)}, over int, upto int, "
         + ", ".join(f"{side}_{c} {placed.schema[c].dataType.simpleString()}" for side in "pn" for c in flank)
     )
-    kind_at = len(columns) + 1
 
     def pass_runs(batches):
-        here, front, schema = None, Frontier(), None
-        for batch in batches:
-            if schema is None:
-                field = {c: batch.schema.field(c).type for c in columns}
-                types = [*(field[c] for c in [*keys, "block_seq"]), pa.int32(), pa.int32(), *(field[c] for _ in "pn" for c in flank)]
-                schema = pa.schema(list(zip(out, types, strict=True)))
-            made = []
-            for row in rows_of(batch):
-                key = tuple(row[i] for i in key_at)
-                if (row[0], key) != here:
-                    here, front = (row[0], key), Frontier()
-                if row[kind_at]:
-                    for prev, over, upto in front.before(row[quality]):
-                        if prev[reach] <= row[at["ref_start"]]:
-                            made.append((*key, row[at["block_seq"]], over, upto, *(prev[i] for i in flank_at), *(row[i] for i in flank_at)))
-                front.add(row[quality], row[reach], row)
-            if made:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), schema.types, strict=True)], schema=schema)
+        rows = _Rows(batches, [*columns, "_kind"], same)
+        for base, fresh in rows:
+            quality, reach, start, block = (rows.numbers(c) for c in ("mapq", "ref_end", "ref_start", "_kind"))
+            prevs, nexts, overs, uptos = [], [], [], []
+            for i, new in enumerate(fresh, base):
+                if new:
+                    rows.front = Frontier()
+                if block[i]:
+                    for prev, over, upto in rows.front.before(quality[i]):
+                        if reach[prev] <= start[i]:
+                            prevs.append(prev)
+                            nexts.append(i)
+                            overs.append(over)
+                            uptos.append(upto)
+                rows.front.add(quality[i], reach[i], i)
+            if prevs:
+                level = [pa.array(overs, pa.int32()), pa.array(uptos, pa.int32())]
+                own, before, after = rows.take(nexts, [*keys, "block_seq"]), rows.take(prevs, flank), rows.take(nexts, flank)
+                yield pa.RecordBatch.from_arrays([*own, *level, *before, *after], out)
 
     pairs = passed.select("run", *columns, "_kind").mapInArrow(pass_runs, out_kind)
     side = lambda s: F.struct(*[F.col(f"{s}_{c}").alias(c) for c in flank])

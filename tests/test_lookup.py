@@ -160,3 +160,29 @@ def test_islands_over_many_bins(spark):
 def test_islands_plan_their_input_once(spark):
     plan = I.merge_intervals(blocks_df(spark, many_blocks(n=20)), ["hap"], "asm_start", "asm_end")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") <= 3 and plan.count("Scan ExistingRDD") == 1
+
+
+def test_gaps_do_not_hang_on_batches(spark):
+    """Rows that come in many small batches give the gaps of one batch: the front is carried between them."""
+    blocks = two_samples(spark)
+    cols = ["sample_id", "hap", "ref_chrom", "over", "upto", "block_seq", "ref_start", "ref_end", "event_type"]
+    whole = rows_of(M.quality_gaps(blocks, 64), *cols)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        assert rows_of(M.quality_gaps(blocks, 64), *cols) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_lookup_has_as_many_buckets_as_shuffles(spark):
+    """Fewer buckets than shuffle partitions would leave few, large tasks at size."""
+    from checks import views
+
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 12)
+    views._LOOKUPS.clear()
+    try:
+        assert views.lookup(spark, "/root/testdata/sf0.001").buckets == 12
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        views._LOOKUPS.clear()
