@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import save
+from strandweave.llm.common import save, small_batches
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3, 4)
@@ -68,7 +68,7 @@ def fit(labelled: DataFrame, max_rows: int = 20_000, smoothing: float = 0.5, buc
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in small_batches(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 at = gram_buckets(text, buckets=buckets)
                 if lang not in sums:
@@ -106,7 +106,7 @@ def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, keep: tuple[s
 
     def run(batches):
         names, table = shared.value
-        for batch in batches:
+        for batch in small_batches(batches):
             found, scores = [], []
             texts = pc.struct_field(batch.column(keep.index(inside)), "text") if inside else batch.column(len(keep))
             for text in texts.to_pylist():

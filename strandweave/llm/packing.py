@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandweave.llm import tokens
-from strandweave.llm.common import save
+from strandweave.llm.common import save, small_batches
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLAN = "length long, first_rank long, end_rank long, first_sequence long, copies long, at long"
@@ -37,7 +37,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str | None = None, seq_len: int = 204
 
     def run(batches):
         enc = tokens.encoder(path)
-        for batch in batches:
+        for batch in small_batches(batches):
             doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
             for lo, hi in tokens.slices(texts):
                 ids, bounds = enc.encode(texts[lo:hi], end_id)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import save
+from strandweave.llm.common import save, small_batches
 from strandweave.llm.graph import components
 
 RADIUS = 2
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), words: in
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             found = [fingerprint(t, words) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(np.array(found, np.uint64).view(np.int64))], [*batch.schema.names[:-1], "fp"])

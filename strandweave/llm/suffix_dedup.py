@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import save
+from strandweave.llm.common import save, small_batches
 from strandweave.llm.suffix_sort import repeated_windows
 from strandweave.session import scratch_folder
 
@@ -117,7 +117,7 @@ def cut_segments(texts: DataFrame, width: int, gram: int) -> DataFrame:
     """Segments of all texts: ``digest, copies, anchor, content, lo, n, at``; hashes instead of bytes."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             digests, copies, raw = batch.column(0), batch.column(1), batch.column(2).to_pylist()
             first = 0
             while first < len(raw):  # texts of about a chunk together
@@ -152,7 +152,7 @@ def _cut_bytes(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     rows = texts.select("digest", F.col("text").cast("binary").alias("text")).join(per_text, "digest")
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             out = [[] for _ in range(7)]
             for digest, text, cuts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for c in cuts:
@@ -212,7 +212,7 @@ def _counted_windows(cut: DataFrame, width: int) -> DataFrame:
     """Repeated windows ``digest, a, b`` of the segments of crowded anchors: counted one by one by digest."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             for digest, lo, copies, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 n = len(data) - width + 1
                 keys = [hashlib.md5(data[i : i + width]).digest() for i in range(n)]
@@ -259,7 +259,7 @@ def strip(texts: DataFrame, ranges: DataFrame, width: int = WIDTH) -> DataFrame:
     rows = texts.select("digest", "copies", F.col("text").cast("binary").alias("text")).join(per_text, "digest", "left")
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             out = [[] for _ in range(6)]
             columns = (batch.column(i) for i in range(4))
             for digest, copies, text, spans in zip(*(c.to_pylist() for c in columns), strict=True):

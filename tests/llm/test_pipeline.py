@@ -3,11 +3,13 @@
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline  # noqa: E402
+from strandweave.llm.common import small_batches  # noqa: E402
 from tests.llm import odd  # noqa: E402
 from tests.llm.test_mixing import brute as brute_mix  # noqa: E402
 from tests.llm.test_simhash import brute_fingerprint, brute_groups  # noqa: E402
@@ -76,3 +78,10 @@ def test_without_labels_every_document_with_a_letter_stays(spark, tmp_path):
     docs = odd.docs(spark, rows)
     got = Counter((r.doc_id, r.text) for r in STAGES["language_id"](spark, docs, str(tmp_path)).collect())
     assert got == Counter((d, t) for d, t, *_ in rows if any(c.isalpha() for c in t or "")) and len(got) > 50
+
+
+def test_small_batches_bound_what_is_held_at_once():
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(5000)), "text": ["word " * (i % 400) for i in range(5000)]})
+    parts = list(small_batches(iter([batch, batch.slice(0, 0)]), 1 << 16))
+    assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+    assert max(p.nbytes for p in parts) < 4 << 16 and len(list(small_batches(iter([batch]), 1))) == 5000
