@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.functions import sam
 
+#: Bins that a task fills at a time.
+_CELLS = 1 << 18
+
 
 def binned_coverage(
     views: DataFrame, overlaps: DataFrame, num_bins: int, key: Sequence[str] = ("region_id",)
@@ -19,7 +25,8 @@ def binned_coverage(
     with the read's ``start, end, hp``; a key is not null. Each read adds one at
     its first bin and takes one away after its last. Only these edges are
     shuffled, summed map-side; a view gets the list of its steps, at most one
-    per bin, and is filled up to ``num_bins`` bins where the list arrives. A
+    per bin, and is filled up to ``num_bins`` bins where the list arrives; only
+    lists are grouped, and a bin is a row no earlier than in the result. A
     running sum gives the depth. Every bin appears, empty ones too; the last
     bins of a short view may end before they start.
     """
@@ -57,20 +64,32 @@ def binned_coverage(
     )
     steps = edges.groupBy(*view, "bin").agg(F.sum("d").alias("d"), F.sum("d1").alias("d1"), F.sum("d2").alias("d2"))
     steps = steps.groupBy(*view).agg(F.collect_list(F.struct("bin", "d", "d1", "d2")).alias("steps"))
-    blank = F.transform(
-        F.sequence(F.lit(0), F.lit(num_bins - 1)),
-        lambda i: F.struct(i.alias("bin"), zero.alias("d"), zero.alias("d1"), zero.alias("d2")),
-    )
-    filled = shown.join(steps, view, "left").select(*view, F.explode(F.concat(F.coalesce("steps", F.array().cast(steps.schema["steps"].dataType)), blank)).alias("s"))
-    delta = filled.groupBy(*view, F.col("s.bin").alias("bin")).agg(F.sum("s.d").alias("d"), F.sum("s.d1").alias("d1"), F.sum("s.d2").alias("d2"))
-    upto = Window.partitionBy(*view).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    start = vs + F.col("bin") * size
-    return delta.select(
-        *key, "bin", start.alias("bin_start"), F.least(start + size, ve).alias("bin_end"),
-        F.sum("d").over(upto).alias("depth"),
-        F.sum("d1").over(upto).alias("hap1_depth"),
-        F.sum("d2").over(upto).alias("hap2_depth"),
-    )
+    lists = shown.join(steps, view, "left").select(*key, "view_start", "view_end", size.alias("size"), "steps")
+    kinds = ", ".join(f"`{c}` {lists.schema[c].dataType.simpleString()}" for c in key)
+    names = [*key, "bin", "bin_start", "bin_end", "depth", "hap1_depth", "hap2_depth"]
+
+    def fill(batches):
+        """Every bin of some views at a time, as many as have some hundred thousand bins."""
+        rows = max(1, _CELLS // num_bins)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, rows):
+                part = batch.slice(lo, rows)
+                n, found = part.num_rows, part.column("steps")
+                at = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False))
+                step = found.flatten()
+                depth = np.zeros((3, n, num_bins), np.int64)
+                place = step.field("bin").to_numpy(zero_copy_only=False)
+                for i, d in enumerate(("d", "d1", "d2")):
+                    depth[i, at, place] = step.field(d).to_numpy(zero_copy_only=False)
+                depth = depth.cumsum(axis=2).reshape(3, -1)
+                vs, ve, width = (part.column(len(key) + i).to_numpy()[:, None] for i in range(3))
+                start = vs + np.arange(num_bins) * width
+                own = pa.array(np.repeat(np.arange(n), num_bins))
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(i).take(own) for i in range(len(key))), pa.array(np.tile(np.arange(num_bins, dtype=np.int32), n)),
+                     pa.array(start.ravel()), pa.array(np.minimum(start + width, ve).ravel()), *map(pa.array, depth)], names)
+
+    return lists.mapInArrow(fill, f"{kinds}, bin int, bin_start long, bin_end long, depth long, hap1_depth long, hap2_depth long")
 
 
 def read_stats(reads: DataFrame, key: Sequence[str] = ("region_id",)) -> DataFrame:

@@ -246,3 +246,25 @@ def test_selection_keeps_all_when_few(spark):
     assert pick(3) == [1, 3, 2]
     assert pick(1) == [1]
     assert pick(2) == [1, 2]
+
+
+def test_coverage_fills_views_without_grouping_bins(spark):
+    """Bins become rows in the result only; views without reads and short views have all bins."""
+    rng = random.Random(8)
+    views = [(i, s, s + rng.randint(1, 90)) for i, s in enumerate(rng.randint(1, 400) for _ in range(40))]
+    reads = [(*rng.choice(views[:30]), s, s + rng.randint(0, 60), rng.choice([None, 0, 1, 2])) for s in (rng.randint(1, 480) for _ in range(200))]
+    kind = "region_id long, view_start long, view_end long"
+    got = cov.binned_coverage(spark.createDataFrame(views, kind), spark.createDataFrame(reads, kind + ", start long, end long, hp int"), 7)
+    expect = []
+    for v, vs, ve in views:
+        size = max(1, -(-(ve - vs) // 7))
+        depth = [[0] * 7 for _ in range(3)]
+        for r, _, _, s, e, hp in reads:
+            if r == v and e >= vs and s <= ve:
+                for b in range((max(s, vs) - vs) // size, min(max(min(e, ve) - vs - 1, 0) // size, 6) + 1):
+                    depth[0][b] += 1
+                    if hp in (1, 2):
+                        depth[hp][b] += 1
+        expect += [(v, b, vs + b * size, min(vs + (b + 1) * size, ve), *(d[b] for d in depth)) for b in range(7)]
+    assert rows_of(got, "region_id", "bin", "bin_start", "bin_end", "depth", "hap1_depth", "hap2_depth") == expect
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
