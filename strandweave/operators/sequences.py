@@ -55,7 +55,8 @@ def slice_parts(
     """``key, part_no, bases``: the slices of ``slice_sequences`` in pieces of ``part`` letters, counted from each slice's start.
 
     No row holds more than ``part`` letters, however long a slice is; a piece is
-    put together from the chunks that it touches. Spans without letters, past
+    put together from the chunks that it touches, and only pieces that lie in
+    more than one are moved for that. Spans without letters, past
     the end or of unknown names, have no rows.
     """
     key = list(key)
@@ -65,14 +66,19 @@ def slice_parts(
     touched = touched.withColumn("chunk", F.explode(F.sequence(step(F.col("lo") - 1, size), step(F.col("hi") - 1, size))))
     before = F.col("chunk").cast("bigint") * size
     found = touched.join(chunks, ["genome", "name", "chunk"]).select(
-        *key, "lo", "bases", before.alias("before"), F.greatest(F.col("lo"), before + 1).alias("a"), F.least(F.col("hi"), before + F.length("bases")).alias("b")
+        *key, "lo", "hi", "bases", before.alias("before"), F.greatest(F.col("lo"), before + 1).alias("a"), F.least(F.col("hi"), before + F.length("bases")).alias("b")
     ).filter("b >= a")
     cut = found.withColumn("part_no", F.explode(F.sequence(step(F.col("a") - F.col("lo"), part), step(F.col("b") - F.col("lo"), part))))
     first = F.greatest("a", F.col("lo") + F.col("part_no") * part)
     last = F.least("b", F.col("lo") + (F.col("part_no") + 1) * part - 1)
-    pieces = cut.select(*key, "part_no", first.alias("a"), F.substring("bases", (first - F.col("before")).cast("int"), (last - first + 1).cast("int")).alias("bases"))
+    bases = F.substring("bases", (first - F.col("before")).cast("int"), (last - first + 1).cast("int"))
+    # One generated row keeps the filters below from being pushed under the join, so that both read the same shuffled rows.
+    whole = (last - first + 1 == part) | (last == F.col("hi")) & (first == F.col("lo") + F.col("part_no") * part)
+    pieces = cut.select(*key, "part_no", F.explode(F.array(F.struct(first.alias("a"), bases.alias("bases"), whole.alias("whole")))).alias("p"))
+    pieces = pieces.select(*key, "part_no", "p.*")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("a", "bases"))), lambda x: x["bases"]), "")
-    return pieces.groupBy(*key, "part_no").agg(joined.alias("bases"))
+    split = pieces.where(~F.col("whole")).groupBy(*key, "part_no").agg(joined.alias("bases"))
+    return pieces.where("whole").select(*key, "part_no", "bases").unionByName(split)
 
 
 def resolve_names(regions: DataFrame, contigs: DataFrame) -> DataFrame:

@@ -5,10 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from strandweave.operators.sequences import chunk_sequences, slice_parts
 from strandweave.operators.variants import select_variants
 from strandweave.plans import subset as P
 from strandweave.sources import sequences, writers
-from tests.helpers import blocks_df, rows_of
+from tests.helpers import blocks_df, rows_of, shuffled_bytes
 
 SAM = "name\t{flag}\tchr1\t{pos}\t60\t5M\t{mate}\t7\t0\t*\t*\tXX:Z:a\tSA:Z:chr1,{sa},+,5M,1,0;"
 
@@ -69,3 +70,20 @@ def test_long_records_are_written_in_parts(spark, tmp_path, width, part):
     assert max(len(r.value) for r in spark.read.text(str(tmp_path / "f")).where("not startswith(value, '>')").collect()) == width
     got = rows_of(sequences.read_fasta(spark, str(tmp_path / "f")), "name", "seq")
     assert got == sorted((f"{n}:{start}-2000", s[start - 1 :]) for n, s in seqs.items() for start in (1, 27) if s[start - 1 :])
+
+
+def test_only_parts_over_chunk_ends_are_moved(spark):
+    """Parts that lie in one chunk leave where they are cut; the rest is put together."""
+    rng = random.Random(2)
+    seqs = {f"c{i}": "".join(rng.choices("ACGT", k=rng.randint(0, 4000))) for i in range(60)}
+    chunks = chunk_sequences(spark.createDataFrame([("g", n, s) for n, s in seqs.items()], "genome string, name string, seq string"), 700)
+    asked = [(i, "g", n, rng.randint(1, 90), rng.randint(300, 5000)) for i, n in enumerate(seqs)]
+    spans = spark.createDataFrame(asked, "region_id long, genome string, name string, start long, end long")
+    got = slice_parts(spans, F.broadcast(chunks), size=700, part=120)
+    expect = []
+    for i, _, n, start, end in asked:
+        letters = seqs[n][start - 1 : end]
+        expect += [(i, p, letters[p * 120 : p * 120 + 120]) for p in range(-(-len(letters) // 120))]
+    assert rows_of(got, "region_id", "part_no", "bases") == expect
+    moved = shuffled_bytes(got)
+    assert moved < 0.45 * sum(len(b) for _, _, b in expect), moved / sum(len(b) for _, _, b in expect)
