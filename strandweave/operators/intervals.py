@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from strandweave.operators.scan import DEFAULT_BIN
 
 # Fixed value: assembly pieces farther apart than this are different clusters.
 CLUSTER_GAP = 50_000
+#: Partitions of islands for each shuffle partition of the session.
+SPREAD = 4
 
 
 def islands(
@@ -27,11 +30,11 @@ def islands(
     Returns ``keys, start, end, covered, pieces``: the envelope, the bases
     covered by the union, and the number of disjoint pieces inside. Intervals
     are cut where bins end, so a bin makes its islands on its own; copies are
-    bounded by ``rows + total length / bin_width``. Equal starts are reduced to
-    the longest first, which bounds a bin by its width whatever the number of
-    copies. Only islands within ``max_gap`` of a bin's end can go on in another
-    bin. There are at most two of these in a bin, and these alone meet per key.
-    The rows pass once, through three shuffles.
+    bounded by ``rows + total length / bin_width``. Equal starts of a batch are
+    reduced to the longest before rows are moved. Only islands within
+    ``max_gap`` of a bin's end can go on in another bin. There are at most two of these in a bin, and these alone meet per key.
+    The rows pass once, through two shuffles of ``SPREAD`` times the usual
+    number of partitions, as a task sorts and groups what it holds.
     """
     keys = list(keys)
     here = [*keys, "__bin"]
@@ -40,9 +43,17 @@ def islands(
     last = F.greatest(first, position_bin(F.col("__e") - 1, bin_width))
     cut = solid.withColumn("__first", first).withColumn("__bin", F.explode(F.sequence(first, last)))
     low, high = F.col("__bin") * bin_width, (F.col("__bin") + 1) * bin_width
-    longest = cut.groupBy(*here, F.when(F.col("__bin") == F.col("__first"), F.col("__s")).otherwise(low).alias("start")).agg(
-        F.max(F.least("__e", high)).alias("end")
-    )
+    cut = cut.select(*here, F.when(F.col("__bin") == F.col("__first"), F.col("__s")).otherwise(low).alias("start"), F.least("__e", high).alias("end"))
+    spread = SPREAD * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def reduce_starts(batches):
+        """Of rows that are alike but for ``end`` only the one with the largest; a batch at a time."""
+        for batch in batches:
+            *same, _ = names = batch.schema.names
+            found = pa.Table.from_batches([batch]).group_by(same).aggregate([("end", "max")]).rename_columns(names)
+            yield from found.combine_chunks().to_batches()
+
+    longest = cut.mapInArrow(reduce_starts, cut.schema).repartition(spread, *here)
 
     def reach_before(*parts: str):
         along = Window.partitionBy(*parts).orderBy("start")
@@ -62,7 +73,8 @@ def islands(
     before, upto = reach_before(*side)
     touches = F.count_if(reach.isNotNull() & (F.col("start") <= reach))
     return (
-        parts.withColumn("reach", before)
+        parts.repartition(spread, *side)
+        .withColumn("reach", before)
         .withColumn("island", F.max(opened).over(upto))
         .groupBy(*side, "island")
         .agg(F.max("end").alias("end"), F.sum("covered").alias("covered"), (F.sum("pieces") - touches).alias("pieces"))

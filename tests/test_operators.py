@@ -268,3 +268,12 @@ def test_coverage_fills_views_without_grouping_bins(spark):
         expect += [(v, b, vs + b * size, min(vs + (b + 1) * size, ve), *(d[b] for d in depth)) for b in range(7)]
     assert rows_of(got, "region_id", "bin", "bin_start", "bin_end", "depth", "hap1_depth", "hap2_depth") == expect
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_islands_are_spread_over_more_partitions_than_usual(spark):
+    """A task sorts and groups what it holds; copies of one interval are reduced before they move."""
+    df = spark.range(4000, numPartitions=2).select(F.lit(None).cast("string").alias("k"), (F.col("id") % 40 * 10).alias("start"), (F.col("id") % 40 * 10 + 5 + F.floor(F.col("id") / 3999)).alias("end"))
+    got = I.islands(df, ["k"], bin_width=64)
+    # 39 starts of 10 apart and the last copy, one longer; bins cut nothing that does not go on.
+    assert rows_of(got, "start", "end") == [(i * 10, i * 10 + 5 + (i == 39)) for i in range(40)]
+    assert got.rdd.getNumPartitions() == I.SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
