@@ -12,7 +12,7 @@ from strandweave.functions import cigar as C
 from strandweave.functions import events as E
 from strandweave.functions import regions as R
 from strandweave.operators import intervals as I
-from strandweave.operators.cigar_index import explode_cigars, lookup_offsets
+from strandweave.operators.cigar_index import explode_cigars, index_cigars, lookup_offsets
 from strandweave.plans import mapping as M
 from strandweave.sources import writers
 
@@ -165,7 +165,7 @@ def j6(spark, d):
     blocks = V.blocks(spark, d)
     slim = blocks.drop("cigar")
     pairs = M.clipped_blocks(V.windows(spark, d), slim, BIN)
-    found = lookup_offsets(pairs, explode_cigars(blocks, ["block_id"]), ["block_id"], bin_width=64)
+    found = lookup_offsets(pairs, index_cigars(blocks, ["block_id"], bin_width=64), ["block_id"], bin_width=64)
     at = C.orient(F.col("q_lo"), F.col("q_hi"), F.col("strand"), F.col("asm_start"), F.col("asm_end"))
     return found.withColumn("q", at).select(
         "region_id", "block_id", F.col("q.start").alias("q_start"), F.col("q.end").alias("q_end")

@@ -1,6 +1,6 @@
 """CIGAR strings as Column expressions. No row leaves its task here.
 
-``block_offsets``, ``cigar_index`` and ``features`` work on a batch of CIGARs at
+``block_offsets``, ``cigar_cells``, ``cigar_index`` and ``features`` work on a batch of CIGARs at
 once; they come from ``cigar_arrays``.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from strandweave.functions.cigar_arrays import ASM_OPS, REF_OPS, block_offsets, cigar_index, features  # noqa: F401
+from strandweave.functions.cigar_arrays import ASM_OPS, REF_OPS, block_offsets, cigar_cells, cigar_index, features  # noqa: F401
 
 # Fixed value: one CIGAR token.
 CIGAR_TOKEN = r"(\d+[MIDNSHPX=])"

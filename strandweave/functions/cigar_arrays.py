@@ -36,7 +36,8 @@ class Ops:
     """All operations of a batch in a row: ``first[i]`` to ``first[i + 1] - 1`` are those of row ``i``.
 
     ``ref`` and ``asm`` count the bases before each operation from the start of
-    the batch, with one more entry for the end.
+    the batch, with one more entry for the end. In ``text``, the bytes of the
+    batch, an operation stands at ``begins`` and ends before ``ends``.
     """
 
     first: np.ndarray
@@ -44,6 +45,9 @@ class Ops:
     size: np.ndarray
     ref: np.ndarray
     asm: np.ndarray
+    text: np.ndarray
+    begins: np.ndarray
+    ends: np.ndarray
 
     def rows(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
@@ -72,7 +76,7 @@ def parse(cigars: pa.Array) -> Ops:
         size[more] = size[more] * 10 + data[begins[more] + j] - 48
     op = data[ends]
     total = lambda on: np.concatenate([[0], np.cumsum(np.where(on[op], size, 0))]).astype(np.int64)
-    return Ops(np.searchsorted(ends, at).astype(np.int64), op, size, total(_ON_REF), total(_ON_ASM))
+    return Ops(np.searchsorted(ends, at).astype(np.int64), op, size, total(_ON_REF), total(_ON_ASM), data, begins, ends + 1)
 
 
 def project(ops: Ops, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,6 +161,61 @@ def cigar_index(cigar: Column, length: Column) -> Column:
     return _column(_index, _INDEX, cigar, length)
 
 
+_CELLS = "array<struct<first_bin:bigint,last_bin:bigint,at:bigint,asm:bigint,piece:string>>"
+
+
+def _cells(cigar: pa.Array, length: pa.Array, width: pa.Array) -> pa.Array:
+    ops, n = parse(cigar), _longs(length)
+    w = int(_longs(width)[0]) if len(width) else 1
+    first, end = ops.first[:-1], ops.first[1:]
+    base = ops.ref[first]
+    last = np.maximum(ops.ref[end] - base - 1, 0) // w
+    upto = np.maximum(last, np.maximum(n - 1, 0) // w)
+    # A cell opens at bin 0, where an operation begins or ends, and behind that; bins between are one operation's.
+    row = ops.rows()
+    which = np.flatnonzero(upto[row] > 0)
+    row = row[which]
+    low = (ops.ref[which] - base[row]) // w
+    high = np.maximum(ops.ref[which + 1] - base[row] - 1, ops.ref[which] - base[row]) // w
+    some = np.flatnonzero(end > first)
+    row = np.concatenate([some, row, row, row, row])
+    opens = np.concatenate([np.zeros(len(some), np.int64), low, low + 1, high, high + 1])
+    row, opens = row[opens <= upto[row]], opens[opens <= upto[row]]
+    order = np.lexsort((opens, row))
+    row, opens = row[order], opens[order]
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (opens[1:] != opens[:-1])
+    row, opens = row[fresh], opens[fresh]
+    bounds = np.searchsorted(row, np.arange(len(n) + 1))
+    closes = upto[row]
+    inner = np.flatnonzero(row[1:] == row[:-1]) if len(row) else row
+    closes[inner] = opens[inner + 1] - 1
+    reach = ops.ref[1:]
+    begin = np.clip(np.searchsorted(reach, base[row] + opens * w, "right"), first[row], end[row] - 1)
+    stop = np.minimum(np.searchsorted(reach, base[row] + (closes + 1) * w, "left") + 1, end[row])
+    stop = np.where(closes >= last[row], end[row], np.maximum(stop, begin + 1))
+    start, size = ops.begins[begin], ops.ends[stop - 1] - ops.begins[begin]
+    cuts = np.concatenate([[0], np.cumsum(size)])
+    body = ops.text[np.repeat(start - cuts[:-1], size) + np.arange(cuts[-1])]
+    pieces = pa.LargeStringArray.from_buffers(len(row), pa.py_buffer(cuts.astype(np.int64).tobytes()), pa.py_buffer(body.tobytes()))
+    table = pa.StructArray.from_arrays(
+        [pa.array(opens), pa.array(closes), pa.array(ops.ref[begin] - base[row]), pa.array(ops.asm[begin] - ops.asm[first[row]]),
+         pieces.cast(pa.string())],
+        ["first_bin", "last_bin", "at", "asm", "piece"])
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), table)
+
+
+def cigar_cells(cigar: Column, length: Column, width: int) -> Column:
+    """The CIGAR by bins of ``width`` reference bases: for ``first_bin`` to ``last_bin`` the ``piece`` that touches them.
+
+    ``at`` and ``asm`` are the reference and assembly bases before the piece.
+    Bins go as far as the operations and ``length`` do; those past the last
+    operation have it as their piece. Bins inside one operation are one item. A
+    row without operations has none.
+    """
+    return _column(_cells, _CELLS, cigar, length, F.lit(width).cast("bigint"))
+
+
 _FEATURES = (
     "struct<indels:array<struct<ref_pos:bigint,length:int,kind:string>>,"
     "mismatches:array<struct<ref_pos:bigint,read_base:string>>,"

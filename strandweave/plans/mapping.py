@@ -189,7 +189,8 @@ def map_alignments(
 
     With a stored lookup no CIGAR text takes part. Plain blocks carry their
     CIGARs to the windows, where a batch of them is parsed at once; with
-    ``ops``, the result of ``explode_cigars``, offsets are looked up there.
+    ``ops``, the result of ``index_cigars`` or ``explode_cigars``, offsets are
+    looked up there.
     ``regions`` may have a ``min_mapq`` of their own.
     """
     key = list(block_key)

@@ -7,7 +7,7 @@ from helpers import blocks_df, expand_cigar, random_cigar, regions_df, rows_of,
 from pyspark.sql import functions as F
 
 from strandweave.functions import cigar as C
-from strandweave.operators.cigar_index import explode_cigars, lookup_offsets
+from strandweave.operators.cigar_index import explode_cigars, index_cigars, lookup_offsets
 from strandweave.plans import mapping as M
 
 HIT = ("region_id", "event_type", "ref_start", "ref_end", "asm_chrom", "asm_start", "asm_end")
@@ -202,6 +202,49 @@ def test_projection_against_base_by_base_expansion(spark):
     assert rows_of(found, "id", "p.start", "p.end") == expect
 
 
+@pytest.mark.parametrize("width", [1, 4, 16, 4096])
+def test_packed_index_against_walked_cigars(spark, width):
+    """Every kind of operation, text that is none, ends past the operations, none at all, equal spans."""
+    rng = random.Random(width)
+    rows = [(0, "", 3, 9, 9), (1, "7I", 0, 2, 2), (2, "5S", 3, 4, 6), (3, "900N2M", 5, 901, 910), (4, None, 1, 2, 2), (5, "3Mx4?2D5I6M9S", 1, 14, 40)]
+    for i in range(6, 400):
+        cigar = random_cigar(rng, rng.randint(1, 40))
+        n = max(len(expand_cigar(cigar)[0]), 1) + rng.randint(0, 5)
+        lo = rng.randrange(n)
+        rows += [(i, cigar, lo, rng.randint(lo + 1, n), n)] * rng.randint(1, 2)
+    df = spark.createDataFrame(rows, "id long, cigar string, lo long, hi long, n long")
+    walked = df.withColumn("o", C.block_offsets(F.col("cigar"), F.col("lo"), F.col("hi")))
+    index = index_cigars(df.dropDuplicates(["id"]), ["id"], F.col("n"), width)
+    assert index.groupBy("id", "cell").count().where("count > 1").isEmpty()
+    found = lookup_offsets(df.drop("cigar"), index, ["id"], bin_width=width)
+    assert rows_of(found, "id", "lo", "hi", "q_lo", "q_hi") == rows_of(walked, "id", "lo", "hi", "o.lo", "o.hi")
+
+
+def test_packed_index_in_map_alignments(spark):
+    blocks = [("chr13", 100, 115, "ctg_ins", 200, 265, "+", 60, "10=50I5="), ("chr2", 50000, 50200, "c", 3000, 3195, "-", 60, "100M5D95M")]
+    windows = [("chr13", 105, 113), ("chr13", 110, 115), ("chr13", 100, 110), ("chr13", 109, 115), ("chr2", 50000, 50100)]
+    ops = index_cigars(blocks_df(spark, blocks), ["sample_id", "hap", "block_seq"])
+    got = rows_of(hits(spark, blocks, windows, ops=ops), "region_id", "asm_start", "asm_end")
+    assert got == [(0, 205, 263), (1, 260, 265), (2, 200, 210), (3, 209, 265), (4, 3095, 3195)]
+
+
+def test_packed_index_moves_little(spark):
+    """A CIGAR is not moved to be cut, and a span in one bin is moved once."""
+    blocks = spark.range(20_000).selectExpr("md5(concat('b', id)) as id", "concat(1 + id % 50, 'M2D3I', 1 + id % 60, 'M2X4M') as cigar", "40L as n")
+    spans = spark.range(20_000).selectExpr("md5(concat('b', id)) as id", "id % 20 as lo", "id % 20 + 9 as hi")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.requireAllClusterKeysForCoPartition": "true"}
+    kept = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        packed = shuffled_bytes(lookup_offsets(spans, index_cigars(blocks, ["id"], F.col("n"), 64), ["id"], bin_width=64))
+        exploded = shuffled_bytes(lookup_offsets(spans, explode_cigars(blocks, ["id"]), ["id"], bin_width=64))
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert packed < 0.5 * exploded
+
+
 def test_translate_merges_by_contig_and_strand(spark):
     blocks = [
         ("chr1", 0, 100, "b", 0, 100, "+", 60),
