@@ -252,7 +252,7 @@ def q2_mapq(spark, d):
     blocks = V.blocks(spark, d)
     hits = M.map_regions(
         V.windows(spark, d), blocks, 30, bin_width=BIN,
-        ops=explode_cigars(blocks, ["block_id"]), block_key=["block_id"],
+        ops=index_cigars(blocks, ["block_id"]), block_key=["block_id"],
     )
     return _text(hits, "ref_gap_size", "asm_gap_size")
 
