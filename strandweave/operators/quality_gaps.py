@@ -4,9 +4,10 @@ Raising the threshold takes blocks away and so changes which block comes before
 another. For one block the thresholds fall into ranges with the same
 predecessor: of the earlier blocks only those matter that no other reaches as
 far with the same quality or a better one, at most one per quality. Blocks in
-order are cut into runs of rows. Each run is reduced to that list, lists are
-carried forward from run to run, and each run is passed once with the list at
-hand. No row is copied per threshold, and a task holds one list.
+order are cut into runs of rows. Each run is reduced to its farthest block of
+each quality, these are carried forward from run to run, and each run is passed
+once with that list at hand. No row is copied per threshold, and a task holds
+one list.
 """
 
 from __future__ import annotations
@@ -112,29 +113,10 @@ def predecessors(blocks: DataFrame, keys: Sequence[str], flank: Sequence[str], r
     placed = stored(placed.withColumn("run", F.shiftright(F.monotonically_increasing_id(), bits)), "runs")
 
     kind = lambda names, frame: ", ".join(f"`{c}` {frame.schema[c].dataType.simpleString()}" for c in names)
-    same, every = ["run", *keys], ["run", *columns]
-
-    def reduce_runs(batches):
-        """What is left of each run (and of each part of it that a task reads)."""
-        rows = _Rows(batches, every, same)
-
-        def left():
-            kept = [row for _, _, row in rows.front.items]
-            if kept:
-                yield pa.RecordBatch.from_arrays(rows.take(kept, every), every)
-
-        for base, fresh in rows:
-            quality, reach = rows.numbers("mapq"), rows.numbers("ref_end")
-            for i, new in enumerate(fresh, base):
-                if new:
-                    yield from left()
-                    rows.front = Frontier()
-                rows.front.add(quality[i], reach[i], i)
-        yield from left()
-
-    found = placed.select("run", *columns).mapInArrow(reduce_runs, kind(["run", *columns], placed))
+    same = ["run", *keys]
     best = F.struct((-F.col("ref_end")).alias("_far"), "ref_start", "block_seq", *[c for c in rest if c != "mapq"])
-    lists = found.groupBy(*keys, "run", "mapq").agg(F.min(best).alias("_best"))
+    # Stored, as it is used three times: a row per run and quality.
+    lists = stored(placed.groupBy(*same, "mapq").agg(F.min(best).alias("_best")), "lists")
     grid = lists.select(*keys, "run").distinct().join(lists.select(*keys, "mapq").distinct(), keys)
     before = Window.partitionBy(*keys, "mapq").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     carry = grid.join(lists, [*keys, "run", "mapq"], "left").select(*keys, "run", "mapq", F.min("_best").over(before).alias("_best")).where("_best is not null")
@@ -152,19 +134,22 @@ def predecessors(blocks: DataFrame, keys: Sequence[str], flank: Sequence[str], r
     def pass_runs(batches):
         rows = _Rows(batches, [*columns, "_kind"], same)
         for base, fresh in rows:
-            quality, reach, start, block = (rows.numbers(c) for c in ("mapq", "ref_end", "ref_start", "_kind"))
-            prevs, nexts, overs, uptos = [], [], [], []
-            for i, new in enumerate(fresh, base):
+            quality, reach, start, block = (rows.numbers(c)[base:] for c in ("mapq", "ref_end", "ref_start", "_kind"))
+            found = []
+            for i, (new, own, upto, at, is_block) in enumerate(zip(fresh, quality, reach, start, block), base):
                 if new:
                     rows.front = Frontier()
-                if block[i]:
-                    for prev, over, upto in rows.front.before(quality[i]):
-                        if reach[prev] <= start[i]:
-                            prevs.append(prev)
-                            nexts.append(i)
-                            overs.append(over)
-                            uptos.append(upto)
-                rows.front.add(quality[i], reach[i], i)
+                if is_block:
+                    # What Frontier.before gives, without a generator for each row.
+                    over = None
+                    for level, far, prev in rows.front.items:
+                        if far <= at:
+                            found.append((prev, i, over, level if level < own else own))
+                        if level >= own:
+                            break
+                        over = level
+                rows.front.add(own, upto, i)
+            prevs, nexts, overs, uptos = zip(*found) if found else ((), (), (), ())
             if prevs:
                 level = [pa.array(overs, pa.int32()), pa.array(uptos, pa.int32())]
                 own, before, after = rows.take(nexts, [*keys, "block_seq"]), rows.take(prevs, flank), rows.take(nexts, flank)

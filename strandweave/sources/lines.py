@@ -17,18 +17,19 @@ SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):/+"
 
 
 def file_column() -> Column:
-    """Path of the file a row was read from, comparable with ``file_table``."""
-    return F.regexp_replace(F.col("_metadata.file_path"), SCHEME, "$1:/")
+    """Path of the file a row was read from; one of those that ``file_table`` lists for it."""
+    return F.col("_metadata.file_path")
 
 
 def file_table(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """``file_path, file_ord``: the files behind the paths in argument order.
+    """``file_path, file_ord``: the files behind the paths in argument order, once for each way to write the scheme.
 
     Only names travel to and from the driver, which lists them for any scan.
     """
     found = [f for p in paths for f in sorted(spark.read.text(p).inputFiles())]
     names = dict.fromkeys(re.sub(SCHEME, r"\1:/", f) for f in found)
-    return spark.createDataFrame([(f, i) for i, f in enumerate(names)], "file_path string, file_ord long")
+    ways = [(re.sub(SCHEME, rf"\1:{slashes}", f), i) for i, f in enumerate(names) for slashes in ("/", "//", "///")]
+    return spark.createDataFrame(list(dict.fromkeys(ways)), "file_path string, file_ord long")
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -50,14 +51,15 @@ def with_line_order(lines: DataFrame, paths: str | Sequence[str], out: str) -> D
 
     Within a file the number is the byte offset of the split plus the row number
     inside the task. A full split fills a task alone and holds fewer rows than
-    bytes, so numbers of one file never cross.
+    bytes, so numbers of one file never cross. The list of files goes to the
+    lines: joined otherwise, each file's lines would meet in one task.
     """
     spark = lines.sparkSession
     paths = [paths] if isinstance(paths, str) else list(paths)
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     numbered = lines.withColumn("__row", row + F.col("block_start"))
     return (
-        numbered.join(file_table(spark, paths), "file_path")
+        numbered.join(F.broadcast(file_table(spark, paths)), "file_path")
         .withColumn(out, F.shiftleft("file_ord", FILE_SHIFT) + F.col("__row"))
         .drop("__row", "file_ord", "block_start", "file_path")
     )

@@ -26,9 +26,9 @@ def tag_value(fields: Column, tag: str) -> Column:
 
     The value keeps its own colons and the last of several wins.
     """
-    tags = F.transform(F.slice(fields, 13, F.greatest(F.size(fields) - 12, F.lit(0))), lambda x: F.split(x, ":", 3))
-    hits = F.filter(tags, lambda t: (F.size(t) == 3) & (t[0] == tag))
-    return F.coalesce(F.try_element_at(hits, F.lit(-1))[2], F.lit(""))
+    tags = F.slice(fields, 13, F.greatest(F.size(fields) - 12, F.lit(0)))
+    hits = F.filter(tags, lambda x: x.startswith(f"{tag}:") & (F.locate(":", x, len(tag) + 2) > 0))
+    return F.coalesce(F.split(F.try_element_at(hits, F.lit(-1)), ":", 3)[2], F.lit(""))
 
 
 def read_paf(
@@ -40,9 +40,9 @@ def read_paf(
     dropped; a bad number is an error.
     """
     lines = read_lines(spark, paths)
-    f = F.split("value", "\t")
-    lines = lines.filter(~F.col("value").startswith("#") & (F.size(f) >= 12))
-    rows = with_line_order(lines, paths, "block_seq").withColumn("f", f)
+    tabs = F.length("value") - F.length(F.replace(F.col("value"), F.lit("\t"), F.lit("")))
+    lines = lines.filter(~F.col("value").startswith("#") & (tabs >= 11))
+    rows = with_line_order(lines, paths, "block_seq").withColumn("f", F.split("value", "\t"))
     num = lambda i: F.col("f")[i].cast("bigint")
     return rows.select(
         F.lit(sample_id).alias("sample_id"),

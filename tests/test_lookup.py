@@ -186,3 +186,9 @@ def test_lookup_has_as_many_buckets_as_shuffles(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
         views._LOOKUPS.clear()
+
+
+def test_runs_are_reduced_without_python(spark):
+    """Rows go through Python once, when runs are passed."""
+    plan = M.quality_gaps(two_samples(spark), 64)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1

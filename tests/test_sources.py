@@ -3,11 +3,14 @@
 import gzip
 import json
 
-from helpers import blocks_df, rows_of
+from helpers import blocks_df, rows_of, shuffled_bytes
+from pyspark.sql import functions as F
 
 from strandweave.plans.mapping import build_mapping
 from strandweave.plans.subset import subset_header, subset_reads
 from strandweave.sources import alignments, paf, regions, samples, sequences, writers
+from strandweave.sources.lines import read_lines, with_line_order
+from strandweave.sources.paf import tag_value
 
 PAF = "c1\t900\t0\t100\t+\tchr1\t5000\t{s}\t{e}\t95\t100\t60"
 
@@ -156,3 +159,25 @@ def test_lookup_tables_of_blocks_with_one_start(spark, tmp_path):
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     rel = con.sql(entry.oracle_sql()["q1_lookup_tables"])
     assert sorted(tuple(r) for r in df.select(*rel.columns).collect()) == sorted(rel.fetchall())
+
+
+def test_lines_are_numbered_where_they_are_read(spark, tmp_path):
+    """No line is moved to learn its file's number, and its path is not rewritten."""
+    for name in ("a", "b"):
+        (tmp_path / name).write_text("".join(f"{name}{i}\n" for i in range(50)))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        paths = [str(tmp_path / "b"), f"file://{tmp_path}/a"]
+        rows = with_line_order(read_lines(spark, paths), paths, "n")
+        assert [r.value for r in rows.orderBy("n").collect()] == [f"{name}{i}" for name in "ba" for i in range(50)]
+        assert shuffled_bytes(rows) == 0
+        assert "regexp_replace" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_tag_values(spark):
+    tags = [["cg:Z:1M", "cg", "cg:Z", "cgx:Z:2"], ["cg::x:y"], ["cg:Z:1", "cg:Z:"], ["xcg:Z:1"], []]
+    df = spark.createDataFrame([(i, ["-"] * 12 + t) for i, t in enumerate(tags)], "i int, f array<string>")
+    assert [r.v for r in df.orderBy("i").select(tag_value(F.col("f"), "cg").alias("v")).collect()] == ["1M", "x:y", "", "", ""]
