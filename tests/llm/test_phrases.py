@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from strandweave.llm import phrases
@@ -110,3 +111,40 @@ def test_trie_finds_its_phrases_and_no_others():
                                if all(ids[at + k] >= 0 and text[at + k] == w[k] for k in range(len(w)))}
             got = {(level, int(a), int(f)) for level, at, found in trie.advance(lang, pa.array([w.encode() for w in local]), ids, 3) for a, f in zip(at, found, strict=True)}
             assert got == expect
+
+
+def test_supports_are_moved_before_they_are_added_up(spark):
+    found = spark.createDataFrame([("en", "a b", 6), ("en", "a b", 4), ("en", "b c", 9), ("de", "a b", 9)], "lang string, phrase string, support long")
+    frequent = phrases._frequent(found, 10)
+    assert [tuple(r) for r in frequent.collect()] == [("en", "a b")]
+    above, _, below = frequent._jdf.queryExecution().sparkPlan().toString().partition("Exchange")
+    assert "Aggregate" in above and below and "Aggregate" not in below
+
+
+def test_a_task_that_makes_blocks_holds_few_texts():
+    size, rng, given, most = 1000, random.Random(3), 0, 0
+    rows = [(f"l{rng.randrange(500)}", "word " * rng.randrange(40)) for _ in range(4000)] + [("en", "A b. " * 20)] * 500
+
+    def batches():
+        nonlocal given
+        for lo in range(0, len(rows), 50):
+            batch = rows[lo : lo + 50]
+            given += sum(len(text) for _, text in batch)
+            yield pa.RecordBatch.from_arrays([pa.array([lang for lang, _ in batch]), pa.array([text for _, text in batch])], ["lang", "text"])
+
+    told, taken = {}, 0
+    for lang, blob in phrases._gathered(batches(), size):
+        told.setdefault(lang, []).append(blob)
+        taken += len(blob)
+        most = max(most, given - taken)
+    assert most <= phrases.HELD * size + 50 * 200
+    assert len(told["en"]) < 60  # filled across batches: 50,000 bytes
+    for lang in ("en", "l0"):
+        assert sum(b.count(b"word") + b.count(b"a b") for b in told[lang]) == sum(t.count("word") + t.count("A b") for at, t in rows if at == lang)
+
+
+def test_a_reader_holds_two_blocks_at_once(spark):
+    stored = phrases.blocks(odd.docs(spark, texts()), 300)
+    files = [pq.ParquetFile(f.removeprefix("file:")) for f in stored.inputFiles()]
+    groups = [f.metadata.row_group(i).num_rows for f in files for i in range(f.metadata.num_row_groups)]
+    assert sum(groups) == stored.count() > 2 * len(files) and max(groups) <= 2
