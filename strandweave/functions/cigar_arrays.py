@@ -152,6 +152,17 @@ def _index(cigar: pa.Array, length: pa.Array) -> pa.Array:
         ["n_ops", "whole_lo", "whole_hi", "asm_total", "entries"])
 
 
+def short_index(cigar: pa.Array, length: pa.Array) -> dict[str, pa.Array]:
+    """What ``cigar_index`` says of CIGARs that are one entry each, as columns: the entry's ``upto``, ``sizes`` and ``codes`` are the block's."""
+    ops, n = parse(cigar), _longs(length)
+    lo, hi = project(ops, np.zeros(len(n), np.int64), n)
+    first, end = ops.first[:-1], ops.first[1:]
+    cuts = pa.array(ops.first.astype(np.int32))
+    codes = pa.StringArray.from_buffers(len(n), cuts.buffers()[1], pa.py_buffer(ops.op.tobytes()))
+    return {"n_ops": pa.array(end - first), "whole_lo": pa.array(lo), "whole_hi": pa.array(hi), "asm_total": pa.array(ops.asm[end] - ops.asm[first]),
+            "upto": pa.array(ops.ref[end] - ops.ref[first]), "sizes": pa.ListArray.from_arrays(cuts, pa.array(ops.size)), "codes": codes}
+
+
 def cigar_index(cigar: Column, length: Column) -> Column:
     """What lookups in a block need: its number of operations, where its first ``length`` reference bases lie, and an entry per 64 operations.
 

@@ -17,12 +17,16 @@ from collections.abc import Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandweave.functions.cigar_arrays import short_index
+from strandweave.operators.overlap import position_bin
 from strandweave.session import stored
 
 RUN_ROWS = 65_536
+KEYS = ["sample_id", "hap", "ref_chrom"]
+FLANK = ["ref_start", "ref_end", "asm_chrom", "asm_start", "asm_end", "strand", "mapq"]
 
 
 class Frontier:
@@ -80,7 +84,7 @@ class _Rows:
             base = len(kept)
             self.table = pa.concat_tables([self.table.take(pa.array(kept, pa.int64())), given]).combine_chunks() if base else given
             self.front.items = [(q, reach, i) for i, (q, reach, _) in enumerate(self.front.items)]
-            yield base, [first != self.here, *fresh.to_pylist()]
+            yield base, [first != self.here, *(f is not False for f in fresh.to_pylist())]  # beside a null all is new
             self.here = tuple(batch.column(c)[len(batch) - 1].as_py() for c in self.same)
 
     def numbers(self, name: str) -> list:
@@ -158,3 +162,83 @@ def predecessors(blocks: DataFrame, keys: Sequence[str], flank: Sequence[str], r
     pairs = passed.select("run", *columns, "_kind").mapInArrow(pass_runs, out_kind)
     side = lambda s: F.struct(*[F.col(f"{s}_{c}").alias(c) for c in flank])
     return pairs.select(*keys, "block_seq", "over", "upto", side("p").alias("prev"), side("n").alias("nxt"))
+
+
+_INDEX = "n_ops long, whole_lo long, whole_hi long, asm_total long, upto long, sizes array<long>, codes string"
+_BEFORE = [c for c in FLANK if c != "ref_start"]
+
+
+def passed_stretches(rows: DataFrame, blocks: DataFrame, width: int, cell: Column, parts: int) -> DataFrame:
+    """``rows`` dealt by ``cell`` with what their CIGARs say and ``gaps``, the predecessors of each: ``over, upto`` and their fields.
+
+    A row of ``rows`` is a block in one ``stretch`` of ``width`` bases that it
+    touches; it has its predecessors in the first. Each stretch is reduced to
+    its farthest block of each quality, which are carried forward; then rows and
+    what is carried to them are moved once, and a task passes its stretches.
+    Predecessors may touch without being a gap. Rows whose
+    ``cigar`` is null have their ``n_ops`` and the rest already.
+    """
+    known = lambda df: [F.col(c).isNotNull() for c in (*KEYS, "ref_start", "ref_end", "mapq")]
+    solid = blocks.select(*KEYS, "block_seq", *FLANK)
+    for has in known(solid):
+        solid = solid.where(has)
+    rest = [c for c in FLANK if c not in ("ref_start", "mapq")]
+    best = F.struct((-F.col("ref_end")).alias("_far"), "ref_start", "block_seq", *rest)
+    first = position_bin(F.col("ref_start"), width)
+    # Stored, as it is used three times: a row per stretch and quality.
+    lists = stored(solid.groupBy(*KEYS, first.alias("stretch"), "mapq").agg(F.min(best).alias("_best")), "lists")
+    grid = lists.select(*KEYS, "stretch").distinct().join(lists.select(*KEYS, "mapq").distinct(), KEYS)
+    before = Window.partitionBy(*KEYS, "mapq").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carry = grid.join(lists, [*KEYS, "stretch", "mapq"], "left").withColumn("_best", F.min("_best").over(before)).where("_best is not null")
+    carry = carry.select(*KEYS, "mapq", "stretch", *[F.col("_best")[c].alias(c) for c in ("ref_start", "block_seq", *rest)])
+
+    takes_part = F.col("stretch") == first
+    for has in known(rows):
+        takes_part = takes_part & has
+    given = rows.withColumns({"_kind": F.when(takes_part, 1).otherwise(2), "_far": F.lit(0).cast("bigint")})
+    carry = carry.withColumns({"_kind": F.lit(0), "_far": F.col("ref_end")})
+    same = ["cell", "stretch", *KEYS]
+    # Carried ones come first, the farthest before the others; then rows in order.
+    order = [*same, F.least("_kind", F.lit(1)), F.col("_far").desc(), "ref_start", "block_seq", "ref_end", "asm_chrom", "asm_start", "asm_end", "strand", "mapq"]
+    passed = given.unionByName(carry, allowMissingColumns=True).withColumn("cell", cell).repartition(parts, "cell").sortWithinPartitions(*order).drop("_far")
+    index = [c.split()[0] for c in _INDEX.split(", ")]
+    kept = [c for c in passed.columns if c not in ("cigar", "_kind", *index)]
+    kind = lambda c: passed.schema[c].dataType.simpleString()
+    before = ", ".join(f"{c}:{kind(c)}" for c in _BEFORE)
+    out_kind = f"{', '.join(f'`{c}` {kind(c)}' for c in kept)}, {_INDEX}, gaps array<struct<over:int,upto:int,{before}>>"
+
+    def pass_stretches(batches):
+        rows = _Rows(batches, names, same)
+        for base, fresh in rows:
+            quality, reach, start, part = (rows.numbers(c)[base:] for c in ("mapq", "ref_end", "ref_start", "_kind"))
+            found, bounds, blocks_here = [], [0], []
+            for i, (new, own, upto, at, is_block) in enumerate(zip(fresh, quality, reach, start, part), base):
+                if new:
+                    rows.front = Frontier()
+                if is_block:
+                    if is_block == 1:
+                        # What Frontier.before gives, without a generator for each row.
+                        over = None
+                        for level, far, prev in rows.front.items:
+                            if far <= at:
+                                found.append((prev, over, level if level < own else own))
+                            if level >= own:
+                                break
+                            over = level
+                    blocks_here.append(i)
+                    bounds.append(len(found))
+                if is_block < 2:
+                    rows.front.add(own, upto, i)
+            if not blocks_here:
+                continue
+            prevs, overs, uptos = zip(*found) if found else ((), (), ())
+            fields = [pa.array(overs, pa.int32()), pa.array(uptos, pa.int32()), *rows.take(prevs, _BEFORE)]
+            gaps = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays(fields, ["over", "upto", *_BEFORE]))
+            own = rows.take(blocks_here, [*kept, "cigar", *index[:4]])
+            here = dict(zip([*kept, "cigar", *index[:4]], own))
+            made = short_index(here["cigar"], pc.subtract(here["ref_end"], here["ref_start"]))
+            numbers = [pc.if_else(here["cigar"].is_valid(), made[c], here[c]) if c in here else made[c] for c in index]
+            yield pa.RecordBatch.from_arrays([*(here[c] for c in kept), *numbers, gaps], [*kept, *index, "gaps"])
+
+    names = passed.columns
+    return passed.mapInArrow(pass_stretches, out_kind)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.functions import cigar as C
@@ -13,15 +13,14 @@ from strandweave.functions.regions import window_status
 from strandweave.operators.cigar_index import lookup_offsets
 from strandweave.operators.intervals import merge_intervals
 from strandweave.operators.overlap import overlap_join, position_bin
-from strandweave.operators.quality_gaps import RUN_ROWS, predecessors
+from strandweave.operators.quality_gaps import FLANK, KEYS, RUN_ROWS, predecessors
 from strandweave.operators.scan import DEFAULT_BIN, DEFAULT_SPLIT, running
 from strandweave.sources import paf, writers
-from strandweave.sources.lookup import BIN, BUCKETS, Lookup, in_bins, write_lookup
+from strandweave.sources.lookup import BIN, BUCKETS, Lookup, following, write_lookup
 
 JOIN_BIN = 65_536
 
-ASSEMBLY = ["sample_id", "hap", "ref_chrom"]
-FLANK = ["ref_start", "ref_end", "asm_chrom", "asm_start", "asm_end", "strand", "mapq"]
+ASSEMBLY = KEYS
 HITS = ["region_id", "sample_id", "hap", "block_start", "block_seq", "kind", "ref_chrom", "ref_start",
         "ref_end", "asm_chrom", "asm_start", "asm_end", "strand", "mapq", "event_type",
         "ref_gap_size", "asm_gap_size"]
@@ -46,8 +45,8 @@ def build_mapping(
 
 
 def build_lookup(blocks: DataFrame, path: str, bin_width: int = BIN, buckets: int = BUCKETS, run_rows: int = RUN_ROWS) -> Lookup:
-    """Blocks of any number of assemblies to the stored lookup: blocks, gaps of every threshold, CIGAR entries."""
-    return write_lookup(blocks, quality_gaps(blocks, run_rows), path, bin_width, buckets)
+    """Blocks of any number of assemblies to the stored lookup: blocks, gaps of every threshold, CIGAR entries; ``write_lookup`` says the rest."""
+    return write_lookup(blocks, path, bin_width, buckets, run_rows)
 
 
 def with_predecessor(
@@ -145,36 +144,77 @@ def _overlap(pairs: DataFrame) -> DataFrame:
     ).withColumn("hi", F.least("we", "ref_end") - F.col("ref_start"))
 
 
-def _stored_alignments(regions: DataFrame, lookup: Lookup, min_mapq: int) -> DataFrame:
-    """``clipped_blocks`` from the lookup with the assembly offsets ``q_lo, q_hi`` of the overlap.
+def _stored_hits(regions: DataFrame, lookup: Lookup, min_mapq: int, aligned: bool = True, gaps: bool = True) -> DataFrame:
+    """Alignments and gap events of the windows from one join with the stored blocks.
 
-    A block that lies in its window needs nothing but what it stores; the
-    windows' edges are looked up in the CIGAR entries.
+    A block that lies in its window needs nothing but what it stores. A
+    window's edges are looked up in the CIGAR: among the block's own operations, or
+    for a long CIGAR in the table of its entries.
     """
-    first = F.greatest("first_bin", "window_bin")
-    windows = in_bins(_windows(regions, min_mapq), "ws", "we", lookup.bin_width).withColumnRenamed("first_bin", "window_bin")
-    blocks = lookup.blocks.select(*ASSEMBLY, "bin", "first_bin", "block_seq", *FLANK, "block_no", "n_ops", "whole_lo", "whole_hi", "asm_total")
-    pairs = lookup.dealt(windows).join(blocks, ["sample_id", "ref_chrom", "bin"])
-    pairs = pairs.where((F.col("ref_start") < F.col("we")) & (F.col("ref_end") > F.col("ws")) & (F.col("bin") == first) & (F.col("mapq") >= F.col("level")))
-    pairs = _overlap(pairs.drop("bin", "first_bin", "window_bin", "level"))
+    windows = _windows(regions, min_mapq)
+    same, block_start = ["region_id", "sample_id", "hap"], F.col("ref_start").alias("block_start")
+    index = ["block_no", "n_ops", "whole_lo", "whole_hi", "asm_total", "sizes", "codes"] if aligned else []
+    rows = lookup.table("blocks").select(*ASSEMBLY, "cell", "stretch", "block_seq", *FLANK, *index, *(["gaps"] if gaps else []))
+    if not aligned:
+        each = lookup.meet(windows, rows.where(F.size("gaps") > 0)).withColumn("p", F.explode(_seen()))
+        event = E.gap_record(F.col("p"), following()).alias("g")
+        return each.select(*same, block_start, "block_seq", F.lit(0).alias("kind"), "ref_chrom", event).select(*HITS[:7], "g.*").select(*HITS)
+    hit = (F.col("ref_end") > F.col("ref_start")) & (F.col("ref_end") > 0) & (F.col("ref_end") > F.col("ws")) & (F.col("mapq") >= F.col("level"))
     edge = (F.col("n_ops") > 0) & ((F.col("lo") > 0) | (F.col("hi") < F.col("ref_end") - F.col("ref_start")))
-    linear = F.col("n_ops") == 0
-    whole = pairs.where(~edge).withColumns({
-        "q_lo": F.when(linear, F.col("lo")).otherwise(F.col("whole_lo")), "q_hi": F.when(linear, F.col("hi")).otherwise(F.col("whole_hi"))})
-    cut = pairs.where(edge)
-    for name, point, past in (("q_lo", F.col("lo"), True), ("q_hi", F.col("hi") - 1, False)):
-        asked = cut.withColumn("_at", F.col("ref_start") + point)
-        asked = lookup.dealt(asked.withColumn("bin", position_bin(F.col("_at"), lookup.bin_width)))
-        entries = lookup.ops.select("sample_id", "ref_chrom", "bin", "block_no", "entry_start", "entry_end", "asm", "sizes", "codes").withColumnsRenamed(
-            {c: f"_{c}" for c in ("sample_id", "ref_chrom", "bin", "block_no")})
-        on = [F.col(c) == F.col(f"_{c}") for c in ("bin", "sample_id", "ref_chrom", "block_no")]
-        found = asked.join(entries, [*on, F.col("_at") >= F.col("entry_start"), F.col("_at") < F.col("entry_end")], "left")
-        target = F.col("lo") if past else F.col("hi")
-        inside = C.entry_offset(F.col("sizes"), F.col("codes"), F.col("entry_start") - F.col("ref_start"), F.col("asm"), target, past)
-        # The row of one keeps the fold below from being copied into every filter above.
-        found = found.withColumn(name, F.explode_outer(F.array(F.coalesce(inside, "asm_total"))))
-        cut = found.select(*pairs.columns, *(["q_lo"] if name == "q_hi" else []), name)
-    return whole.unionByName(cut)
+
+    def met(some: DataFrame) -> DataFrame:
+        pairs = lookup.meet(windows, some).withColumn("hit", F.coalesce(hit, F.lit(False)))
+        return _overlap(pairs if gaps else pairs.where("hit"))
+
+    entry = {"at": F.col("ref_start"), "asm": F.lit(0).cast("bigint"), "sizes": F.col("sizes"), "codes": F.col("codes")}
+    own = {f"{side}_{c}": of for side in ("lo", "hi") for c, of in entry.items()}
+    if lookup.has_long:
+        pairs = met(rows.where("block_no < 0")).withColumns(own)
+        far = met(rows.where("block_no >= 0"))
+        cut = far.where(F.col("hit") & edge)
+        for side, point in (("lo", F.col("lo")), ("hi", F.col("hi") - 1)):
+            asked = cut.withColumn("_at", F.col("ref_start") + point)
+            asked = lookup.dealt(asked.withColumn("bin", position_bin(F.col("_at"), lookup.bin_width)))
+            entries = lookup.table("ops").select("sample_id", "ref_chrom", "bin", "block_no", "entry_start", "entry_end", "asm", "sizes", "codes").withColumnsRenamed(
+                {c: f"_{c}" for c in ("sample_id", "ref_chrom", "bin", "block_no", "sizes", "codes")})
+            on = [F.col(c) == F.col(f"_{c}") for c in ("bin", "sample_id", "ref_chrom", "block_no")]
+            found = asked.join(entries, [*on, F.col("_at") >= F.col("entry_start"), F.col("_at") < F.col("entry_end")], "left")
+            got = {"at": F.col("entry_start"), "asm": F.col("asm"), "sizes": F.col("_sizes"), "codes": F.col("_codes")}
+            cut = found.withColumns({f"{side}_{c}": of for c, of in got.items()}).select(*cut.columns, *[f"{side}_{c}" for c in got])
+        pairs = pairs.unionByName(cut).unionByName(far.where(~(F.col("hit") & edge)), allowMissingColumns=True)
+    else:
+        pairs = met(rows).withColumns(own)
+
+    def inside(side: str) -> Column:
+        return C.entry_offset(
+            F.col(f"{side}_sizes"), F.col(f"{side}_codes"), F.col(f"{side}_at") - F.col("ref_start"), F.col(f"{side}_asm"), F.col(side), side == "lo").alias(side)
+
+    # The row of one keeps the folds from being copied into every filter above.
+    pairs = pairs.withColumn("cut", F.col("hit") & edge)
+    pairs = pairs.withColumn("q", F.explode(F.array(F.when(F.col("cut"), F.struct(inside("lo"), inside("hi"))))))
+    at = {side: F.when(F.col("q").isNotNull(), F.coalesce(f"q.{side}", "asm_total")).when(F.col("n_ops") == 0, F.col(side)).otherwise(F.col(f"whole_{side}")) for side in ("lo", "hi")}
+    pairs = pairs.withColumns({f"q_{side}": of for side, of in at.items()})
+    place = C.orient(F.col("q_lo"), F.col("q_hi"), F.col("strand"), F.col("asm_start"), F.col("asm_end"))
+    none = F.lit(None).cast("bigint")
+    alignment = {
+        "ref_start": F.col("ref_start") + F.col("lo"), "ref_end": F.col("ref_start") + F.col("hi"), "asm_chrom": F.col("asm_chrom"),
+        "asm_start": place["start"], "asm_end": place["end"], "strand": F.col("strand"), "mapq": F.col("mapq"),
+        "event_type": F.lit("alignment"), "ref_gap_size": none, "asm_gap_size": none,
+    }
+    if not gaps:
+        return pairs.select(*same, block_start, "block_seq", F.lit(1).alias("kind"), "ref_chrom", *[of.alias(c) for c, of in alignment.items()])
+    # An item is a gap's previous block, or null for the alignment itself.
+    itself = F.when(F.col("hit"), F.array(F.lit(None))).otherwise(F.array())
+    each = pairs.withColumn("p", F.explode(F.concat(itself.cast(rows.schema["gaps"].dataType), _seen())))
+    event, is_hit = E.gap_record(F.col("p"), following()), F.col("p").isNull()
+    fields = [F.when(is_hit, of).otherwise(event[c]).alias(c) for c, of in alignment.items()]
+    return each.select(*same, block_start, "block_seq", is_hit.cast("int").alias("kind"), "ref_chrom", *fields)
+
+
+def _seen() -> Column:
+    """The previous blocks of those gaps before a stored block that its window sees at its level."""
+    return F.filter("gaps", lambda p: (p["ref_end"] > F.col("ws")) & (F.col("ref_start") < F.col("we")) & (F.col("level") <= p["upto"])
+                    & (p["over"].isNull() | (F.col("level") > p["over"])))
 
 
 def map_alignments(
@@ -198,17 +238,16 @@ def map_alignments(
     placed = lambda lo, hi: C.orient(lo, hi, F.col("strand"), F.col("asm_start"), F.col("asm_end"))
 
     if isinstance(blocks, Lookup):
-        hits = _stored_alignments(regions, blocks, min_mapq).withColumn("asm", placed(F.col("q_lo"), F.col("q_hi")))
+        return _stored_hits(regions, blocks, min_mapq, gaps=False)
+    kept = blocks.select(*slim, *([] if ops is not None else ["cigar"]))
+    windows = _windows(regions, min_mapq)
+    pairs = overlap_join(windows, kept, ["sample_id", "ref_chrom"], ("ws", "we"), ("ref_start", "ref_end"), bin_width)
+    pairs = _overlap(pairs.where(F.col("mapq") >= F.col("level")).drop("level"))
+    if ops is None:
+        off = pairs.withColumn("off", C.block_offsets(F.col("cigar"), F.col("lo"), F.col("hi")))
+        hits = off.withColumn("asm", placed(F.col("off.lo"), F.col("off.hi"))).drop("off", "cigar")
     else:
-        kept = blocks.select(*slim, *([] if ops is not None else ["cigar"]))
-        windows = _windows(regions, min_mapq)
-        pairs = overlap_join(windows, kept, ["sample_id", "ref_chrom"], ("ws", "we"), ("ref_start", "ref_end"), bin_width)
-        pairs = _overlap(pairs.where(F.col("mapq") >= F.col("level")).drop("level"))
-        if ops is None:
-            off = pairs.withColumn("off", C.block_offsets(F.col("cigar"), F.col("lo"), F.col("hi")))
-            hits = off.withColumn("asm", placed(F.col("off.lo"), F.col("off.hi"))).drop("off", "cigar")
-        else:
-            hits = lookup_offsets(pairs, ops, key).withColumn("asm", placed(F.col("q_lo"), F.col("q_hi")))
+        hits = lookup_offsets(pairs, ops, key).withColumn("asm", placed(F.col("q_lo"), F.col("q_hi")))
     none = F.lit(None).cast("bigint")
     return hits.select(
         "region_id", "sample_id", "hap", F.col("ref_start").alias("block_start"), "block_seq",
@@ -229,14 +268,10 @@ def gaps_in_windows(regions: DataFrame, gaps: DataFrame | Lookup, bin_width: int
     Gaps that carry a range of thresholds, as a lookup's do, count for windows
     whose ``min_mapq`` lies in it.
     """
-    windows = _windows(regions, min_mapq)
     if isinstance(gaps, Lookup):
-        asked = in_bins(windows, "ws", "we", gaps.bin_width).drop("first_bin")
-        pairs = gaps.dealt(asked).join(gaps.gaps, ["sample_id", "ref_chrom", "bin"])
-        pairs = pairs.filter((F.col("ref_start") - 1 >= F.col("ws")) & (F.col("ref_start") - 1 < F.col("we")))
-    else:
-        last = gaps.withColumn("__at", F.col("ref_start") - 1).withColumn("__to", F.col("ref_start"))
-        pairs = overlap_join(windows, last, ["sample_id", "ref_chrom"], ("ws", "we"), ("__at", "__to"), bin_width)
+        return _stored_hits(regions, gaps, min_mapq, aligned=False)
+    last = gaps.withColumn("__at", F.col("ref_start") - 1).withColumn("__to", F.col("ref_start"))
+    pairs = overlap_join(_windows(regions, min_mapq), last, ["sample_id", "ref_chrom"], ("ws", "we"), ("__at", "__to"), bin_width)
     if "upto" in pairs.columns:
         pairs = pairs.filter((F.col("level") <= F.col("upto")) & (F.col("over").isNull() | (F.col("level") > F.col("over"))))
     return pairs.filter(F.col("we") > F.col("ref_end")).withColumn("kind", F.lit(0)).select(*HITS)
@@ -259,8 +294,8 @@ def map_regions(
     first.
     """
     if isinstance(blocks, Lookup):
-        events = blocks
-    elif gaps is not None:
+        return _stored_hits(regions, blocks, min_mapq)
+    if gaps is not None:
         events = gaps.filter(F.col("min_mapq") == min_mapq) if "min_mapq" in gaps.columns else gaps
     elif "min_mapq" in regions.columns:
         events = quality_gaps(blocks)

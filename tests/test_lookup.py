@@ -192,3 +192,46 @@ def test_runs_are_reduced_without_python(spark):
     """Rows go through Python once, when runs are passed."""
     plan = M.quality_gaps(two_samples(spark), 64)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def test_stored_rows_stay_under_default_settings(spark):
+    """Spark's default for co-partitioning leaves the blocks in their buckets too, and one join gives alignments and gaps."""
+    found = M.build_lookup(two_samples(spark).where("length(cigar) <= 128"), scratch_folder(spark, "lookup"), 64, 8)
+    name, large = "spark.sql.requireAllClusterKeysForCoPartition", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    old = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        hits = M.map_regions(asked(spark), found)
+        text = hits._jdf.queryExecution().executedPlan().toString()
+        strict = rows_of(hits, *HITS)
+    finally:
+        spark.conf.set(name, old)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", large)
+    assert text.count("Exchange") == text.count("REPARTITION_BY_NUM") == text.count("SortMergeJoin") == 1
+    assert strict == rows_of(M.map_regions(asked(spark), found), *HITS) == rows_of(
+        M.map_regions(asked(spark), two_samples(spark).where("length(cigar) <= 128"), bin_width=512), *HITS)
+
+
+def test_short_cigars_are_stored_in_their_blocks(spark):
+    """No entry is moved and stored apart for a CIGAR of one entry; over all the entries are the same."""
+    blocks = two_samples(spark)
+    found = M.build_lookup(blocks, scratch_folder(spark, "lookup"), 64, 4, run_rows=64)
+    assert found.table("ops").join(found.table("blocks").select("block_no", "n_ops").distinct(), "block_no").where("n_ops <= 32").isEmpty()
+    once = found.ops.dropDuplicates(["block_no", "entry_start"])
+    whole = blocks.select(F.explode(C.cigar_index(F.col("cigar"), F.col("ref_end") - F.col("ref_start"))["entries"]).alias("e")).where("e.upto > e.at")
+    assert rows_of(once, F.size("sizes"), "codes") == rows_of(whole, F.size("e.sizes"), "e.codes")
+
+
+def test_stretches_hand_on_what_lies_before(spark):
+    """A gap whose flanks lie many stretches apart, blocks without a base, a mapping quality or a place, and one over many stretches."""
+    rows = [("chr1", 10, 60, "a", 0, 50, "+", 60, "50M"), ("chr1", 90_000, 90_050, "a", 60, 110, "+", 30, "50M"), ("chr1", 20, 50_000, "a", 9, 50_000, "-", 5, ""),
+            ("chr1", 70_000, 70_000, "b", 5, 5, "+", 60, "3I"), ("chr1", 80_000, 80_010, "b", 5, 15, "+", None, "10M"), (None, 1, 5, "b", 5, 15, "+", 60, "10M"),
+            ("chr1", None, 80_010, "b", 5, 15, "+", 60, "10M")]
+    blocks = blocks_df(spark, [(*r[:1], r[1] or 0, *r[2:]) for r in rows]).withColumn("ref_start", F.when(F.col("block_seq") != 6, F.col("ref_start")))
+    windows = regions_df(spark, [("chr1", 0, 100_000), ("chr1", 55, 70_001), ("chr1", 69_000, 90_010)])
+    found = M.build_lookup(blocks, scratch_folder(spark, "lookup"), 1024, 4, run_rows=1024)
+    for level in (0, 40):
+        got = rows_of(M.map_regions(windows, found, level), *HITS)
+        placed = blocks.where("ref_start is not null and ref_chrom is not null")  # the others take no part
+        assert got == rows_of(M.map_regions(windows, placed, level, bin_width=4096), *HITS) and got
