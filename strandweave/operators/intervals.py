@@ -93,6 +93,23 @@ def merge_intervals(
     return islands(df, keys, start, end, 0, bin_width).select(*keys, "start", "end")
 
 
+def merge_dealt(df: DataFrame, keys: Sequence[str], deal: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
+    """``merge_intervals`` for keys of few intervals each, as windows are: rows move once, by ``deal``, some of the keys.
+
+    The result stays dealt so: what goes on by these keys, in this order, moves no
+    row again. A key's intervals are not cut into bins; one task sorts and passes them.
+    """
+    keys = list(keys)
+    spread = SPREAD * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    solid = df.select(*keys, F.col(start).alias("start"), F.col(end).alias("end")).where("start is not null and end is not null")
+    along = Window.partitionBy(*keys).orderBy("start")
+    reach = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    opened = F.when(F.col("reach").isNull() | (F.col("start") > F.col("reach")), F.col("start"))
+    parts = solid.repartition(spread, *deal).withColumn("reach", reach)
+    parts = parts.withColumn("island", F.max(opened).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    return parts.groupBy(*keys, "island").agg(F.max("end").alias("end")).select(*keys, F.col("island").alias("start"), "end")
+
+
 def cluster_intervals(
     df: DataFrame,
     keys: Sequence[str],

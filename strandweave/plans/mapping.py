@@ -11,7 +11,7 @@ from strandweave.functions import cigar as C
 from strandweave.functions import events as E
 from strandweave.functions.regions import window_status
 from strandweave.operators.cigar_index import lookup_offsets
-from strandweave.operators.intervals import merge_intervals
+from strandweave.operators.intervals import merge_dealt
 from strandweave.operators.overlap import overlap_join, position_bin
 from strandweave.operators.quality_gaps import FLANK, KEYS, RUN_ROWS, predecessors
 from strandweave.operators.scan import DEFAULT_BIN, DEFAULT_SPLIT, running
@@ -312,7 +312,7 @@ def translated_intervals(
     valid = regions.filter(window_status(F.col("start"), F.col("end"), limit) == "ok")
     found = map_alignments(valid, blocks, min_mapq=min_mapq, **options)
     solid = found.filter((F.col("asm_chrom") != "") & (F.col("asm_end") > F.col("asm_start")))
-    return merge_intervals(solid, ["region_id", "sample_id", "hap", "asm_chrom", "strand"], "asm_start", "asm_end")
+    return merge_dealt(solid, ["region_id", "sample_id", "hap", "asm_chrom", "strand"], ["region_id"], "asm_start", "asm_end")
 
 
 def translate(regions: DataFrame, blocks: DataFrame | Lookup, min_mapq: int = 0, limit: int | None = None, **options) -> DataFrame:
@@ -339,6 +339,20 @@ def sv_annotations(regions: DataFrame, blocks: DataFrame | Lookup, **options) ->
     )
 
 
+def assembly_intervals(hits: DataFrame, keys: Sequence[str], deal: Sequence[str]) -> DataFrame:
+    """Merged assembly intervals ``keys, asm_chrom, start, end``, ignoring strand, dealt by ``deal``, some of the ``keys``."""
+    aligned = hits.filter(F.col("event_type") == "alignment")
+    lo, hi = F.least("asm_start", "asm_end"), F.greatest("asm_start", "asm_end")
+    return merge_dealt(aligned.withColumn("lo", lo).withColumn("hi", hi), [*keys, "asm_chrom"], deal, "lo", "hi")
+
+
+def region_texts(of: Column) -> Column:
+    """The intervals of a group for which ``of`` holds, as text in contig order."""
+    item = F.when(of, F.struct("asm_chrom", "start", "end"))
+    text = lambda x: F.concat(x["asm_chrom"], F.lit(":"), x["start"], F.lit("-"), x["end"])
+    return F.transform(F.array_sort(F.collect_list(item)), text)
+
+
 def assembly_regions(hits: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Merged assembly intervals per contig, ignoring strand, as text in contig order.
 
@@ -346,13 +360,4 @@ def assembly_regions(hits: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     ``keys, regions``: one list per key; it is empty for no key, so left-join it.
     """
-    aligned = hits.filter(F.col("event_type") == "alignment")
-    lo, hi = F.least("asm_start", "asm_end"), F.greatest("asm_start", "asm_end")
-    merged = merge_intervals(
-        aligned.withColumn("lo", lo).withColumn("hi", hi), [*keys, "asm_chrom"], "lo", "hi"
-    )
-    text = F.concat("asm_chrom", F.lit(":"), F.col("start"), F.lit("-"), F.col("end"))
-    item = F.struct("asm_chrom", "start", "end", text.alias("text"))
-    return merged.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(item)), lambda x: x["text"]).alias("regions")
-    )
+    return assembly_intervals(hits, keys, keys).groupBy(*keys).agg(region_texts(F.lit(True)).alias("regions"))
