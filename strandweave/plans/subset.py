@@ -11,7 +11,7 @@ from strandweave.functions.regions import LAST_COLON, format_region, padded_end,
 from strandweave.operators.overlap import overlap_join, point_join
 from strandweave.operators.sequences import CHUNK, slice_parts, slice_sequences
 from strandweave.operators.variants import select_variants
-from strandweave.plans.mapping import assembly_regions, map_alignments
+from strandweave.plans.mapping import assembly_intervals, map_alignments, region_texts
 from strandweave.plans.reads import mapped
 from strandweave.sources.lines import read_lines
 from strandweave.sources.lookup import Lookup
@@ -39,9 +39,8 @@ def compute_regions(
     asked = asked if many else asked.withColumn("sample_id", F.lit(sample_id))
     hits = map_alignments(asked, blocks, **options)
     key = ["sample_id", "region_id"]
-    lists = assembly_regions(hits, [*key, "hap"])
-    side = lambda h: F.max(F.when(F.col("hap") == h, F.col("regions"))).alias(f"{h}_regions")
-    wide = lists.groupBy(*key).agg(side("hap1"), side("hap2"))
+    side = lambda h: region_texts(F.col("hap") == h).alias(f"{h}_regions")
+    wide = assembly_intervals(hits, [*key, "hap"], ["region_id"]).groupBy(*key).agg(side("hap1"), side("hap2"))
     nothing = F.array().cast("array<string>")
     out = asked.join(wide, key, "left")
     return out.select(

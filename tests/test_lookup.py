@@ -235,3 +235,21 @@ def test_stretches_hand_on_what_lies_before(spark):
         got = rows_of(M.map_regions(windows, found, level), *HITS)
         placed = blocks.where("ref_start is not null and ref_chrom is not null")  # the others take no part
         assert got == rows_of(M.map_regions(windows, placed, level, bin_width=4096), *HITS) and got
+
+
+def test_window_hits_move_once(spark):
+    """Merging a window's hits shuffles them once, and what joins or lists them moves nothing else but windows."""
+    from strandweave.plans import subset as P
+
+    found = M.build_lookup(two_samples(spark).where("length(cigar) <= 128"), scratch_folder(spark, "lookup"), 64, 8)
+    few = spark.createDataFrame([(i, "chr1", 40 * i, 40 * i + 200, 200) for i in range(9)], "var_seq long, chrom string, pos long, end long, size long")
+    large = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.optimizer.dynamicPartitionPruning.enabled", "false")  # its subqueries show windows again
+    try:
+        for df in (M.translate(asked(spark).withColumn("sample_id", F.lit("s")), found), P.compute_regions(few, found, "s", 50)):
+            text = df._jdf.queryExecution().executedPlan().toString()
+            assert 0 < text.count("Exchange") <= 3, text
+    finally:
+        spark.conf.unset("spark.sql.optimizer.dynamicPartitionPruning.enabled")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", large)
