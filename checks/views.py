@@ -6,12 +6,11 @@ arithmetic only, so the queries and their SQL start from the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from strandweave.plans.mapping import build_lookup
-from strandweave.session import scratch_folder
+from strandweave.session import scratch_folder, stored
 from strandweave.sources.lookup import Lookup
 
 # Alignment blocks, 0-based half-open.
@@ -156,9 +155,16 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numbered(ordered: DataFrame) -> DataFrame:
-    """Adds ``ord``: the place of each row as it stands, from 0."""
-    schema = StructType([*ordered.schema.fields, StructField("ord", LongType(), False)])
-    return ordered.sparkSession.createDataFrame(ordered.rdd.zipWithIndex().map(lambda p: (*p[0], p[1])), schema)
+    """Adds ``ord``: the place of each row as it stands, from 0.
+
+    Rows are stored with their numbers in their partition, to which the rows of earlier partitions are added.
+    """
+    kept = stored(ordered.withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("_at", 33)  # as Spark documents the number
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = kept.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select("_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.shiftleft("_part", 33)).alias("_from"))
+    return kept.withColumn("_part", part).join(F.broadcast(starts), "_part").select(*ordered.columns, (F.col("_at") + F.col("_from")).alias("ord"))
 
 
 def seqs(spark: SparkSession, sf_dir: str) -> DataFrame:

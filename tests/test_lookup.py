@@ -253,3 +253,12 @@ def test_window_hits_move_once(spark):
     finally:
         spark.conf.unset("spark.sql.optimizer.dynamicPartitionPruning.enabled")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", large)
+
+
+def test_rows_are_numbered_without_python(spark):
+    from checks import views
+
+    df = spark.range(1000, numPartitions=7).select(F.pmod(F.xxhash64("id"), F.lit(50)).alias("a"), "id").orderBy("a", "id")
+    got = views.numbered(df)
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in got.orderBy("ord").collect()] == [(*r, i) for i, r in enumerate(df.collect())]
