@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from strandweave.functions.regions import format_region
+from strandweave.session import stored
 
 CHUNK = 10_000
 
@@ -19,6 +21,24 @@ def chunk_sequences(seqs: DataFrame, size: int = CHUNK) -> DataFrame:
     return seqs.select("genome", "name", F.posexplode(some).alias("chunk", "bases"))
 
 
+def _touched(spans: DataFrame, chunks: DataFrame, key: Sequence[str], size: int) -> DataFrame:
+    """``key, genome, name, lo, hi`` of spans with each ``chunk`` that they touch and its ``bases``.
+
+    A span may be asked for far beyond the end of its sequence. It has rows up to
+    the last chunk only, so there are no more than chunks are there to be read;
+    chunks are stored for that, as they are read twice.
+    """
+    kept = stored(chunks, "chunks")
+    ends = kept.groupBy("genome", "name").agg(F.max("chunk").cast("bigint").alias("_last"))
+    lo, hi = F.greatest("start", F.lit(1).cast("bigint")), F.col("end")
+    chunk_of = lambda p: F.floor((p - 1) / F.lit(size)).cast("bigint")
+    asked = spans.filter(hi >= lo).select(*dict.fromkeys([*key, "genome", "name"]), lo.alias("lo"), hi.alias("hi"))
+    inside = asked.join(ends, ["genome", "name"]).where(chunk_of(F.col("lo")) <= F.col("_last"))
+    each = F.sequence(chunk_of(F.col("lo")), F.least(chunk_of(F.col("hi")), "_last"))
+    each = F.explode(each.cast(ArrayType(kept.schema["chunk"].dataType)))
+    return inside.withColumn("chunk", each).drop("_last").join(kept, ["genome", "name", "chunk"])
+
+
 def slice_sequences(
     spans: DataFrame, chunks: DataFrame, key: Sequence[str] = ("region_id",), size: int = CHUNK
 ) -> DataFrame:
@@ -29,15 +49,9 @@ def slice_sequences(
     the name is unknown.
     """
     key = list(key)
-    lo, hi = F.greatest("start", F.lit(1).cast("bigint")), F.col("end")
-    chunk_of = lambda p: ((p - 1) / F.lit(size)).cast("int")
-    touched = spans.filter(hi >= lo).select(
-        *dict.fromkeys([*key, "genome", "name"]), lo.alias("lo"), hi.alias("hi"),
-        F.explode(F.sequence(chunk_of(lo), chunk_of(hi))).alias("chunk"),
-    )
     first = F.greatest(F.col("lo") - F.col("chunk") * F.lit(size).cast("bigint"), F.lit(1).cast("bigint"))
     last = F.least(F.col("hi") - F.col("chunk") * F.lit(size).cast("bigint"), F.lit(size).cast("bigint"))
-    parts = touched.join(chunks, ["genome", "name", "chunk"]).select(
+    parts = _touched(spans, chunks, key, size).select(
         *key, "chunk",
         F.substring("bases", first.cast("int"), (last - first + 1).cast("int")).alias("part"),
     )
@@ -60,12 +74,9 @@ def slice_parts(
     the end or of unknown names, have no rows.
     """
     key = list(key)
-    lo, hi = F.greatest("start", F.lit(1).cast("bigint")), F.col("end")
     step = lambda p, n: F.floor(p / F.lit(n)).cast("bigint")
-    touched = spans.filter(hi >= lo).select(*dict.fromkeys([*key, "genome", "name"]), lo.alias("lo"), hi.alias("hi"))
-    touched = touched.withColumn("chunk", F.explode(F.sequence(step(F.col("lo") - 1, size), step(F.col("hi") - 1, size))))
     before = F.col("chunk").cast("bigint") * size
-    found = touched.join(chunks, ["genome", "name", "chunk"]).select(
+    found = _touched(spans, chunks, key, size).select(
         *key, "lo", "hi", "bases", before.alias("before"), F.greatest(F.col("lo"), before + 1).alias("a"), F.least(F.col("hi"), before + F.length("bases")).alias("b")
     ).filter("b >= a")
     cut = found.withColumn("part_no", F.explode(F.sequence(step(F.col("a") - F.col("lo"), part), step(F.col("b") - F.col("lo"), part))))

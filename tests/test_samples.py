@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandweave.operators.sequences import chunk_sequences, slice_parts
+from strandweave.operators.sequences import chunk_sequences, slice_parts, slice_sequences
 from strandweave.operators.variants import select_variants
 from strandweave.plans import subset as P
 from strandweave.sources import sequences, writers
@@ -87,3 +87,16 @@ def test_only_parts_over_chunk_ends_are_moved(spark):
     assert rows_of(got, "region_id", "part_no", "bases") == expect
     moved = shuffled_bytes(got)
     assert moved < 0.45 * sum(len(b) for _, _, b in expect), moved / sum(len(b) for _, _, b in expect)
+
+
+def test_spans_far_past_the_end_have_no_rows_there(spark):
+    """What is moved follows the letters that are there, not those that are asked for."""
+    chunks = chunk_sequences(spark.createDataFrame([("g", f"n{i}", "ACGTN" * 5) for i in range(20)], "genome string, name string, seq string"), 10)
+    spans = spark.createDataFrame([(i, "g", f"n{i}", 4, 3_000_000) for i in range(21)] + [(30, "g", "n1", 26, 99)], "region_id long, genome string, name string, start long, end long")
+    whole = ("ACGTN" * 5)[3:]
+    got = slice_sequences(spans, chunks, size=10)
+    assert rows_of(got, "region_id", "bases") == [(i, whole if i < 20 else None) for i in range(21)] + [(30, "")]
+    assert shuffled_bytes(got) < 100_000
+    parts = slice_parts(spans, chunks, size=10, part=7)
+    assert rows_of(parts, "region_id", "part_no", "bases") == [(i, j, whole[7 * j : 7 * j + 7]) for i in range(20) for j in range(4)]
+    assert shuffled_bytes(parts) < 100_000
