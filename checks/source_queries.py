@@ -15,6 +15,7 @@ from checks import views as V
 from checks.mapping_queries import HITS, _text
 from checks.registry import check
 from checks.views import ctes
+from strandweave.operators.overlap import position_bin
 from strandweave.operators.sequences import chunk_sequences
 from strandweave.plans import mapping as M
 from strandweave.plans.phasing import phase_and_tag
@@ -138,7 +139,7 @@ def q1_tables(spark, d):
         gaps = found.gaps.withColumn("level", levels).where("level <= upto and (over is null or level > over)")
         tables = {
             "blocks": (found.blocks.where("bin = first_bin").withColumn("level", F.lit(0)), F.col("ref_end") - F.col("ref_start")),
-            "ops": (found.ops.dropDuplicates(["block_no", "entry_start"]).withColumn("level", F.lit(0)), F.col("entry_end") - F.col("entry_start")),
+            "ops": (found.ops.where(F.col("bin") == position_bin(F.col("entry_start"), found.bin_width)).withColumn("level", F.lit(0)), F.col("entry_end") - F.col("entry_start")),
             "gaps": (gaps, F.col("ref_gap_size")),
         }
         parts += [df.groupBy(F.lit(kind).alias("kind"), "hap", "ref_chrom", "level").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bases"))

@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.functions.regions import format_region
+from strandweave.operators.overlap import position_bin
 from strandweave.sources.paf import BLOCK_COLUMNS
 
+#: Bases of the reference whose blocks are stored by one task.
+STRETCH = 1 << 20
 HIT_COLUMNS = ["ref_chrom", "ref_start", "ref_end", "asm_chrom", "asm_start", "asm_end",
                "strand", "mapq", "event_type"]
 HIT_ORDER = ["region_id", "sample_id", "hap", "block_start", "block_seq", "kind"]
@@ -34,11 +37,12 @@ def write_blocks(blocks: DataFrame, path: str) -> None:
     """The lookup layout: Parquet by sample, haplotype and chromosome, sorted by start.
 
     Partition folders prune by chromosome, and row-group statistics on the
-    sorted start prune by position. Range partitioning on the full sort key
-    spreads a large chromosome over several tasks and files.
+    sorted start prune by position. Rows are dealt by stretch of the reference,
+    which spreads a large chromosome over several tasks and files; ranges would
+    have to be found by reading all blocks once more.
     """
     keys = ["sample_id", "hap", "ref_chrom"]
-    spread = blocks.select(*BLOCK_COLUMNS).repartitionByRange(*keys, "ref_start", "block_seq")
+    spread = blocks.select(*BLOCK_COLUMNS).repartition(*keys, position_bin(F.col("ref_start"), STRETCH))
     spread.sortWithinPartitions(*keys, "ref_start", "block_seq").write.partitionBy(*keys).mode(
         "overwrite"
     ).parquet(path)

@@ -181,3 +181,21 @@ def test_tag_values(spark):
     tags = [["cg:Z:1M", "cg", "cg:Z", "cgx:Z:2"], ["cg::x:y"], ["cg:Z:1", "cg:Z:"], ["xcg:Z:1"], []]
     df = spark.createDataFrame([(i, ["-"] * 12 + t) for i, t in enumerate(tags)], "i int, f array<string>")
     assert [r.v for r in df.orderBy("i").select(tag_value(F.col("f"), "cg").alias("v")).collect()] == ["1M", "x:y", "", "", ""]
+
+
+def test_blocks_are_stored_after_one_reading(spark, tmp_path):
+    """Rows are dealt without a look at all of them first; each file is sorted by start."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    blocks = blocks_df(spark, [("chr1", (i * 7919) % 4_000_000, 4_000_100, "a", 0, 9, "+", 60, "9M") for i in range(500)])
+    writers.write_blocks(blocks.mapInArrow(count, blocks.schema), str(tmp_path / "b"))
+    assert seen.value == 500
+    stored = paf.read_blocks(spark, str(tmp_path / "b"))
+    assert rows_of(stored, *blocks.columns) == rows_of(blocks, *blocks.columns)
+    files = [[r.ref_start for r in spark.read.parquet(f).collect()] for f in stored.inputFiles()]
+    assert files and all(f == sorted(f) for f in files)
